@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, for the entry module."""
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, simhash, url_filter
 
-MODULES = (url_filter, mixing, exact_dedup)
+MODULES = (url_filter, mixing, simhash, exact_dedup, bpe)
 
 
 def queries() -> dict:
