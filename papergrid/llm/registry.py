@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, for the entry module."""
 
-from . import bpe, exact_dedup, mixing, simhash, url_filter
+from . import bpe, exact_dedup, mixing, quality, sharding, simhash, url_filter
 
-MODULES = (url_filter, mixing, simhash, exact_dedup, bpe)
+MODULES = (url_filter, mixing, simhash, exact_dedup, bpe, quality, sharding)
 
 
 def queries() -> dict:
