@@ -51,3 +51,21 @@ def text_or_empty(name: str = "text") -> Column:
 def as_binary(name: str = "text") -> Column:
     """A text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
+
+
+#: A bitmap has 2**26 bits in 2048 rows of 4 KB: 8 MB, the bound of what is broadcast, whatever the input.
+BITMAP_BITS, _ROW = 26, 32_768
+
+
+def bitmap_of(rows: DataFrame, key: Column) -> DataFrame:
+    """The bits of the rows' keys (hashes). Keys that aren't among them may share a bit, so a set bit only says maybe."""
+    slot = F.pmod(key, F.lit(1 << BITMAP_BITS))
+    return rows.select(slot.alias("s")).groupBy((F.col("s") / _ROW).cast("int").alias("__bm_row")).agg(F.bitmap_construct_agg((F.col("s") % _ROW).cast("long")).alias("__bm"))
+
+
+def marked_by(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean that is true where the key's bit is set. No shuffle: the bitmap is broadcast."""
+    byte = F.conv(F.hex(F.substring("__bm", (F.col("__bm_slot") % _ROW / 8).cast("int") + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (F.col("__bm_slot") % 8).cast("int")).bitwiseAND(1) == 1
+    rows = rows.withColumn("__bm_slot", F.pmod(key, F.lit(1 << BITMAP_BITS))).withColumn("__bm_row", (F.col("__bm_slot") / _ROW).cast("int"))
+    return rows.join(F.broadcast(bitmap), "__bm_row", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__bm_slot", "__bm_row", "__bm")

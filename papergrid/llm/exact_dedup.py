@@ -1,7 +1,7 @@
 """Exact dedup by progressive refinement: length, then a prefix's hash, then the hash of the whole text, which only survivors of both get.
 
 Which lengths, and which pairs of length and prefix, occur more than once is kept
-in a bitmap of ``2**BITS`` bits (8 MB, whatever the input), so deciding whether a
+in a bitmap of ``2**BITMAP_BITS`` bits (8 MB, whatever the input), so deciding whether a
 row survives needs no shuffle of texts. A bitmap lets some rows through that have
 no equal; the whole-text hash then tells. Everything that is shuffled is an id, a
 number or a hash; hot groups are counted before they are shuffled.
@@ -18,28 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import load, stored, text_or_empty
+from .common import bitmap_of, load, marked_by, stored, text_or_empty
 
-#: The bitmaps' size: 2**26 bits are 2048 rows of 4 KB, the bound of what is broadcast.
-BITS = 26
-_ROW = 32_768
 PREFIX = 256
 
 
-def _bitmap(keys: DataFrame, key: Column) -> DataFrame:
-    slot = F.pmod(key, F.lit(1 << BITS))
-    return keys.select(slot.alias("s")).groupBy((F.col("s") / _ROW).cast("int").alias("__bm_row")).agg(F.bitmap_construct_agg((F.col("s") % _ROW).cast("long")).alias("__bm"))
-
-
-def _marked(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
-    """``rows`` with a boolean that is true where the key's bit is set."""
-    slot = F.pmod(key, F.lit(1 << BITS))
-    byte = F.conv(F.hex(F.substring("__bm", (F.col("__bm_slot") % _ROW / 8).cast("int") + F.lit(1), F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, (F.col("__bm_slot") % 8).cast("int")).bitwiseAND(1) == 1
-    rows = rows.withColumn("__bm_slot", slot).withColumn("__bm_row", (F.col("__bm_slot") / _ROW).cast("int"))
-    return rows.join(F.broadcast(bitmap), "__bm_row", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__bm_slot", "__bm_row", "__bm")
-
-
 def _size() -> Column:
     return F.octet_length("__text").cast("long").alias("__n")
 
@@ -52,9 +35,9 @@ def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The bitmap of the pairs of length and prefix hash that occur more than once."""
     slim = stored(docs.select(text_or_empty(text_col).alias("__text")).select(_size(), _prefix()), "exact-slim")
     lengths = slim.groupBy("__n").count().where("count > 1")
-    left = _marked(slim, F.xxhash64("__n"), _bitmap(lengths, F.xxhash64("__n")), "__ok").where("__ok")
+    left = marked_by(slim, F.xxhash64("__n"), bitmap_of(lengths, F.xxhash64("__n")), "__ok").where("__ok")
     pairs = left.groupBy("__n", "__p").count().where("count > 1")
-    return stored(_bitmap(pairs, F.xxhash64("__n", "__p")), "exact-bitmap")
+    return stored(bitmap_of(pairs, F.xxhash64("__n", "__p")), "exact-bitmap")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -68,7 +51,7 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, keep_id, group_size, kept, sha (binary; null where no full hash was needed, unless ``hash_all``)."""
     bitmap = _survivors(docs, id_col, text_col)
     base = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).select("__id", "__text", _size(), _prefix())
-    marked = _marked(base, F.xxhash64("__n", "__p"), bitmap, "__ok")
+    marked = marked_by(base, F.xxhash64("__n", "__p"), bitmap, "__ok")
     sha = F.unhex(F.sha2(F.col("__text").cast("binary"), 256))
     rows = stored(marked.select("__id", "__ok", (sha if hash_all else F.when(F.col("__ok"), sha)).alias("__sha")), "exact-rows")
     groups = stored(_groups(rows.where("__ok")), "exact-groups")
@@ -88,7 +71,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows whose text another kept row has. Only texts that survived both first steps are shuffled, by hash and id."""
     bitmap, own = _survivors(docs, id_col, text_col), docs.columns
     base = docs.withColumn("__text", text_or_empty(text_col)).withColumn("__n", _size()).withColumn("__p", _prefix())
-    marked = _marked(base, F.xxhash64("__n", "__p"), bitmap, "__ok")
+    marked = marked_by(base, F.xxhash64("__n", "__p"), bitmap, "__ok")
     sha = F.unhex(F.sha2(F.col("__text").cast("binary"), 256))
     met = marked.where("__ok").withColumn("__sha", sha)
     hashes = stored(met.select(F.col(id_col).alias("__id"), "__sha"), "exact-rows")

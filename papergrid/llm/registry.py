@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, for the entry module."""
 
-from . import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, toxicity, url_filter
+from . import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
-MODULES = (url_filter, mixing, toxicity, chat, simhash, exact_dedup, bpe, quality, sharding)
+MODULES = (url_filter, mixing, toxicity, chat, simhash, exact_dedup, bpe, suffix_dedup, quality, sharding)
 
 
 def queries() -> dict:
