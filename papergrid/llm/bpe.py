@@ -32,7 +32,7 @@ from .common import as_binary, load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Parts of a text that a worker remembers, and their longest; bounds its memory.
-CACHE_PARTS, CACHE_CHARS = 400_000, 48
+CACHE_PARTS, CACHE_CHARS = 200_000, 48
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 
@@ -119,22 +119,18 @@ class Codec:
         spelt = [part.encode().decode("latin-1").translate(self.spelling) for part in rest]
         for part, ids in zip(rest, self.model.encode(spelt, num_threads=1) if spelt else ()):
             found[part] = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.cache) + len(found) > CACHE_PARTS:
-            self.cache.clear()
         self.cache.update((p, i) for p, i in found.items() if len(p) <= CACHE_CHARS)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parted = [self.split(t) for t in texts]
         unknown = set().union(*parted).difference(self.cache)
-        old = self.cache
-        if unknown:
-            old = dict(self.cache) if len(self.cache) + len(unknown) > CACHE_PARTS else self.cache
-            long = {p: i for p, i in self._learn(unknown).items() if len(p) > CACHE_CHARS or old is not self.cache}
-            if long:
-                get = lambda p, a=old.get, b=long.get: a(p) or b(p)
-                return [b"".join(map(get, parts)) for parts in parted]
-        return [b"".join(map(old.__getitem__, parts)) for parts in parted]
+        if len(self.cache) + len(unknown) > CACHE_PARTS:
+            self.cache.clear()
+            unknown = set().union(*parted)
+        new = self._learn(unknown)
+        get = self.cache.get
+        return [b"".join([get(p) or new[p] for p in parts]) for parts in parted]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
@@ -145,36 +141,44 @@ def _codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
-def _mapped(df: DataFrame, keep: list[str], source: Column, name: str, work) -> DataFrame:
-    """The columns ``keep`` and a binary column that ``work`` makes of another, some rows at a time."""
+def _mapped(df: DataFrame, keep: list[str], source: Column, names: list[str], work) -> DataFrame:
+    """The columns ``keep`` and binary columns that ``work`` makes of another, some rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = work()
         for batch in batches:
-            new, some, size = [], [], 0
-            for raw in batch.column(batch.num_columns - 1).to_pylist():
-                some.append(raw or b"")
-                size += len(some[-1])
-                if size >= CHUNK:
-                    new += f(some)
-                    some, size = [], 0
-            new = pa.array(new + f(some), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=[*batch.schema.names[:-1], name])
-
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.BinaryType())])
+            column, at = batch.column(batch.num_columns - 1), 0
+            while at < len(column):
+                some, size = [], 0
+                while at + len(some) < len(column) and size < CHUNK:
+                    some.append(column[at + len(some)].as_py() or b"")
+                    size += len(some[-1])
+                new = [pa.array(x, pa.binary()) for x in f(some)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns[:-1]), *new], names=[*batch.schema.names[:-1], *names])
+                at += len(some)
+
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, T.BinaryType()) for n in names)])
     return map_arrow(df.select(*keep, source.alias("__source")), run, schema)
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all), and the ids of the text, packed. ``vocabulary`` is a path that every executor has."""
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, vocabulary: str | None = None, pattern: str | None = None, decoded_col: str | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all), and the ids of the text, packed. ``vocabulary`` is a path that every executor has.
+
+    With ``decoded_col`` the ids are decoded again at once, by the same worker, which then holds one vocabulary.
+    """
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
 
     def work():
         codec = _codec(vocabulary, pattern)
-        return lambda some: codec.encode([raw.decode() for raw in some])
+
+        def both(some: list[bytes]) -> list[list[bytes]]:
+            ids = codec.encode([raw.decode() for raw in some])
+            return [ids, [codec.decode(x) for x in ids]] if decoded_col else [ids]
+
+        return both
 
     keep = df.columns if keep is None else keep
-    return _mapped(df, keep, as_binary(text_col), ids_col, work)
+    return _mapped(df, keep, as_binary(text_col), [ids_col, *([decoded_col] if decoded_col else [])], work)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -183,9 +187,9 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabu
 
     def work():
         codec = _codec(vocabulary, pattern)
-        return lambda some: [codec.decode(packed) for packed in some]
+        return lambda some: [[codec.decode(packed) for packed in some]]
 
-    return _mapped(df, df.columns, F.col(ids_col), out_col, work)
+    return _mapped(df, df.columns, F.col(ids_col), [out_col], work)
 
 
 def unpack(ids: Column) -> Column:
@@ -196,7 +200,7 @@ def unpack(ids: Column) -> Column:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(load(spark, sf_dir, "documents"), keep=["doc_id"]))
+    coded = encode(load(spark, sf_dir, "documents"), keep=["doc_id"], decoded_col="decoded")
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
