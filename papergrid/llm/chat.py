@@ -49,7 +49,7 @@ PACK_SCHEMA = (
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: m[0][0] + "\\" + (m[0][1:] if len(m[0]) > 1 else "\\"), text) if "\\" in text or "<" in text or "[" in text else text
+    return _ESCAPE.sub(lambda m: m[0][0] + "\\" + m[0][1:], text) if "\\" in text or "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:

@@ -44,6 +44,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` with all its columns in one, ``__row``, so that none can clash with a working column."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("__row.*")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -113,10 +113,11 @@ def mix_rows(docs: DataFrame, tree: list[Column], weights: list[dict[str, int]],
     """``docs``, each row once for every epoch that takes it, with ``__epoch`` (from 0) and the tree's parts ``__t0`` ... ."""
     names = [f"__t{i}" for i in range(len(tree))]
     plan, small = plan_of(docs, tree, weights, percent, max_epochs, seed, id_col, text_col)
-    rows = _joined(docs.select("*", *[c.alias(n) for c, n in zip(tree, names)]), plan.select(*names, "whole", "last_key"), names, small)
-    part = F.coalesce(_key(F.col("whole"), seed, id_col) <= F.col("last_key"), F.lit(False)).cast("long")
-    times = (F.col("whole") + part).cast("int")
-    return rows.withColumn("__times", times).where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).drop("__times", "whole", "last_key")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(n) for c, n in zip(tree, names)], F.col(id_col).alias("__id"))
+    rows = _joined(base, plan.select(*names, "whole", "last_key"), names, small)
+    part = F.coalesce(_key(F.col("whole"), seed, "__id") <= F.col("last_key"), F.lit(False)).cast("long")
+    rows = rows.withColumn("__times", (F.col("whole") + part).cast("int")).where("__times > 0")
+    return rows.select("__row.*", *names, F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("__epoch"))
 
 
 MIX = {"weights": [DOMAIN_WEIGHTS, LANG_WEIGHTS, {}], "percent": 100, "max_epochs": 2}

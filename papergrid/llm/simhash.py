@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import map_arrow
-from .common import as_binary, load, stored
+from .common import as_binary, load, packed, stored, unpacked
 from .graph import components
 
 SEED, WIDTH, MAX_BITS = 42, 4, 4
@@ -226,17 +226,16 @@ def find_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (of rows that share it, the one whose text's hash is smallest)."""
-    own = docs.columns
     found = stored(find_components(docs, id_col, text_col).where("doc_id <=> component_id"), "simhash-kept")
-    kept = found.groupBy(F.col("component_id").alias("__kid")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fp").alias("parts"))
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kid")))
-    once = rows.where("n = 1").select(own)
-    if kept.where("n > 1").isEmpty():
-        return once
-    again = rows.where("n > 1").withColumn("__h", F.sha2(as_binary(text_col), 256))
-    first = again.groupBy("__kid").agg(F.min("__h").alias("__m"))
-    again = again.join(first.withColumnRenamed("__kid", "__mid"), F.col("__kid").eqNullSafe(F.col("__mid")) & (F.col("__h") == F.col("__m"))).dropDuplicates(["__kid"])
-    return once.unionByName(again.select(own))
+    kept = stored(found.groupBy(F.col("component_id").alias("__kid")).agg(F.count(F.lit(1)).alias("__many")), "simhash-keep")
+    rows = packed(docs).withColumn("__id", F.col(f"__row.{id_col}").cast("long")).join(kept, F.col("__id").eqNullSafe(F.col("__kid")))
+    once = rows.where("__many = 1").select("__row")
+    if kept.where("__many > 1").isEmpty():
+        return unpacked(once)
+    again = rows.where("__many > 1").withColumn("__h", F.sha2(as_binary(f"__row.{text_col}"), 256)).select("__row", "__kid", "__h")
+    first = again.groupBy("__kid").agg(F.min("__h").alias("__m")).withColumnRenamed("__kid", "__mid")
+    again = again.join(first, F.col("__kid").eqNullSafe(F.col("__mid")) & (F.col("__h") == F.col("__m"))).dropDuplicates(["__kid"])
+    return unpacked(once.unionByName(again.select("__row")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import map_arrow
-from .common import as_binary, load
+from .common import as_binary, load, packed, unpacked
 
 BITS, FACTORS, SEED = 31, 6, 3
 SAMPLE_TOXIC, SAMPLE_CLEAN, MIN_DOCS, SLOTS = 4000, 8000, 4, 4096
@@ -180,7 +180,7 @@ def scored(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold."""
     machine = fit(docs, labels, id_col, text_col)
-    return scored(docs, machine, docs.columns, text_col, "__score").where(F.col("__score") < threshold).drop("__score")
+    return unpacked(scored(packed(docs), machine, ["__row"], f"__row.{text_col}", "__score").where(F.col("__score") < threshold))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
