@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import map_arrow
-from .common import as_binary, load, packed, unpacked
+from .common import as_binary, load, packed, stored, unpacked
 
 BITS, FACTORS, SEED = 31, 6, 3
 SAMPLE_TOXIC, SAMPLE_CLEAN, MIN_DOCS, SLOTS = 4000, 8000, 4, 4096
@@ -91,40 +91,62 @@ def scale(n):
     return 100 / np.maximum(n, 100)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> Machine:
-    """Full-batch Adam on the logistic loss."""
-    none = np.array([], np.int64)
-    share = float(labels.mean()) if len(labels) else 0.0
-    constant = float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0)
-    slots, cols = np.unique(np.concatenate(rows), return_inverse=True) if rows else (none, none)
+def standing_out(toxic, all_, n_toxic: int, n: int):
+    """How far the shares of toxic and clean texts that have a slot are apart, in standard errors (but for a constant)."""
+    p1, p0, p = toxic / n_toxic, (all_ - toxic) / (n - n_toxic), all_ / n
+    return abs(p1 - p0) / (p * (1 - p) + 1e-9) ** 0.5
+
+
+def choose_slots(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The sorted slots that a machine for these rows has."""
+    slots, cols = np.unique(np.concatenate(rows), return_inverse=True)
     docs = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    if not len(slots) or not 0 < share < 1:
-        return Machine(constant, none, np.zeros(0), np.zeros((0, FACTORS)))
     all_, toxic = np.bincount(cols), np.bincount(cols, weights=labels[docs])
-    p1, p0, p = toxic / labels.sum(), (all_ - toxic) / (1 - labels).sum(), all_ / len(labels)
-    far = np.where(all_ >= MIN_DOCS, np.abs(p1 - p0) / np.sqrt(p * (1 - p) + 1e-9), -1)
-    best = np.sort(np.lexsort((slots, -far))[:SLOTS])
-    best = best[far[best] >= 0]
-    slots, chosen = slots[best], np.full(len(slots), -1, np.int64)
-    chosen[best] = np.arange(len(best))
-    kept = [a[a >= 0] for a in (chosen[c] for c in np.split(cols, np.cumsum([len(r) for r in rows])[:-1]))]
+    far = np.where(all_ >= MIN_DOCS, standing_out(toxic, all_, labels.sum(), len(labels)), -1)
+    best = np.lexsort((slots, -far))[:SLOTS]
+    return np.sort(slots[best[far[best] >= 0]])
+
+
+def constant_machine(share: float) -> Machine:
+    return Machine(float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0), np.array([], np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, slots: np.ndarray | None = None, rounds: int = ROUNDS, seed: int = SEED) -> Machine:
+    """Full-batch Adam on the logistic loss, over the given slots (default: chosen from the rows); other slots are left aside."""
+    share = float(labels.mean()) if len(labels) else 0.0
+    if not 0 < share < 1:
+        return constant_machine(share)
+    slots = choose_slots(rows, labels) if slots is None else slots
     if not len(slots):
-        return Machine(constant, none, np.zeros(0), np.zeros((0, FACTORS)))
+        return constant_machine(share)
+    constant = float(np.log(share / (1 - share)))
+    kept = []
+    for r in rows:
+        at = np.minimum(np.searchsorted(slots, r), len(slots) - 1)
+        kept.append(at[slots[at] == r])
     sizes = np.array([len(k) for k in kept])
-    cols, docs = np.concatenate(kept), np.repeat(np.arange(len(kept)), sizes)
+    cols, docs = np.concatenate(kept).astype(np.int32), np.repeat(np.arange(len(kept), dtype=np.int32), sizes)
     order = np.argsort(cols, kind="stable")
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    by_col = np.concatenate(([0], np.cumsum(np.bincount(cols, minlength=len(slots)))[:-1]))
+    of_col = np.bincount(cols, minlength=len(slots))
+    by_col, seen = np.concatenate(([0], np.cumsum(of_col)[:-1])), of_col > 0
     docs_by_col, full = docs[order], sizes > 0
-    x, weights = scale(sizes), np.where(labels == 1, TOXIC_WEIGHT, 1)
+    x, weights, labels = scale(sizes).astype(np.float32), np.where(labels == 1, TOXIC_WEIGHT, 1).astype(np.float32), labels.astype(np.float32)
 
     def of_docs(values: np.ndarray) -> np.ndarray:
         out = np.zeros((len(kept), *values.shape[1:]), values.dtype)
-        out[full] = np.add.reduceat(values, starts[full], axis=0)
+        if len(values):
+            out[full] = np.add.reduceat(values, starts[full], axis=0)
+        return out
+
+    def of_cols(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(slots), *values.shape[1:]), values.dtype)
+        if len(docs_by_col):
+            out[seen] = np.add.reduceat(values[docs_by_col], by_col[seen], axis=0)
         return out
 
     rng = np.random.default_rng(seed)
-    p = [np.array([constant]), np.zeros(len(slots)), rng.normal(0, 0.02, (len(slots), FACTORS))]
+    p = [np.array([constant], np.float32), np.zeros(len(slots), np.float32), rng.normal(0, 0.02, (len(slots), FACTORS)).astype(np.float32)]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, rounds + 1):
         w0, w, v = p
@@ -133,13 +155,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed
         z = w0 + of_docs(w[cols]) + x * 0.5 * ((total**2).sum(axis=1) - of_docs((vs * vs).sum(axis=1)))
         g = weights * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(labels)
         gx = g * x
-        gw = np.add.reduceat(g[docs_by_col], by_col)
-        gv = np.add.reduceat((gx[:, None] * total)[docs_by_col], by_col, axis=0) - v * np.add.reduceat(gx[docs_by_col], by_col)[:, None]
+        gw = of_cols(g)
+        gv = of_cols(gx[:, None] * total) - v * of_cols(gx)[:, None]
         for i, grad in enumerate((np.array([g.sum()]), gw + L2 * w / 10, gv + L2 * v)):
             m[i] = 0.9 * m[i] + 0.1 * grad
             s[i] = 0.999 * s[i] + 0.001 * grad**2
             p[i] = p[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
-    return Machine(float(p[0][0]), slots, p[1], p[2])
+    return Machine(float(p[0][0]), slots, p[1].astype(float), p[2].astype(float))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -148,6 +170,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """The sampled texts' terms are stored once; slots are counted and chosen by Spark, and the driver sees of each text only the chosen ones."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").alias("__lid"), F.col("toxic").cast("int").alias("toxic")).distinct()
     order = [F.xxhash64(F.lit(SEED), F.col("__lid")), F.col("__lid")]
     some = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
@@ -155,12 +178,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(x.decode()).astype(np.int32).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "toxic", "slots"])
+            for i in range(batch.num_rows):
+                found = terms(batch.column(2)[i].as_py().decode())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([found.tolist()], pa.list_(pa.int32()))], names=["id", "toxic", "slots"])
+
+    schema = T.StructType([T.StructField("id", rows.schema["__did"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("slots", T.ArrayType(T.IntegerType()))])
+    sample = stored(map_arrow(rows, run, schema), "toxic-sample")
+    n, n_toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_toxic < n:
+        return constant_machine(n_toxic / max(1, n))
+    counts = sample.select("toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("toxic").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("a")).where(F.col("a") >= MIN_DOCS)
+    p1, p0, p = F.col("t") / n_toxic, (F.col("a") - F.col("t")) / (n - n_toxic), F.col("a") / n
+    slots = np.sort(np.array([r["slot"] for r in counts.orderBy((F.abs(p1 - p0) / F.sqrt(p * (1 - p) + 1e-9)).desc(), "slot").limit(SLOTS).collect()], np.int64))
+    model = sample.sparkSession.sparkContext.broadcast(slots)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(np.array(s, np.int64), model.value).astype(np.int32).tobytes() for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["id", "toxic", "slots"])
 
-    schema = T.StructType([T.StructField("id", rows.schema["__did"].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("slots", T.BinaryType())])
-    got = sorted(((r["id"], r["toxic"], bytes(r["slots"])) for r in map_arrow(rows, run, schema).collect()), key=lambda r: (r[0], r[1], r[2]))
-    return train([np.frombuffer(s, np.int32).astype(np.int64) for _, _, s in got], np.array([t for _, t, _ in got], float))
+    short = T.StructType([schema["id"], schema["toxic"], T.StructField("slots", T.BinaryType())])
+    got = sorted((r["id"], r["toxic"], bytes(r["slots"])) for r in map_arrow(sample, cut, short).collect())
+    return train([np.frombuffer(s, np.int32).astype(np.int64) for _, _, s in got], np.array([t for _, t, _ in got], float), slots)
 
 
 def scored(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
