@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import idiv
 from ..functions.labels import canonical, heading_level
 from ..functions.text import DASHES, ends_paragraph, escape_markdown, heading, list_tag
 from .gaps import gap_scan, islands
@@ -81,7 +80,3 @@ def document_markdown(chunks: DataFrame, keys: list[str], order: str) -> DataFra
     shown = chunks.where(F.trim("text") != "").withColumn("md", md).where("md is not null")
     agg = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "md"))).alias("parts"))
     return agg.select(*keys, F.size("parts").alias("n_chunks"), F.array_join(F.transform("parts", lambda p: F.concat(p["md"], F.lit("\n"))), "").alias("markdown"))
-
-
-def middle(a: Column, b: Column) -> Column:
-    return idiv(a + b, 2).cast("int")

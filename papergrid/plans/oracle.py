@@ -301,3 +301,54 @@ ORACLES = {
     "chunk_render": q(LO, select=f"SELECT page_id, obj_id, {render(CANON, chr(40) + chr(39) + 'obj #' + chr(39) + ' || obj_id' + chr(41))} AS md FROM layout_objects"),
     "line_geometry": q(RL, select="SELECT table_id, count(*) FILTER (WHERE y1 = y2 AND x1 <> x2) AS level, count(*) FILTER (WHERE x1 = x2 AND y1 <> y2) AS upright, sum(x2 - x1 + y2 - y1)::BIGINT AS length FROM rule_lines GROUP BY 1"),
 }
+
+_BOUNDS = "bd AS (SELECT table_id, min(x1) - 4 AS l, min(y1) - 4 AS t, max(x2) + 4 AS r, max(y2) + 4 AS m FROM cell_text GROUP BY 1)"
+_SEPS = islands("cell_text", "table_id", "y1", "y2", "box_id", 0, "g") + ", sl AS (SELECT table_id, gid, min(y1) AS top, max(y2) AS bottom FROM g GROUP BY 1, 2), sn AS (SELECT *, lead(top) OVER (PARTITION BY table_id ORDER BY gid) AS below FROM sl), sp AS (SELECT table_id, ((bottom + below) // 2)::INT AS y FROM sn WHERE below IS NOT NULL)"
+_TAB = "{'obj_id': obj_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}"
+_TAB_HIT = f"len(list_filter(acc, lambda k: {_II} >= 0.1 * (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) OR {_II} >= 0.1 * (k.x2 - k.x1) * (k.y2 - k.y1)))"
+_SWEEP = ORACLES["whitespace_sweep"].replace("WHERE l - 1 - reach >= 50", "WHERE l - 1 - reach >= 120")
+
+ORACLES |= {
+    "implied_lines": q(
+        CT, _BOUNDS, gaps("cell_text", "table_id", "x1", "x2", 20), _SEPS,
+        select="""SELECT table_id, 'h' AS orient, l AS x1, t AS y1, r AS x2, t AS y2 FROM bd UNION ALL SELECT table_id, 'h', l, m, r, m FROM bd UNION ALL SELECT table_id, 'v', l, t, l, m FROM bd UNION ALL SELECT table_id, 'v', r, t, r, m FROM bd
+        UNION ALL SELECT table_id, 'v', centre, t, centre, m FROM gap JOIN bd USING (table_id) UNION ALL SELECT table_id, 'h', l, y, r, y FROM sp JOIN bd USING (table_id)""",
+    ),
+    "borderless_table": q(
+        CT, _BOUNDS, gaps("cell_text", "table_id", "x1", "x2", 20), _SEPS,
+        "xs AS (SELECT table_id, l AS a FROM bd UNION SELECT table_id, r FROM bd UNION SELECT table_id, centre FROM gap), ys AS (SELECT table_id, t AS a FROM bd UNION SELECT table_id, m FROM bd UNION SELECT table_id, y FROM sp)",
+        "cx AS (SELECT table_id, a AS x1, lead(a) OVER w AS x2, (row_number() OVER w - 1)::INT AS col_id FROM xs WINDOW w AS (PARTITION BY table_id ORDER BY a)), cy AS (SELECT table_id, a AS y1, lead(a) OVER w AS y2, (row_number() OVER w - 1)::INT AS row_id FROM ys WINDOW w AS (PARTITION BY table_id ORDER BY a))",
+        "gr AS (SELECT table_id, row_id, col_id, x1, y1, x2, y2 FROM cx JOIN cy USING (table_id) WHERE x2 IS NOT NULL AND y2 IS NOT NULL), st AS (SELECT table_id, list_sort(list(d)) AS ds FROM (SELECT table_id, lead(y1) OVER (PARTITION BY table_id ORDER BY row_id) - y1 AS d FROM (SELECT DISTINCT table_id, row_id, y1 FROM gr)) WHERE d IS NOT NULL GROUP BY 1)",
+        "ok AS (SELECT table_id FROM gr GROUP BY 1 HAVING max(row_id) >= 1 AND max(col_id) >= 2), wd AS (SELECT table_id, 2 * median(x2 - x1) AS w2 FROM gr WHERE row_id = 0 GROUP BY 1)",
+        select="SELECT gr.* FROM gr JOIN ok USING (table_id) JOIN st USING (table_id) JOIN wd USING (table_id) WHERE ds[len(ds) // 2 + 1] * 3 >= 40 AND w2 >= 48",
+    ),
+    "table_dedup": q(
+        LO, f"g AS (SELECT page_id, list([{_TAB}] ORDER BY (x2 - x1) * (y2 - y1) DESC, obj_id) AS os FROM layout_objects GROUP BY 1), r AS (SELECT page_id, list_reduce(os, lambda acc, x: CASE WHEN {_TAB_HIT} = 0 THEN acc || x ELSE acc END) AS kept FROM g)",
+        select="SELECT page_id, (pos - 1)::INT AS pos, o.obj_id FROM (SELECT page_id, unnest(kept) AS o, unnest(range(1, len(kept) + 1)) AS pos FROM r)",
+    ),
+    "split_regions": q(
+        LO, islands("layout_objects", "page_id", "y1", "y2", "", -15, "gb"), "gc AS (SELECT * RENAME (gid AS band_id) FROM gb)", islands("gc", "page_id, band_id", "x1", "x2", "", -15, "gd"),
+        "rg AS (SELECT page_id, band_id, gid AS part_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM gd GROUP BY 1, 2, 3)",
+        select="SELECT * FROM rg WHERE page_id NOT IN (SELECT page_id FROM rg WHERE x2 - x1 < 72 OR y2 - y1 < 36)",
+    ),
+    "merged_positions": q(
+        RL, CT, gaps("cell_text", "table_id", "x1", "x2", 20), "ru AS (SELECT DISTINCT table_id, x1 AS position FROM rule_lines WHERE orient = 'v' AND x1 <> 100)",
+        select="SELECT table_id, position, true AS ruled FROM ru UNION ALL SELECT DISTINCT table_id, centre, false FROM gap WHERE NOT EXISTS (SELECT 1 FROM ru WHERE ru.table_id = gap.table_id AND abs(ru.position - gap.centre) <= 40)",
+    ),
+    "snapped_uprights": q(RL, select="SELECT table_id, x1, y1, x2, y2 FROM rule_lines WHERE orient = 'v'"),
+    "outer_cells": q(RL, select="SELECT table_id, 'right' AS side, CASE WHEN n = 1 AND table_id % 3 = 0 THEN 100 ELSE 250 END AS x1, (40 * k)::INT AS y1, 400 AS x2, (40 * k + 40)::INT AS y2 FROM (SELECT table_id, n, unnest(range(n)) AS k FROM rn)"),
+    "whitespace_dedup": _SWEEP.replace(
+        "SELECT page_id, min(a) AS x1, first AS y1, max(b) AS x2, last AS y2 FROM t GROUP BY page_id, first, last, run",
+        """, ws AS (SELECT page_id, min(a) AS x1, first AS y1, max(b) AS x2, last AS y2 FROM t GROUP BY page_id, first, last, run), wn AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x1, y1, x2, y2) AS n FROM ws),
+        wq AS (SELECT a.page_id, a.n AS an, b.n AS bn, a.y2 - a.y1 AS ha, b.y2 - b.y1 AS hb, b.x1 AS bx1, b.x2 AS bx2 FROM wn a JOIN wn b ON a.page_id = b.page_id AND a.n <> b.n AND (a.x2 = b.x1 OR b.x2 = a.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)
+          WHERE NOT EXISTS (SELECT 1 FROM layout_objects e WHERE e.page_id = a.page_id AND e.x1 < greatest(a.x2, b.x2) AND e.x2 > least(a.x1, b.x1) AND e.y1 < least(a.y2, b.y2) AND e.y2 > greatest(a.y1, b.y1)))
+        SELECT page_id, least(x1, coalesce((SELECT min(bx1) FROM wq WHERE wq.page_id = wn.page_id AND an = n AND ha = hb AND an < bn), x1)) AS x1, y1, greatest(x2, coalesce((SELECT max(bx2) FROM wq WHERE wq.page_id = wn.page_id AND an = n AND ha = hb AND an < bn), x2)) AS x2, y2
+        FROM wn WHERE NOT EXISTS (SELECT 1 FROM wq WHERE wq.page_id = wn.page_id AND an = n AND (ha < hb OR (ha = hb AND an > bn)))""",
+    ),
+    "coherent_rows": q(
+        RL, CT, CELLS, GRID, "ht AS (SELECT c.table_id, c.row_id, count(DISTINCT c.col_id) AS n FROM grid c WHERE c.x2 > c.x1 AND EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = c.table_id AND t.text <> 'N' AND 2 * greatest(0, least(t.x2, c.x2) - greatest(t.x1, c.x1)) * greatest(0, least(t.y2, c.y2) - greatest(t.y1, c.y1)) >= (t.x2 - t.x1) * (t.y2 - t.y1)) GROUP BY 1, 2), sq AS (SELECT table_id, min(row_id) AS lo, max(row_id) AS hi FROM ht WHERE n >= 2 GROUP BY 1)",
+        select="SELECT table_id, row_id - lo AS row_id, col_id, x1, y1, x2, y2 FROM grid JOIN sq USING (table_id) WHERE row_id BETWEEN lo AND hi",
+    ),
+    "raster_components": q(KV, select="SELECT conv_id, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM kv_boxes WHERE x2 > x1"),
+    "raster_lines": q(KV, select="SELECT conv_id, 'h' AS orient, 5 AS x1, y1 + 18 AS y1, 400 AS x2, y1 + 18 AS y2 FROM kv_boxes WHERE part = 'key'"),
+}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import text as X
-from ..operators import gaps, grid, layout, lines, overlap, render, stats, text
+from ..operators import borderless, gaps, grid, layout, lines, overlap, raster, render, stats, text
 from ..sources import derive as D
 
 DOC, PAGE, TABLE = ["doc_id"], ["page_id"], ["table_id"]
@@ -343,3 +343,63 @@ QUERIES = {
         kv_table, tagged_tree_tables, html_blocks, doc_markdown, line_texts, paragraph_fold, list_tag_detect, md_escape, media_types, chunk_render, line_geometry,
     )
 }
+
+
+def borderless_table(spark: SparkSession, sf: str) -> DataFrame:
+    return borderless.borderless_grid(D.cell_text(spark, sf), TABLE, ["box_id"], 20, 8, 40)
+
+
+def implied_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return borderless.implied_lines(D.cell_text(spark, sf), TABLE, ["box_id"], 20)
+
+
+def table_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return borderless.dedup_tables(D.layout_objects(spark, sf), PAGE, "obj_id").select("page_id", "pos", "obj_id")
+
+
+def split_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return borderless.split_regions(D.layout_objects(spark, sf), PAGE, 14, 14, 72, 36)
+
+
+def merged_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Upright ruled lines, and the gaps of text that have none near."""
+    ruled = D.rule_lines(spark, sf).where("orient = 'v'").select("table_id", F.col("x1").alias("position")).where("position <> 100")
+    found = gaps.gap_scan(D.cell_text(spark, sf), TABLE, "x1", "x2", 20).select("table_id", F.col("centre").alias("position"))
+    return borderless.merge_positions(ruled, found, TABLE, 40)
+
+
+def snapped_uprights(spark: SparkSession, sf: str) -> DataFrame:
+    """Upright lines that were drawn 9 pixels short and 7 pixels over."""
+    moved = D.rule_lines(spark, sf).withColumn("y1", F.when(F.col("orient") == "v", F.col("y1") + 9).otherwise(F.col("y1"))).withColumn("y2", F.when(F.col("orient") == "v", F.col("y2") + 7).otherwise(F.col("y2")))
+    return borderless.snap_uprights(moved, D.cell_text(spark, sf), TABLE)
+
+
+def outer_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that level lines imply where the table's own end at x = 250."""
+    inner = _cells(spark, sf).where("x2 <= 250")
+    return borderless.outer_cells(inner, D.rule_lines(spark, sf), TABLE)
+
+
+def whitespace_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return borderless.dedup_whitespace(gaps.whitespace_sweep(D.layout_objects(spark, sf), PAGE, 120), PAGE, D.layout_objects(spark, sf))
+
+
+def coherent_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return borderless.coherent_rows(_grid(spark, sf), D.cell_text(spark, sf).where("text <> 'N'"), TABLE)
+
+
+def raster_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes drawn as pixels and found again."""
+    return raster.page_components(raster.rasterise(D.kv_boxes(spark, sf), ["conv_id"], 640, 200), ["conv_id"], 128)
+
+
+def raster_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules under every turn, drawn as pixels and found again."""
+    ruled = D.kv_boxes(spark, sf).where("part = 'key'").select("conv_id", F.lit(5).alias("x1"), (F.col("y1") + 18).alias("y1"), F.lit(400).alias("x2"), (F.col("y1") + 19).alias("y2"))
+    return raster.page_lines(raster.rasterise(ruled, ["conv_id"], 640, 200), ["conv_id"], 60)
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (borderless_table, implied_lines, table_dedup, split_regions, merged_positions, snapped_uprights, outer_cells, whitespace_dedup, coherent_rows, raster_components, raster_lines)
+}
