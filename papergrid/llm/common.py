@@ -78,3 +78,17 @@ def marked_by(rows: DataFrame, key: Column, bitmap: DataFrame, name: str) -> Dat
     bit = F.call_function("shiftright", byte, (F.col("__bm_slot") % 8).cast("int")).bitwiseAND(1) == 1
     rows = rows.withColumn("__bm_slot", F.pmod(key, F.lit(1 << BITMAP_BITS))).withColumn("__bm_row", (F.col("__bm_slot") / _ROW).cast("int"))
     return rows.join(F.broadcast(bitmap), "__bm_row", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__bm_slot", "__bm_row", "__bm")
+
+
+def without(rows: DataFrame, gone: DataFrame, own: list[str], theirs: list[str], any_twice: bool) -> DataFrame:
+    """``rows`` (with ``__row``) without those in ``gone`` where ``__drop`` holds; of rows that repeat one where it doesn't, the first stays.
+
+    A bitmap of what goes lets all other rows pass where they are; only those that it marks are shuffled.
+    """
+    marked = marked_by(rows, F.xxhash64(*own), bitmap_of(gone, F.xxhash64(*theirs)), "__maybe")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, theirs)]
+    maybe = marked.where("__maybe")
+    out = marked.where("not __maybe").select("__row").unionByName(maybe.join(gone, same, "left_anti").select("__row"))
+    if any_twice:
+        out = out.unionByName(maybe.join(gone.where("not __drop"), same).dropDuplicates(own).select("__row"))
+    return unpacked(out)

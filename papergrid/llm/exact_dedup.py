@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bitmap_of, load, marked_by, packed, stored, text_or_empty, unpacked
+from .common import bitmap_of, load, marked_by, packed, stored, text_or_empty, unpacked, without
 
 PREFIX = 256
 
@@ -68,7 +68,7 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another kept row has. Only texts that survived both first steps are shuffled, by hash and id."""
+    """``docs`` without the rows whose text another kept row has. Only texts that go (and those that share their bits) are shuffled, by hash and id."""
     bitmap = _survivors(docs, id_col, text_col)
     base = packed(docs).withColumn("__id", F.col(f"__row.{id_col}")).withColumn("__text", text_or_empty(f"__row.{text_col}")).withColumn("__n", _size()).withColumn("__p", _prefix())
     marked = marked_by(base, F.xxhash64("__n", "__p"), bitmap, "__ok")
@@ -76,11 +76,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = marked.where("__ok").withColumn("__sha", sha).select("__row", "__id", "__sha")
     hashes = stored(met.select("__id", "__sha"), "exact-rows")
     each = hashes.groupBy("__sha", "__id").agg(F.count(F.lit(1)).alias("c"))
-    keep = stored(each.groupBy("__sha").agg(F.max(F.struct("__id", "c")).alias("top")).select(F.col("__sha").alias("__ksha"), F.col("top.__id").alias("__kid"), F.col("top.c").alias("repeats")), "exact-keep")
-    kept = met.join(keep, (F.col("__sha") == F.col("__ksha")) & F.col("__id").eqNullSafe(F.col("__kid")), "left_semi")
-    if not keep.where("repeats > 1").isEmpty():
-        kept = kept.dropDuplicates(["__sha", "__id"])
-    return unpacked(marked.where("not __ok").select("__row").unionByName(kept.select("__row")))
+    keep = each.groupBy("__sha").agg(F.max(F.struct("__id", "c")).alias("top")).select(F.col("__sha").alias("__ksha"), F.col("top.__id").alias("__kid"))
+    told = each.join(keep, F.col("__sha") == F.col("__ksha")).select(F.col("__sha").alias("__gsha"), F.col("__id").alias("__gid"), (~F.col("__id").eqNullSafe(F.col("__kid"))).alias("__drop"), "c")
+    gone = stored(told.where("__drop or c > 1").select("__gsha", "__gid", "__drop"), "exact-gone")
+    kept = without(met, gone, ["__sha", "__id"], ["__gsha", "__gid"], not gone.where("not __drop").isEmpty())
+    return unpacked(marked.where("not __ok").select("__row")).unionByName(kept)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

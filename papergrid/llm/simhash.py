@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import map_arrow
-from .common import as_binary, load, packed, stored, unpacked
+from .common import as_binary, load, packed, stored, without
 from .graph import components
 
 SEED, WIDTH, MAX_BITS = 42, 4, 4
@@ -70,15 +70,15 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, h, fp): a hash of the text as it is, and the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            got = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64), pa.int64())], names=["doc_id", "h", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_binary(text_col).alias("raw"))
-    return map_arrow(rows, run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(as_binary(text_col)).alias("h"), as_binary(text_col).alias("raw"))
+    return map_arrow(rows, run, "doc_id long, h long, fp long")
 
 
 def _hung(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,28 +214,25 @@ def links_between(nodes: DataFrame, max_run: int = MAX_RUN) -> DataFrame:
 
 
 def find_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_run: int = MAX_RUN) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that the document reaches over links, its own included."""
+    """(doc_id, h, fp, root, component_id): the component's smallest fingerprint, and the smallest id in it."""
     prints = stored(fingerprints(docs, id_col, text_col), "simhash-prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = components(links_between(nodes.select("fp"), max_run))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(placed.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-named")
-    return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    named = stored(placed.join(ids, "root").select(F.col("fp").alias("__fp"), "root", "component_id"), "simhash-named")
+    return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (of rows that share it, the one whose text's hash is smallest)."""
-    found = stored(find_components(docs, id_col, text_col).where("doc_id <=> component_id"), "simhash-kept")
-    kept = stored(found.groupBy(F.col("component_id").alias("__kid")).agg(F.count(F.lit(1)).alias("__many")), "simhash-keep")
-    rows = packed(docs).withColumn("__id", F.col(f"__row.{id_col}").cast("long")).join(kept, F.col("__id").eqNullSafe(F.col("__kid")))
-    once = rows.where("__many = 1").select("__row")
-    if kept.where("__many > 1").isEmpty():
-        return unpacked(once)
-    again = rows.where("__many > 1").withColumn("__h", F.sha2(as_binary(f"__row.{text_col}"), 256)).select("__row", "__kid", "__h")
-    first = again.groupBy("__kid").agg(F.min("__h").alias("__m")).withColumnRenamed("__kid", "__mid")
-    again = again.join(first, F.col("__kid").eqNullSafe(F.col("__mid")) & (F.col("__h") == F.col("__m"))).dropDuplicates(["__kid"])
-    return unpacked(once.unionByName(again.select("__row")))
+    each = stored(find_components(docs, id_col, text_col).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("c")), "simhash-each")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
+    keep = each.groupBy("root").agg(F.min(place).alias("k")).select(F.col("root").alias("__root"), "k")
+    told = each.join(keep, F.col("root") == F.col("__root")).select(F.col("doc_id").alias("__gid"), F.col("h").alias("__gh"), (~place.eqNullSafe(F.col("k"))).alias("__drop"), "c")
+    gone = stored(told.where("__drop or c > 1").select("__gid", "__gh", "__drop"), "simhash-gone")
+    rows = packed(docs).withColumn("__id", F.col(f"__row.{id_col}").cast("long")).withColumn("__h", F.xxhash64(as_binary(f"__row.{text_col}")))
+    return without(rows, gone, ["__id", "__h"], ["__gid", "__gh"], not gone.where("not __drop").isEmpty())
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

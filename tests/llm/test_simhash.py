@@ -99,10 +99,16 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_drop(spark):
     kept = S.drop_near_copies(docs_df(spark)).collect()
     found = S.find_components(docs_df(spark)).collect()
-    assert len(kept) == len({r.component_id for r in found})
+    assert len(kept) == len({r.root for r in found})
     assert {r.doc_id for r in kept} == {r.component_id for r in found}
     assert S.drop_near_copies(docs_df(spark)).columns == docs_df(spark).columns
 
 
+def test_drop_where_ids_repeat(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "something else here now"), (2, "a b c d e f"), (None, "only here, without an id")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.drop_near_copies(df).where("doc_id is not null").collect()) == [(1, "a b c d e f"), (1, "something else here now")]
+    assert S.drop_near_copies(df).count() == 3
+
+
 def test_empty(spark):
     assert S.find_components(empty_df(spark)).count() == 0 == S.drop_near_copies(empty_df(spark)).count()
