@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GRID_SLOT_SHARE, area, box, idiv, share_inside, x_overlap, y_overlap
+from ..shared import materialised
 from .gaps import close_value_groups, strips
 from .grouped import map_groups
 from .overlap import overlap_join, prefixed
@@ -191,11 +192,11 @@ def merge_consecutive(tables: DataFrame, keys: list[str], contours: DataFrame |
 
 def table_from_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     """All steps: cells, without covered ones, those of the largest table of touching cells of each key, edges snapped, as a grid."""
-    cells = drop_covered(numbered(cells_from_lines(lines, keys), keys), keys)
+    cells = materialised(drop_covered(numbered(cells_from_lines(lines, keys), keys), keys), "cells")
     parts = components(adjacent(cells, keys), keys)
     met = cells.join(parts, [*keys, "cell_id"]).withColumnRenamed("component", "table_ord")
     by = [*keys, "table_ord"]
-    return to_grid(snapped_cells(met, by), by)
+    return to_grid(materialised(snapped_cells(materialised(met, "parts"), by), "snapped"), by)
 
 
 def implicit_lines(grid: DataFrame, whitespace: DataFrame, keys: list[str], least: int) -> DataFrame:

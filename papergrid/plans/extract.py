@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import canonical
 from ..operators import borderless, grid, layout, lines, overlap, render, text
+from ..shared import materialised
 
 
 def filled_tables(lined: DataFrame, texts: DataFrame, keys: list[str], min_gap: int = 20, char_width: int = 8, line_sep: int = 20, least_line: int = 20, allow_borderless: bool = True) -> DataFrame:
@@ -16,15 +17,16 @@ def filled_tables(lined: DataFrame, texts: DataFrame, keys: list[str], min_gap:
     row_id, col_id, rowspan, colspan, x1, y1, x2, y2, content.
     """
     by = [*keys, "table_ord"]
-    clean = lines.remove_noise(lined, texts, keys, least_line)
+    clean = materialised(lines.remove_noise(lined, texts, keys, least_line), "lines")
     slots = grid.table_from_lines(clean, keys)
     if allow_borderless:
         bare = borderless.borderless_grid(texts, keys, ["text_id"], min_gap, char_width, line_sep).withColumn("table_ord", F.lit(0))
         slots = borderless.dispatch(slots, bare.select(slots.columns), keys)
     else:
         slots = slots.withColumn("borderless", F.lit(False))
+    slots = materialised(slots, "slots")
     kinds = slots.select(*by, "borderless").distinct()
-    cells = grid.spans(slots, by)
+    cells = materialised(grid.spans(slots, by), "spans")
     placed = overlap.place_text(texts.select(*keys, "text_id", "x1", "y1", "x2", "y2", "text"), cells.select(*keys, "table_ord", "row_id", "col_id", "x1", "y1", "x2", "y2"), keys, "text_id")
     met = placed.join(cells.select(*by, "row_id", "col_id", F.col("x1").alias("cx1"), F.col("y1").alias("cy1"), F.col("x2").alias("cx2"), F.col("y2").alias("cy2")), [*keys, "row_id", "col_id"])
     inside = met.where((F.col("x1") < F.col("cx2")) & (F.col("x2") > F.col("cx1")) & (F.col("y1") < F.col("cy2")) & (F.col("y2") > F.col("cy1"))).drop("cx1", "cy1", "cx2", "cy2")
@@ -49,11 +51,11 @@ def document(objects: DataFrame, words: DataFrame, page_keys: list[str], doc_key
     ``objects`` has obj_id, label, confidence_pct and a box; ``words`` has line_no, word_no, text and a box.
     """
     kept = layout.drop_contained(layout.suppress(objects, page_keys).drop("pos"), page_keys)
-    ordered = layout.reading_order(kept.drop("pos"), page_keys, min_gap)
+    ordered = materialised(layout.reading_order(materialised(kept.drop("pos"), "kept"), page_keys, min_gap), "ordered")
     met = layout.elements_in_objects(ordered.select(*page_keys, "obj_id", "x1", "y1", "x2", "y2"), words, page_keys)
     inner = met.select(*[F.col(f"a_{k}").alias(k) for k in page_keys], F.col("b_obj_id").alias("obj_id"), F.col("a_line_no").alias("line_no"), F.col("a_word_no").alias("word_no"), F.col("a_text").alias("text"))
     folded = text.fold_paragraphs(text.line_texts(inner, [*page_keys, "obj_id"], "line_no", "word_no", "text"), [*page_keys, "obj_id"], "line_no")
     parts = folded.groupBy(*page_keys, "obj_id").agg(F.array_sort(F.collect_list(F.struct("para_id", "text"))).alias("p"))
-    chunks = ordered.join(parts.select(*page_keys, "obj_id", F.trim(F.array_join(F.transform("p", lambda x: x["text"]), "")).alias("text")), [*page_keys, "obj_id"])
+    chunks = ordered.join(parts.select(*page_keys, "obj_id", F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), ""), "\\s+$", "").alias("text")), [*page_keys, "obj_id"])
     chunks = chunks.where(canonical(F.col("label")) != "Unknown").withColumn("chunk_order", F.struct(page_order, "reading_pos"))
     return text.document_markdown(chunks.withColumn("label", canonical(F.col("label"))), doc_keys, "chunk_order")
