@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import text as X
 from ..operators import borderless, gaps, grid, layout, lines, overlap, raster, render, stats, text
+from ..shared import materialised
 from ..sources import derive as D
 
 DOC, PAGE, TABLE = ["doc_id"], ["page_id"], ["table_id"]
@@ -140,7 +141,7 @@ def column_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.numbered(grid.cells_from_lines(D.rule_lines(spark, sf), TABLE), TABLE)
+    return materialised(grid.numbered(grid.cells_from_lines(D.rule_lines(spark, sf), TABLE), TABLE), "query-cells")
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +150,7 @@ def _grid(spark: SparkSession, sf: str) -> DataFrame:
 
 def _filled(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of every table with spans and text."""
-    s = grid.spans(_grid(spark, sf), TABLE)
+    s = materialised(grid.spans(_grid(spark, sf), TABLE), "query-spans")
     placed = overlap.place_text(D.cell_text(spark, sf), s.select("table_id", "row_id", "col_id", "x1", "y1", "x2", "y2"), TABLE, "box_id")
     return s.join(overlap.joined_text(placed, TABLE, "box_id").select("table_id", "row_id", "col_id", "content"), ["table_id", "row_id", "col_id"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
