@@ -6,9 +6,10 @@ of a fixed grid counts its false rejections: good texts that it rejects. The exa
 binomial (Clopper-Pearson) upper bound of the false rejection rate is taken at
 level ``DELTA`` divided by the number of all tests (strata x rules x cutoffs,
 Bonferroni), so with probability ``1 - DELTA`` every chosen cutoff's true rate is at
-most ``ALPHA``. Of a rule's safe cutoffs the one that rejects most is chosen; where
-none is safe, the rule rejects nothing in that stratum. A text is kept if no rule of
-its stratum rejects it.
+most ``ALPHA``. Of a rule's safe cutoffs the one is chosen that rejects most bad
+texts beyond the good ones that it rejects (of equals the laxest); where none is safe,
+or none rejects more bad texts than good, the rule rejects nothing in that stratum.
+A text is kept if no rule of its stratum rejects it.
 
 The counts are a grouped sum over all labelled rows; the driver sees a row per
 stratum, rule and cutoff. Languages outside ``STRATA`` (or null) are one stratum.
@@ -33,7 +34,7 @@ from .common import as_binary, load, stored
 
 STRATA = ("en", "de", "fr", "es")
 #: Most false rejections of a rule, and the probability that any chosen cutoff has more.
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA = 0.01, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Measure, and cutoffs from the one that rejects most on: a text is rejected above (or, by the sign -1, below) the cutoff.
@@ -130,28 +131,30 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def choose(counts: dict[tuple[str, str, float], int], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Per stratum, each rule's safe cutoff that rejects most; rules without one are left out."""
+def choose(false: dict[tuple[str, str, float], int], true: dict[tuple[str, str, float], int], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """Per stratum, each rule's most useful safe cutoff, from its false and true rejections; rules without one are left out."""
     tests = max(1, len(good)) * sum(len(c) for _, c in RULES.values())
     chosen: dict[str, dict[str, float]] = {}
     for stratum, n in good.items():
         for rule, (_, cutoffs) in RULES.items():
-            for cutoff in cutoffs:
-                k = counts.get((stratum, rule, float(cutoff)), 0)
-                if k <= alpha * n and upper_bound(k, n, delta / tests) <= alpha:
+            best = 0
+            for cutoff in reversed(cutoffs):  # from the laxest
+                k, gain = false.get((stratum, rule, float(cutoff)), 0), true.get((stratum, rule, float(cutoff)), 0)
+                if gain - k > best and k <= alpha * n and upper_bound(k, n, delta / tests) <= alpha:
+                    best = gain - k
                     chosen.setdefault(stratum, {})[rule] = float(cutoff)
-                    break
     return chosen
 
 
 def fit(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """Cutoffs from all labelled rows. Texts that fail the base rules are rejected anyway and don't count."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__lid"))
-    met = rows.where(~base_failed()).join(good, F.col("doc_id") == F.col("__lid"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__lid"), F.col("quality").cast("int").alias("__q"))
+    met = rows.where(~base_failed()).join(known, F.col("doc_id") == F.col("__lid"))
     tests = [(r, float(c)) for r, (_, cutoffs) in RULES.items() for c in cutoffs]
     sums = [F.sum(_rejects(r, c).cast("long")).alias(f"t{i}") for i, (r, c) in enumerate(tests)]
-    got = met.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    return choose({(g["stratum"], r, c): g[f"t{i}"] for g in got for i, (r, c) in enumerate(tests)}, {g["stratum"]: g["n"] for g in got}, alpha, delta)
+    got = met.groupBy("stratum", "__q").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    of = lambda q: {(g["stratum"], r, c): g[f"t{i}"] for g in got if g["__q"] == q for i, (r, c) in enumerate(tests)}
+    return choose(of(1), of(0), {g["stratum"]: g["n"] for g in got if g["__q"] == 1}, alpha, delta)
 
 
 def judged(rows: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:

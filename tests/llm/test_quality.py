@@ -57,4 +57,8 @@ def test_fit_is_safe_and_useful(spark):
 
 
 def test_few_labels_reject_nothing():
-    assert Q.choose({}, {}, {"en": 50}, {"en": 50}) == {}
+    many = {("en", "symbol_ratio", c): 40 for c in Q.RULES["symbol_ratio"][1]}
+    assert Q.choose({}, many, {"en": 50}) == {}  # too few for the bound
+    assert Q.choose({}, many, {"en": 50_000}) == {"en": {"symbol_ratio": 0.4}}  # the laxest of equals
+    assert Q.choose({}, {}, {"en": 50_000}) == {}  # nothing gained
+    assert Q.choose({k: 1000 for k in many}, many, {"en": 50_000}) == {}  # more good than bad
