@@ -224,9 +224,9 @@ def find_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "h", "fp", "root", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (of rows that share it, the one whose text's hash is smallest)."""
-    each = stored(find_components(docs, id_col, text_col).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("c")), "simhash-each")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=find_components) -> DataFrame:
+    """``docs`` with one row of each component that ``find`` gives: that of the smallest id (of rows that share it, the one whose text's hash is smallest)."""
+    each = stored(find(docs, id_col, text_col).groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("c")), "simhash-each")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     keep = each.groupBy("root").agg(F.min(place).alias("k")).select(F.col("root").alias("__root"), "k")
     told = each.join(keep, F.col("root") == F.col("__root")).select(F.col("doc_id").alias("__gid"), F.col("h").alias("__gh"), (~place.eqNullSafe(F.col("k"))).alias("__drop"), "c")
