@@ -391,13 +391,13 @@ def coherent_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def raster_components(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes drawn as pixels and found again."""
-    return raster.page_components(raster.rasterise(D.kv_boxes(spark, sf), ["conv_id"], 640, 200), ["conv_id"], 128)
+    return raster.page_components(raster.rasterise(D.kv_boxes(spark, sf), ["conv_id"]), ["conv_id"], 128)
 
 
 def raster_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Rules under every turn, drawn as pixels and found again."""
     ruled = D.kv_boxes(spark, sf).where("part = 'key'").select("conv_id", F.lit(5).alias("x1"), (F.col("y1") + 18).alias("y1"), F.lit(400).alias("x2"), (F.col("y1") + 19).alias("y2"))
-    return raster.page_lines(raster.rasterise(ruled, ["conv_id"], 640, 200), ["conv_id"], 60)
+    return raster.page_lines(raster.rasterise(ruled, ["conv_id"]), ["conv_id"], 60)
 
 
 QUERIES |= {
