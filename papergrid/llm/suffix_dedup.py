@@ -1,33 +1,34 @@
 """Suffix dedup: bytes covered by a string of ``WINDOW`` bytes that also starts elsewhere, by longest previous factors.
 
-A window is the ``WINDOW`` bytes from a position on. Equal windows have equal
-smallest ``GRAM``-byte grams at equal places, so every window is filed under the
-place of its smallest gram, in blocks of ``BLOCK`` neighbouring windows counted from
-that gram. A block's core (the bytes common to its windows) and its span (all their
-bytes) are hashed. A core that occurs once has no repeated window; blocks of equal
-span repeat as a whole, and one of them stands for all. Only blocks whose core is
-shared and whose span is their own, those at the edge of a repeated passage, have
-to be compared byte by byte.
-
-These are brought together by core, parted again into smaller blocks in the same
-way, and the windows left are sorted as suffixes. Factors are capped at ``WINDOW``
-bytes: in suffix order, equal windows are a run, and the previous and next smaller
-positions of a run's members lie in it. A position's longest previous factor
-reaches the cap exactly if a smaller position is in its run, its longest next one if
-a larger is. With ``keep_first`` the former decides (the first copy stays), without
-it either of them (no copy stays).
+A factor is a string of at least ``FACTOR`` bytes that also starts at another
+position. Equal strings of ``FACTOR`` bytes have equal smallest ``GRAM``-byte grams at
+equal places, so every position is filed under the place of that gram, in blocks of
+``BLOCK`` neighbouring positions counted from it. A block's core (the bytes common to
+its strings) and its span (all bytes that its strings of ``WINDOW`` bytes have) are
+hashed. A core that occurs once has no factor; blocks of equal span repeat as a
+whole, and one of them stands for all. Only blocks whose core is shared and whose
+span is their own, those at the edge of a repeated passage, are compared.
+
+These are brought together by core and put in suffix order by what follows the core.
+What precedes it parts them, byte by byte to the left, into classes that have an equal
+beginning; in each class the array of longest previous factors comes from the previous
+and next smaller positions in suffix order. A factor of ``WINDOW`` bytes makes its
+string go. With ``keep_first`` only earlier positions count (the first copy stays),
+without it later ones too (no copy stays). Factors that reach ``FACTOR`` but not
+``WINDOW`` bytes are told (``n_repeated``) and stay.
 
 Cores and spans are counted with partial sums before anything is joined, so a
-passage that very many documents share is one row of a table. A core whose edge
-blocks exceed ``MAX_GROUP`` bytes is never gathered: hashes of its single windows
-are counted instead. Documents are hashed where they are; only those that have an
-edge block, or lose bytes, are shuffled.
-
-Null texts count as empty. Very long texts are worked on in stretches of
-``STRETCH`` windows. A row's place is its id, its text's checksum and the byte;
-rows that repeat id and text are copies of each other, but with ``keep_first`` they
-are one row (both keep the same bytes). A null id sorts first. Columns with
-clashing names are left aside, an empty table gives none.
+passage that very many documents share is one row of a table, and the rows of the most
+frequent ones are met by broadcasting those (at most ``HOT`` of them). A core whose edge
+blocks exceed ``MAX_GROUP`` bytes is never gathered: classes of equal strings are
+counted by hash there. Documents are hashed where they are; only those that have an
+edge block, or a factor, are shuffled.
+
+Ids are integers (or cast to long). Null texts count as empty. Very long texts are
+worked on in stretches of ``STRETCH`` positions. A row's place is its id, its text's
+checksum and the byte; rows that repeat id and text are copies of each other, but with
+``keep_first`` they are one row (both keep the same bytes). A null id sorts first.
+Columns with clashing names are left aside, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ from pyspark.sql import types as T
 from ..ship import map_arrow
 from .common import as_binary, bitmap_of, load, marked_by, stored
 
-WINDOW, GRAM, BLOCK, SMALL = 400, 32, 128, 16
+WINDOW, FACTOR, GRAM, BLOCK = 400, 256, 32, 128
 STRETCH = 1 << 20
-#: Bytes of a core's edge blocks that one task may hold, and of the blocks that are compared at once.
-MAX_GROUP, BATCH = 16 << 20, 2 << 20
+#: Bytes of a core's edge blocks that one task may hold, and rows of a table that are broadcast: those of over ``1 / HOT`` of all blocks.
+MAX_GROUP, HOT = 16 << 20, 1000
 NULL_ID = -(1 << 63)
 _M = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -94,24 +95,24 @@ def _hash(x: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-BLOCKS = "core long, span long, id long, c long, s int"
+BLOCKS = "core long, span long, id long, c long, s int, n int"
 
 
-def blocks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """Of (id, c, raw): a row per block; span is null where the block reaches over the text's ends."""
+def blocks_of(docs: DataFrame, window: int = WINDOW, factor: int = FACTOR, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    """Of (id, c, raw): a row per block; ``n`` is the text's length. Spans that the text's ends cut are told apart by where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["core", "span", "id", "c", "s"])
+            cols = list(zip(*rows)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2)], names=["core", "span", "id", "c", "s", "n"])
 
         rows = []
         for batch in batches:
             for id_, c, raw in zip(*(x.to_pylist() for x in batch.columns)):
-                for s in block_starts(raw, window, gram, block).tolist():
+                for s in block_starts(raw, factor, gram, block).tolist():
                     e = s + block - 1
-                    whole = s >= 0 and e + window <= len(raw)
-                    rows.append((_hash(raw[e : s + window]), _hash(raw[s : e + window]) if whole else None, id_, c, s))
+                    span = raw[s : e + window] if s >= 0 else raw[: e + window] + b"%d" % s
+                    rows.append((_hash(raw[e : s + factor]), _hash(span), id_, c, s, len(raw)))
                 if len(rows) > 100_000:
                     yield out(rows)
                     rows = []
@@ -120,105 +121,98 @@ def blocks_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: in
     return map_arrow(docs.select("id", "c", "raw"), run, BLOCKS)
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], weight: str, most: int, how: str = "inner") -> DataFrame:
+    """A join whose frequent keys (weight over ``most``, so few of them) are broadcast: no key's rows are gathered in one task for them."""
+    hot, rest = F.broadcast(right.where(F.col(weight) > most)), right.where(F.col(weight) <= most)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
+    return cold if how == "left_anti" else left.join(hot, on, how).unionByName(cold)
+
+
 def _cut(docs: DataFrame, wanted: DataFrame, window: int, block: int) -> DataFrame:
-    """The bytes of the wanted blocks (core, id, c, s, whole): from documents that have any, joined by id and checksum."""
-    lists = stored(wanted.groupBy("id", "c").agg(F.collect_list(F.struct("core", "s", "stands")).alias("wanted")), "suffix-wanted")
+    """The bytes of the wanted blocks (core, id, c, s): from documents that have any, joined by id and checksum."""
+    lists = stored(wanted.groupBy("id", "c").agg(F.collect_list(F.struct("core", "s")).alias("wanted")), "suffix-wanted")
     some = marked_by(docs, F.xxhash64("id", "c"), bitmap_of(lists, F.xxhash64("id", "c")), "__ok").where("__ok").drop("__ok")
     rows = some.join(lists, ["id", "c"]).select("id", "c", "raw", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["core", "id", "c", "s", "n", "stands", "span"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             out = []
             for id_, c, raw, wanted in zip(*(x.to_pylist() for x in batch.columns)):
-                out += [(w["core"], id_, c, w["s"], len(raw), w["stands"], raw[max(0, w["s"]) : w["s"] + block - 1 + window]) for w in wanted]
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
+                out += [(w["core"], id_, c, w["s"], raw[max(0, w["s"]) : w["s"] + block - 1 + window]) for w in wanted]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["core", "id", "c", "s", "span"])
 
-    return map_arrow(rows, run, "core long, id long, c long, s int, n int, stands boolean, span binary")
+    return map_arrow(rows, run, "core long, id long, c long, s int, span binary")
 
 
-def factor_runs(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows by position: the suffix order, and the number of the run of equal windows that each place of the order is in."""
-    order = sorted(range(len(windows)), key=windows.__getitem__)
-    new = [i > 0 and windows[order[i]] != windows[order[i - 1]] for i in range(len(order))]
-    return np.array(order, np.int64), np.cumsum(new) if new else np.array([], np.int64)
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    a, b = a[:n], b[:n]
+    return n if a == b else n - ((int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length() + 7) // 8
 
 
-def repeated(entries: list[tuple], window: int, block: int, small: int, keep_first: bool) -> list[tuple[int, int, int, int]]:
-    """Of edge blocks of equal core (id, c, s, n, stands, span), by position: (id, c, first, last) stretches of repeated windows.
+def previous_factors(order: list[int], lcp: list[int]) -> list[int]:
+    """Of positions in suffix order and the common prefixes of neighbours: by place, the longest factor that starts at a smaller position (-1: none).
 
-    A block that ``stands`` for several of equal span has repeated windows only; with ``keep_first`` it is the first of them.
+    It is the longer of those with the previous and the next smaller position, which a
+    stack of rising positions gives with the least common prefix on the way.
     """
+    best, stack = [-1] * len(order), []
+    for place, at in enumerate(order):
+        way = lcp[place - 1] if place else -1
+        while stack and order[stack[-1][0]] > at:
+            larger, below = stack.pop()
+            best[larger] = max(best[larger], way)
+            way = min(way, below)
+        if stack:
+            best[place] = way
+        stack.append((place, way))
+    return best
+
+
+def factors(entries: list[tuple], window: int, factor: int, block: int, keep_first: bool) -> list[tuple[int, int, int, int, bool]]:
+    """Of edge blocks of equal core (id, c, s, span): (id, c, first, last, whether of ``window`` bytes) of the bytes that factors cover."""
     entries = sorted(entries, key=lambda e: e[:3])
     if keep_first:
         entries = [e for i, e in enumerate(entries) if not i or e[:3] != entries[i - 1][:3]]
-    hit: dict[int, set[int]] = {}
-
-    def judge(members: list[int], offset: int) -> None:
-        """Windows of the same offset, members in the order of position."""
-        texts = [entries[m][5][entries[m][2] + offset - max(0, entries[m][2]) :][:window] for m in members]
-        order, run = factor_runs(texts)
-        if not len(order):
-            return
-        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-        smallest, size = np.minimum.reduceat(order, first)[run], np.diff(np.concatenate((first, [len(order)])))[run]
-        for place in np.flatnonzero((order > smallest) if keep_first else (size > 1)):
-            hit.setdefault(members[order[place]], set()).add(offset)
-
-    for q in range(0, block, small):
-        by_core: dict[bytes, list[int]] = {}
-        for i, (_, _, s, n, _, span) in enumerate(entries):
-            at, last = s + q, min(s + q + small - 1, n - window)
-            if last < max(at, 0):
-                continue
-            by_core.setdefault(span[max(0, at + small - 1) - max(0, s) : at + window - max(0, s)], []).append(i)
-        for members in by_core.values():
-            if len(members) < 2:
-                continue
-            by_span: dict[bytes, list[int]] = {}
-            for i in members:
-                _, _, s, n, _, span = entries[i]
-                if s + q >= 0 and s + q + small - 1 + window <= n:
-                    by_span.setdefault(span[s + q - max(0, s) : s + q + small - 1 + window - max(0, s)], []).append(i)
-            alone = set(members)
-            for same in by_span.values():
-                if len(same) > 1:
-                    alone.difference_update(same[1:])
-                    if not keep_first:
-                        alone.discard(same[0])
-                    for i in same[1:] if keep_first else same:
-                        hit.setdefault(i, set()).update(range(q, q + small))
-            if not alone or len(members) == len(alone) == 1:
-                continue
-            left = sorted(alone | {same[0] for same in by_span.values()})
-            if len(left) < 2:
-                continue
-            for offset in range(q, q + small):
-                judge([i for i in left if 0 <= entries[i][2] + offset <= entries[i][3] - window], offset)
-    found = []
-    for i, offsets in hit.items():
-        id_, c, s, *_ = entries[i]
-        run = sorted(offsets)
-        start = run[0]
-        for a, b in zip(run, [*run[1:], None]):
-            if b != a + 1:
-                found.append((id_, c, s + start, s + a + window))
-                start = b
+    core, ends, left, right = factor - block + 1, [], [], []
+    for _, _, s, span in entries:
+        at = s + block - 1 - max(0, s)
+        ends.append(s + block - 1)
+        left.append(span[:at][::-1])
+        right.append(span[at + core :])
+    found, todo = [], [(sorted(range(len(entries)), key=right.__getitem__), 0)]
+    while todo:
+        order, k = todo.pop()
+        alike = common_prefix(min(left[i] for i in order), max(left[i] for i in order))
+        lcp = [common_prefix(right[i], right[j]) for i, j in zip(order, order[1:])]
+        best = previous_factors(order, lcp)
+        if not keep_first:
+            best = [max(pair) for pair in zip(best, previous_factors([-i for i in order], lcp))]
+        for i, n in zip(order, best):
+            for least, whole in ((factor, False), (window, True)):
+                short = max(k, least - core - n)
+                if n >= 0 and short <= alike:
+                    found.append((*entries[i][:2], ends[i] - alike, ends[i] - short + least, whole))
+        parts: dict[int, list[int]] = {}
+        for i in order:
+            if len(left[i]) > alike:
+                parts.setdefault(left[i][alike], []).append(i)
+        todo += [(part, alike + 1) for part in parts.values() if len(part) > 1]
     return found
 
 
-SPANS = "id long, c long, first int, last int"
+SPANS = "id long, c long, first int, last int, whole boolean"
 
 
 def _spans(rows: list) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "c", "first", "last"])
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["id", "c", "first", "last", "whole"])
 
 
-def _compared(cut: DataFrame, window: int, block: int, small: int, keep_first: bool) -> DataFrame:
-    """Stretches of repeated bytes of edge blocks, core by core in sorted batches."""
+def _compared(cut: DataFrame, window: int, factor: int, block: int, keep_first: bool) -> DataFrame:
+    """Bytes that factors cover in edge blocks, core by core in sorted batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, held = None, []
@@ -227,64 +221,66 @@ def _compared(cut: DataFrame, window: int, block: int, small: int, keep_first: b
             for row in zip(*(x.to_pylist() for x in batch.columns)):
                 if row[0] != core:
                     if len(held) > 1:
-                        found += repeated(held, window, block, small, keep_first)
+                        found += factors(held, window, factor, block, keep_first)
                     core, held = row[0], []
                 held.append(row[1:])
             yield _spans(found)
-        yield _spans(repeated(held, window, block, small, keep_first) if len(held) > 1 else [])
+        yield _spans(factors(held, window, factor, block, keep_first) if len(held) > 1 else [])
 
-    rows = cut.repartition("core").sortWithinPartitions("core").select("core", "id", "c", "s", "n", "stands", "span")
+    rows = cut.repartition("core").sortWithinPartitions("core").select("core", "id", "c", "s", "span")
     return map_arrow(rows, run, SPANS)
 
 
-def _counted(cut: DataFrame, window: int, block: int, keep_first: bool) -> DataFrame:
-    """The same for cores with very many edge blocks: hashes of their single windows are counted."""
+def _counted(cut: DataFrame, window: int, factor: int, block: int, keep_first: bool) -> DataFrame:
+    """The same for cores with very many edge blocks: classes of equal strings of both lengths are counted by 128-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for core, id_, c, s, n, _, span in zip(*(x.to_pylist() for x in batch.columns)):
-                offsets = [o for o in range(block) if 0 <= s + o <= n - window]
-                hashes = [xxhash.xxh3_128_digest(span[s + o - max(0, s) :][:window] + o.to_bytes(2, "big")) for o in offsets]
-                yield pa.RecordBatch.from_arrays([pa.array([core] * len(offsets), pa.int64()), pa.array(hashes, pa.binary()), pa.array([id_] * len(offsets), pa.int64()), pa.array([c] * len(offsets), pa.int64()), pa.array([s + o for o in offsets], pa.int32())], names=["core", "h", "id", "c", "at"])
+            for core, id_, c, s, span in zip(*(x.to_pylist() for x in batch.columns)):
+                base = max(0, s)
+                at = [(p, size) for size in (factor, window) for p in range(base, min(s + block, base + len(span) - size + 1))]
+                hashes = [xxhash.xxh3_128_digest(span[p - base : p - base + size] + (p - s).to_bytes(2, "big")) for p, size in at]
+                yield pa.RecordBatch.from_arrays([pa.array([core] * len(at), pa.int64()), pa.array(hashes, pa.binary()), pa.array([id_] * len(at), pa.int64()), pa.array([c] * len(at), pa.int64()), pa.array([p for p, _ in at], pa.int32()), pa.array([z for _, z in at], pa.int32())], names=["core", "h", "id", "c", "at", "size"])
 
-    rows = stored(map_arrow(cut.select("core", "id", "c", "s", "n", "stands", "span"), run, "core long, h binary, id long, c long, at int"), "suffix-windows")
+    rows = stored(map_arrow(cut.select("core", "id", "c", "s", "span"), run, "core long, h binary, id long, c long, at int, size int"), "suffix-windows")
     if keep_first:
         rows = rows.distinct()
-    classes = rows.groupBy("core", "h").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "c", "at")).alias("head")).where("copies > 1")
-    met = rows.join(classes, ["core", "h"])
+    classes = stored(rows.groupBy("core", "h").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "c", "at")).alias("head")).where("copies > 1"), "suffix-strings")
+    met = _met(rows, classes, ["core", "h"], "copies", rows.count() // HOT)
     if keep_first:
         met = met.where(F.struct("id", "c", "at") != F.col("head"))
-    return met.select("id", "c", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
+    return met.select("id", "c", F.col("at").alias("first"), (F.col("at") + F.col("size")).alias("last"), (F.col("size") == window).alias("whole"))
 
 
-def repeats_of(docs: DataFrame, window: int = WINDOW, keep_first: bool = True, gram: int = GRAM, block: int = BLOCK, small: int = SMALL, max_group: int = MAX_GROUP) -> DataFrame:
-    """Of (id, c, raw): stretches of bytes (id, c, first, last) to remove; they may overlap."""
-    blocks = stored(blocks_of(docs.where(F.octet_length("raw") >= window), window, gram, block), "suffix-blocks")
+def repeats_of(docs: DataFrame, window: int = WINDOW, keep_first: bool = True, factor: int | None = None, gram: int = GRAM, block: int = BLOCK, max_group: int = MAX_GROUP) -> DataFrame:
+    """Of (id, c, raw): stretches of bytes (id, c, first, last, whole) that factors cover, ``whole`` where they reach ``window``; they may overlap."""
+    factor = min(window, FACTOR) if factor is None else factor
+    blocks = stored(blocks_of(docs.where(F.octet_length("raw") >= factor), window, factor, gram, block), "suffix-blocks")
     if keep_first:
         blocks = blocks.distinct()
-    shared = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("core").alias("__core"))
-    met = stored(blocks.join(shared, F.col("core") == F.col("__core"), "left_semi"), "suffix-shared")
-    classes = met.where("span is not null").groupBy("core", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "c", "s")).alias("head")).where("copies > 1")
-    classes = stored(classes.select(F.col("core").alias("__core"), F.col("span").alias("__span"), "head"), "suffix-classes")
-    same = (F.col("core") == F.col("__core")) & (F.col("span") == F.col("__span"))
-    whole = met.join(classes, same)
+    most = blocks.count() // HOT
+    shared = stored(blocks.groupBy("core").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1"), "suffix-cores")
+    met = stored(_met(blocks, shared, ["core"], "blocks", most).drop("blocks"), "suffix-shared")
+    classes = stored(met.groupBy("core", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "c", "s")).alias("head")).where("copies > 1"), "suffix-classes")
+    same = _met(met, classes, ["core", "span"], "copies", most)
     if keep_first:
-        whole = whole.where(F.struct("id", "c", "s") != F.col("head"))
-    whole = whole.select("id", "c", F.col("s").alias("first"), (F.col("s") + (window + block - 1)).alias("last"))
-    edges = stored(met.join(classes, same, "left_anti").select("core", "id", "c", "s"), "suffix-edges")
-    sizes = edges.groupBy("core").agg(F.count(F.lit(1)).alias("n")).select(F.col("core").alias("__core"), "n")
-    heads = classes.join(sizes.withColumnRenamed("__core", "__with"), F.col("__core") == F.col("__with"), "left_semi")
-    wanted = edges.withColumn("stands", F.lit(False)).unionByName(heads.select(F.col("__core").alias("core"), "head.id", "head.c", "head.s", F.lit(True).alias("stands")))
-    cut = stored(_cut(docs, wanted, window, block), "suffix-cut")
-    big = stored(cut.groupBy("core").agg(F.sum(F.octet_length("span").cast("long")).alias("bytes")).where(F.col("bytes") > max_group).select(F.col("core").alias("__core")), "suffix-big")
-    spans = whole
+        same = same.where(F.struct("id", "c", "s") != F.col("head"))
+    first, last = F.greatest("s", F.lit(0)), F.col("s") + (block - 1)
+    reaches = F.col("n") - window >= first
+    end = F.least("n", last + F.when(reaches, window).otherwise(factor))
+    spans = same.select("id", "c", first.alias("first"), end.cast("int").alias("last"), reaches.alias("whole"))
+    edges = stored(_met(met, classes.drop("head"), ["core", "span"], "copies", most, "left_anti").select("core", "id", "c", "s"), "suffix-edges")
+    heads = classes.select("core", "head.*").join(edges.select("core").distinct(), "core", "left_semi")
+    cut = stored(_cut(docs, edges.unionByName(heads), window, block), "suffix-cut")
+    big = stored(cut.groupBy("core").agg(F.sum(F.octet_length("span").cast("long")).alias("bytes")).where(F.col("bytes") > max_group), "suffix-big")
     if big.isEmpty():
-        spans = spans.unionByName(_compared(cut, window, block, small, keep_first))
+        spans = spans.unionByName(_compared(cut, window, factor, block, keep_first))
     else:
-        usual, hot = cut.join(big, F.col("core") == F.col("__core"), "left_anti"), cut.join(big, F.col("core") == F.col("__core"), "left_semi")
-        spans = spans.unionByName(_compared(usual, window, block, small, keep_first)).unionByName(_counted(hot, window, block, keep_first))
+        total = cut.agg(F.sum(F.octet_length("span").cast("long"))).first()[0]
+        usual, hot = _met(cut, big, ["core"], "bytes", total // HOT, "left_anti"), _met(cut, big, ["core"], "bytes", total // HOT).drop("bytes")
+        spans = spans.unionByName(_compared(usual, window, factor, block, keep_first)).unionByName(_counted(hot, window, factor, block, keep_first))
     return stored(spans, "suffix-spans")
 
 
@@ -300,36 +296,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_first: bool = True, **sizes: int) -> DataFrame:
-    """One row per document: doc_id, n_bytes, spans (what goes: start and end), kept (binary: what stays)."""
+    """One row per document: doc_id, n_bytes, spans (what goes: start and end), kept (binary: what stays), n_repeated (bytes that factors of any length cover)."""
     base = docs.select(F.col(id_col).alias("doc_id"), as_binary(text_col).alias("raw")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("c", F.crc32("raw"))
     spans = repeats_of(base.select("id", "c", "raw"), window, keep_first, **sizes)
-    lists = stored(spans.groupBy("id", "c").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "suffix-lists")
+    lists = stored(spans.groupBy("id", "c").agg(F.collect_set(F.struct("first", "last", "whole")).alias("spans")), "suffix-lists")
     known = marked_by(base, F.xxhash64("id", "c"), bitmap_of(lists, F.xxhash64("id", "c")), "__ok")
     touched = known.where("__ok").join(lists, ["id", "c"], "left").select("doc_id", "raw", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            ns, lost, kept = [], [], []
+            ns, lost, kept, told = [], [], [], []
             for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                runs, at, parts = merged([(x["first"], x["last"]) for x in spans or ()]), 0, []
+                runs, at, parts = merged([(x["first"], x["last"]) for x in spans or () if x["whole"]]), 0, []
                 for a, b in runs:
                     parts.append(raw[at:a])
                     at = b
                 ns.append(len(raw))
                 lost.append([{"first": a, "last": b} for a, b in runs])
                 kept.append(b"".join([*parts, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(lost, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                told.append(sum(b - a for a, b in merged([(x["first"], x["last"]) for x in spans or ()])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(lost, kind), pa.array(kept, pa.binary()), pa.array(told, pa.int64())], names=["doc_id", "n_bytes", "spans", "kept", "n_repeated"])
 
-    spans_type = "array<struct<first:int,last:int>>"
-    schema = T.StructType([base.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", lists.schema["spans"].dataType), T.StructField("kept", T.BinaryType())])
-    plain = known.where("not __ok").select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.array().cast(spans_type).alias("spans"), F.col("raw").alias("kept"))
+    spans_type = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+    schema = T.StructType([base.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", spans_type), T.StructField("kept", T.BinaryType()), T.StructField("n_repeated", T.LongType())])
+    plain = known.where("not __ok").select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.array().cast(spans_type).alias("spans"), F.col("raw").alias("kept"), F.lit(0).cast("long").alias("n_repeated"))
     return plain.unionByName(map_arrow(touched, run, schema))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(load(spark, sf_dir, "documents"), keep_first=False)
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}

@@ -43,9 +43,32 @@ def hard(seed):
 def test_short_windows(spark, keep_first, sizes):
     rows = hard(4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = X.remove_repeats(df, window=60, keep_first=keep_first, gram=8, block=16, small=4, **sizes).collect()
+    got = X.remove_repeats(df, window=60, keep_first=keep_first, factor=40, gram=8, block=16, **sizes).collect()
     assert sorted(((r.doc_id, bytes(r.kept)) for r in got), key=str) == plain(rows, 60, keep_first)
     assert all(r.n_bytes - len(r.kept) == sum(s["last"] - s["first"] for s in r.spans) for r in got)
+    assert sorted(((r.doc_id, r.n_bytes - r.n_repeated) for r in got), key=str) == sorted(((i, len(k)) for i, k in plain(rows, 40, keep_first)), key=str)
+
+
+def test_longest_previous_factors():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 12))]
+        order = sorted(range(len(text)), key=text.__getitem__)
+        got = X.previous_factors(order, [X.common_prefix(text[i], text[j]) for i, j in zip(order, order[1:])])
+        assert dict(zip(order, got)) == {i: max((X.common_prefix(text[i], text[j]) for j in range(i)), default=-1) for i in order}
+
+
+def test_query(spark, tmp_path):
+    rows = [r[:2] for r in corpus()]
+    docs_df(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = X.op8_suffix_dedup(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = [(i, len((t or "").encode())) for i, t in rows]
+    kept = plain(rows, X.WINDOW, False)
+    sha = __import__("hashlib").sha256
+    assert sorted((str(r.doc_id), r.kept_sha256) for r in got.collect()) == sorted((str(i), sha(k).hexdigest()) for i, k in kept)
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got.collect()) == sorted((str(i), n) for i, n in want)
+    assert all((r.n_spans == 0) == (r.n_removed == 0) and r.n_repeated >= r.n_removed for r in got.collect())
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
