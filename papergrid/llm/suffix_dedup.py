@@ -182,7 +182,8 @@ def factors(entries: list[tuple], window: int, factor: int, block: int, keep_fir
         ends.append(s + block - 1)
         left.append(span[:at][::-1])
         right.append(span[at + core :])
-    found, todo = [], [(sorted(range(len(entries)), key=right.__getitem__), 0)]
+    found: dict[tuple[int, bool], list[tuple[int, int]]] = {}
+    todo = [(sorted(range(len(entries)), key=right.__getitem__), 0)]
     while todo:
         order, k = todo.pop()
         alike = common_prefix(min(left[i] for i in order), max(left[i] for i in order))
@@ -194,13 +195,13 @@ def factors(entries: list[tuple], window: int, factor: int, block: int, keep_fir
             for least, whole in ((factor, False), (window, True)):
                 short = max(k, least - core - n)
                 if n >= 0 and short <= alike:
-                    found.append((*entries[i][:2], ends[i] - alike, ends[i] - short + least, whole))
+                    found.setdefault((i, whole), []).append((ends[i] - alike, ends[i] - short + least))
         parts: dict[int, list[int]] = {}
         for i in order:
             if len(left[i]) > alike:
                 parts.setdefault(left[i][alike], []).append(i)
         todo += [(part, alike + 1) for part in parts.values() if len(part) > 1]
-    return found
+    return [(*entries[i][:2], a, b, whole) for (i, whole), pairs in found.items() for a, b in merged(pairs)]
 
 
 SPANS = "id long, c long, first int, last int, whole boolean"
