@@ -1,18 +1,22 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text whose measure passes a cutoff. On labelled rows (a holdout
-of rules that are fixed beforehand), per stratum (language) and rule, every cutoff
-of a fixed grid counts its false rejections: good texts that it rejects. The exact
-binomial (Clopper-Pearson) upper bound of the false rejection rate is taken at
-level ``DELTA`` divided by the number of all tests (strata x rules x cutoffs,
-Bonferroni), so with probability ``1 - DELTA`` every chosen cutoff's true rate is at
-most ``ALPHA``. Of a rule's safe cutoffs the one is chosen that rejects most bad
-texts beyond the good ones that it rejects (of equals the laxest); where none is safe,
-or none rejects more bad texts than good, the rule rejects nothing in that stratum.
-A text is kept if no rule of its stratum rejects it.
-
-The counts are a grouped sum over all labelled rows; the driver sees a row per
-stratum, rule and cutoff. Languages outside ``STRATA`` (or null) are one stratum.
+Each rule rejects a text whose measure passes a cutoff. The labelled rows are parted
+by a seeded hash of their id. On one third, per stratum (language), a ladder is built:
+from no rejection at all, each step tightens one rule to the cutoff that newly rejects
+most bad texts for each good one. On the other two thirds, the holdout, the steps are
+tested in that order: the good texts that *any* rule of the step rejects are counted,
+and the exact binomial (Clopper-Pearson) upper bound of their rate is taken at level
+``DELTA`` divided by the number of strata (Bonferroni); the first step whose bound passes
+``ALPHA`` ends the ladder (a fixed sequence, so its steps need no further correction).
+The last step before it is the stratum's. So with probability ``1 - DELTA`` the rules
+together falsely reject at most ``ALPHA`` of the good texts of every stratum. A step
+can pass from ``ln(strata / DELTA) / ALPHA`` good holdout texts on (461 for five strata);
+with fewer, the stratum has no cutoffs. Texts that fail the base rules are rejected by
+them, whatever the labels, and count neither as good nor as bad.
+
+A labelled row is reduced to the number of each rule's cutoffs that it passes; rows
+that are alike in these are counted by Spark, and the driver gets a row per such
+vector, whose number the rules bound. Languages outside ``STRATA`` (or null) are one stratum.
 Null texts have no words and fail the base rules; so do empty ones. Very long texts
 are measured whole. Rows that repeat are judged alike; labels that repeat or
 contradict each other all count. Without labels no rule rejects. Columns with
@@ -33,8 +37,10 @@ from ..ship import map_arrow
 from .common import as_binary, load, stored
 
 STRATA = ("en", "de", "fr", "es")
-#: Most false rejections of a rule, and the probability that any chosen cutoff has more.
+#: Most false rejections in a stratum, by all its rules together, and the probability that any stratum has more.
 ALPHA, DELTA = 0.01, 0.05
+#: One labelled row of so many builds the ladders, the others test them.
+FOLD, SEED = 3, 9
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Measure, and cutoffs from the one that rejects most on: a text is rejected above (or, by the sign -1, below) the cutoff.
@@ -131,30 +137,59 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def choose(false: dict[tuple[str, str, float], int], true: dict[tuple[str, str, float], int], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Per stratum, each rule's most useful safe cutoff, from its false and true rejections; rules without one are left out."""
-    tests = max(1, len(good)) * sum(len(c) for _, c in RULES.values())
-    chosen: dict[str, dict[str, float]] = {}
-    for stratum, n in good.items():
-        for rule, (_, cutoffs) in RULES.items():
-            best = 0
-            for cutoff in reversed(cutoffs):  # from the laxest
-                k, gain = false.get((stratum, rule, float(cutoff)), 0), true.get((stratum, rule, float(cutoff)), 0)
-                if gain - k > best and k <= alpha * n and upper_bound(k, n, delta / tests) <= alpha:
-                    best = gain - k
-                    chosen.setdefault(stratum, {})[rule] = float(cutoff)
+Vector = tuple[int, ...]
+
+
+def _hit(v: Vector, step: Vector) -> bool:
+    return any(x > c for x, c in zip(v, step))
+
+
+def ladder(good: dict[Vector, int], bad: dict[Vector, int]) -> list[Vector]:
+    """Ever stricter steps, from the counts of texts by how many of each rule's cutoffs reject them.
+
+    A step has the place of each rule's cutoff in ``RULES`` (0 rejects most, the number of cutoffs stands for none).
+    """
+    now, steps = tuple(len(c) for _, c in RULES.values()), []
+    while True:
+        good, bad = ({v: n for v, n in d.items() if not _hit(v, now)} for d in (good, bad))
+        best = None
+        for r in range(len(now)):
+            for c in reversed(range(now[r])):  # from the laxest
+                k, gain = (sum(n for v, n in d.items() if v[r] > c) for d in (good, bad))
+                if gain > k and (best is None or (gain / (k + 1), gain) > best[0]):
+                    best = (gain / (k + 1), gain), (*now[:r], c, *now[r + 1 :])
+        if best is None:
+            return steps
+        now = best[1]
+        steps.append(now)
+
+
+def choose(counts: dict[tuple[str, bool, int], dict[Vector, int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """Per stratum its rules' cutoffs, from the counts by (stratum, whether they build the ladder, label); strata without a safe step are left out."""
+    of = lambda *key: counts.get(key, {})
+    strata, chosen = {s for s, *_ in counts}, {}
+    for stratum in sorted(strata):
+        held = of(stratum, False, 1)
+        n, last = sum(held.values()), None
+        for step in ladder(of(stratum, True, 1), of(stratum, True, 0)):
+            if upper_bound(sum(x for v, x in held.items() if _hit(v, step)), n, delta / len(strata)) > alpha:
+                break
+            last = step
+        if last:
+            chosen[stratum] = {rule: float(cutoffs[c]) for (rule, (_, cutoffs)), c in zip(RULES.items(), last) if c < len(cutoffs)}
     return chosen
 
 
 def fit(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs from all labelled rows. Texts that fail the base rules are rejected anyway and don't count."""
+    """Cutoffs from all labelled rows."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__lid"), F.col("quality").cast("int").alias("__q"))
     met = rows.where(~base_failed()).join(known, F.col("doc_id") == F.col("__lid"))
-    tests = [(r, float(c)) for r, (_, cutoffs) in RULES.items() for c in cutoffs]
-    sums = [F.sum(_rejects(r, c).cast("long")).alias(f"t{i}") for i, (r, c) in enumerate(tests)]
-    got = met.groupBy("stratum", "__q").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    of = lambda q: {(g["stratum"], r, c): g[f"t{i}"] for g in got if g["__q"] == q for i, (r, c) in enumerate(tests)}
-    return choose(of(1), of(0), {g["stratum"]: g["n"] for g in got if g["__q"] == 1}, alpha, delta)
+    builds = F.pmod(F.xxhash64(F.lit(SEED), "__lid"), F.lit(FOLD)) == 0
+    passed = [sum((_rejects(r, c).cast("int") for c in cutoffs), F.lit(0)).alias(f"r{i}") for i, (r, (_, cutoffs)) in enumerate(RULES.items())]
+    counts: dict[tuple[str, bool, int], dict[Vector, int]] = {}
+    for g in met.groupBy("stratum", builds.alias("builds"), "__q", *passed).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault((g["stratum"], g["builds"], g["__q"]), {})[tuple(g[f"r{i}"] for i in range(len(RULES)))] = g["n"]
+    return choose(counts, alpha, delta)
 
 
 def judged(rows: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
