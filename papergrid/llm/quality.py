@@ -3,7 +3,7 @@
 Each rule rejects a text whose measure passes a cutoff. The labelled rows are parted
 by a seeded hash of their id. On one third, per stratum (language), a ladder is built:
 from no rejection at all, each step tightens one rule to the cutoff that newly rejects
-most bad texts for each good one. On the other two thirds, the holdout, the steps are
+most bad texts for the good ones (whose number weighs squared). On the other two thirds, the holdout, the steps are
 tested in that order: the good texts that *any* rule of the step rejects are counted,
 and the exact binomial (Clopper-Pearson) upper bound of their rate is taken at level
 ``DELTA`` divided by the number of strata (Bonferroni); the first step whose bound passes
@@ -156,8 +156,8 @@ def ladder(good: dict[Vector, int], bad: dict[Vector, int]) -> list[Vector]:
         for r in range(len(now)):
             for c in reversed(range(now[r])):  # from the laxest
                 k, gain = (sum(n for v, n in d.items() if v[r] > c) for d in (good, bad))
-                if gain > k and (best is None or (gain / (k + 1), gain) > best[0]):
-                    best = (gain / (k + 1), gain), (*now[:r], c, *now[r + 1 :])
+                if gain > k and (best is None or (gain / (k + 1) ** 2, gain) > best[0]):
+                    best = (gain / (k + 1) ** 2, gain), (*now[:r], c, *now[r + 1 :])
         if best is None:
             return steps
         now = best[1]

@@ -43,6 +43,8 @@ from .graph import components
 SEED, WIDTH, MAX_BITS = 42, 4, 4
 #: Longest posting that is compared pair by pair.
 MAX_RUN = 2048
+#: Verified pairs that a task holds before it hangs them.
+MOST_LINKS = 1 << 20
 #: Shingles hashed at once.
 PIECE = 1 << 18
 #: Positions 0 to 7 in three parts; triples within a part, and pairs of a part with one of the next.
@@ -102,7 +104,7 @@ def _linked(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     """Within each run: pairs at equal distance in it, tallied, kept from the least count on, and verified."""
     ends = np.repeat(starts + sizes, sizes)
     at = np.arange(len(fps))[np.repeat(starts, sizes) + _within(sizes)] if len(starts) else np.array([], int)
-    found_a, found_b, step = [], [], 1
+    found_a, found_b, held, step = [], [], 0, 1
     while len(at):
         more = at + step < ends
         at, ends = at[more], ends[more]
@@ -115,6 +117,10 @@ def _linked(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
         kept[kept] = np.bitwise_count(x[kept]) <= MAX_BITS
         found_a.append(a[kept])
         found_b.append(b[kept])
+        held += len(found_a[-1])
+        if held > MOST_LINKS:  # pairs of near copies are not held: they are hung as they come
+            u, v = _hung(np.concatenate(found_a), np.concatenate(found_b))
+            found_a, found_b, held = [u], [v], 0
         step += 1
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (fps[:0], fps[:0])
 
