@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 CELL_TEXT_OVERLAP, OCR_TEXT_OVERLAP = 0.8, 0.6
 CHUNK_TEXT_OVERLAP, CHUNK_IMAGE_OVERLAP = 0.7, 0.9
 IOU_THRESHOLD, CONTAINMENT_SHARE, CONTAINMENT_SLACK = 0.8, 0.9, 2
-GRID_SLOT_SHARE = 0.9
 BAND_OVERLAP = 2
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import GRID_SLOT_SHARE, area, box, idiv, share_inside, x_overlap, y_overlap
+from ..functions.geometry import area, box, idiv, x_overlap, y_overlap
 from ..shared import materialised
-from .gaps import close_value_groups, strips
+from .gaps import close_value_groups
 from .grouped import map_groups
-from .overlap import overlap_join, prefixed
+from .overlap import edge_arrays, overlap_join, prefixed, spread
 
 
 def cells_from_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,24 +43,16 @@ def numbered(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.withColumn("cell_id", F.row_number().over(by) - 1).select(*keys, "cell_id", "x1", "y1", "x2", "y2")
 
 
-def _uncovered(_, rows: list[dict]) -> list[dict]:
-    """Smallest first; a cell is kept if some of its area is covered by no kept one. On the grid of all edges, not on pixels."""
-    import numpy as np
-
-    rows = sorted(rows, key=lambda r: ((r["x2"] - r["x1"]) * (r["y2"] - r["y1"]), r["cell_id"]))
-    xs, ys = (sorted({max(0, r[a]) for r in rows for a in pair}) for pair in (("x1", "x2"), ("y1", "y2")))
-    at_x, at_y = {x: i for i, x in enumerate(xs)}, {y: i for i, y in enumerate(ys)}
-    free, kept = np.ones((len(ys), len(xs)), bool), []
-    for r in rows:
-        part = free[at_y[max(0, r["y1"])] : at_y[max(0, r["y2"])], at_x[max(0, r["x1"])] : at_x[max(0, r["x2"])]]
-        if part.any():
-            kept.append(r)
-            part[:] = False
-    return kept
-
-
 def drop_covered(cells: DataFrame, keys: list[str]) -> DataFrame:
-    return map_groups(cells.select(*keys, "cell_id", "x1", "y1", "x2", "y2"), keys, ["cell_id"], _uncovered, "cell_id int, x1 int, y1 int, x2 int, y2 int")
+    """Smallest first; a cell is kept if some of its area (right of and below 0) is covered by no kept one.
+
+    An area that a dropped cell covers is covered by kept ones too, so a cell is kept
+    exactly if it is the first of those that cover some slot between neighbouring edges.
+    """
+    own = cells.select(*keys, "cell_id", "x1", "y1", "x2", "y2")
+    shown = own.select(*keys, "cell_id", area(box()).alias("__a"), *[F.greatest(c, F.lit(0)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    slots = spread(shown, edge_arrays(shown, keys), keys).groupBy(*keys, "__r", "__c").agg(F.min(F.struct("__a", "cell_id")).alias("b"))
+    return own.join(slots.select(*keys, F.col("b.cell_id").alias("cell_id")).distinct(), [*keys, "cell_id"], "left_semi")
 
 
 def adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,7 +70,7 @@ def adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*[F.col(f"a_{k}").alias(k) for k in keys], "a_cell_id", "b_cell_id")
 
 
-def _components(_, rows: list[dict]) -> list[dict]:
+def _components(pairs: list[tuple]) -> list[tuple]:
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -89,15 +79,15 @@ def _components(_, rows: list[dict]) -> list[dict]:
             x = root[x]
         return x
 
-    for r in rows:
-        a, b = sorted((find(r["a_cell_id"]), find(r["b_cell_id"])))
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
         root[b] = a
-    return [{"cell_id": x, "component": find(x)} for x in sorted(root)]
+    return [(x, find(x)) for x in sorted(root)]
 
 
 def components(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: each cell that has a neighbour, and the smallest cell of its table. Lone cells are in none."""
-    return map_groups(pairs.select(*keys, "a_cell_id", "b_cell_id"), keys, ["a_cell_id", "b_cell_id"], _components, "cell_id int, component int")
+    return map_groups(pairs.select(*keys, "a_cell_id", "b_cell_id"), keys, [], _components, "cell_id int, component int")
 
 
 def snapped_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,27 +106,24 @@ def snapped_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
 def to_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     """A slot per row and column strip: row_id, col_id, and the box that fills it (x1, y1, x2, y2).
 
-    The smallest cell that holds 90 % of the slot fills it; without one, a box of no
+    The smallest cell that covers the slot fills it (slots lie between neighbouring edges, so a cell covers all or none of one); without one, a box of no
     width at the nearest edge of the row's cells; in a row without cells the slot itself.
     """
-    axis = lambda s, n: s.withColumn(n, (F.row_number().over(Window.partitionBy(*keys).orderBy("a")) - 1).cast("int"))
-    rows = axis(strips(cells, keys, "y1", "y2"), "row_id").select(*keys, "row_id", F.col("a").alias("top"), F.col("b").alias("bottom"))
-    cols = axis(strips(cells, keys, "x1", "x2"), "col_id").select(*keys, "col_id", F.col("a").alias("left"), F.col("b").alias("right"))
-    slots = rows.join(cols, keys)
-    c = prefixed(cells, "c_")
-    in_row = F.least("c_y2", "bottom") - F.greatest("c_y1", "top") >= F.lit(GRID_SLOT_SHARE) * (F.col("bottom") - F.col("top"))
-    met = slots.join(c, [F.col(k) == F.col(f"c_{k}") for k in keys] + [in_row], "left")
-    slot = type(box())(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"))
-    holds = F.col("c_cell_id").isNotNull() & share_inside(slot, box("c_"), GRID_SLOT_SHARE)
-    best = F.min(F.when(holds, F.struct(area(box("c_")).alias("s"), "c_cell_id", "c_x1", "c_y1", "c_x2", "c_y2")))
-    far = lambda x: F.least(F.abs(F.col(x) - F.col("left")), F.abs(F.col(x) - F.col("right")))
-    edge = F.min(F.when(F.col("c_cell_id").isNotNull(), F.least(F.struct(far("c_x1").alias("f"), F.col("c_cell_id").alias("i"), F.lit(0).alias("k"), F.col("c_x1").alias("x")), F.struct(far("c_x2").alias("f"), F.col("c_cell_id").alias("i"), F.lit(1).alias("k"), F.col("c_x2").alias("x")))))
-    got = met.groupBy(*keys, "row_id", "col_id", "left", "top", "right", "bottom").agg(best.alias("b"), edge.alias("e"))
-    pick = lambda part, none_x, own: F.when(F.col("b").isNotNull(), F.col(f"b.{part}")).when(F.col("e").isNotNull(), none_x).otherwise(own)
-    return got.select(
-        *keys, "row_id", "col_id", pick("c_x1", F.col("e.x"), F.col("left")).alias("x1"), pick("c_y1", F.col("top"), F.col("top")).alias("y1"),
-        pick("c_x2", F.col("e.x"), F.col("right")).alias("x2"), pick("c_y2", F.col("bottom"), F.col("bottom")).alias("y2"),
-    )
+    own = cells.select(*keys, "cell_id", "x1", "y1", "x2", "y2")
+    edges = edge_arrays(own, keys)
+    filled = spread(own, edges, keys).groupBy(*keys, "__r", "__c").agg(F.min(F.struct(area(box()).alias("s"), "cell_id", "x1", "y1", "x2", "y2")).alias("b"))
+    full = filled.select(*keys, F.col("__r").alias("row_id"), F.col("__c").alias("col_id"), "b.x1", "b.y1", "b.x2", "b.y2")
+    count = lambda es: F.when(F.size(es) > 1, F.sequence(F.lit(0), F.size(es) - 2)).otherwise(F.array().cast("array<int>"))
+    at = lambda es, i: F.element_at(es, F.col(i) + 1)
+    rows = edges.select(*[F.col(f"__{k}").alias(k) for k in keys], F.explode(count("__ys")).alias("row_id"), "__xs", "__ys")
+    slots = rows.select(*keys, "row_id", F.explode(count("__xs")).alias("col_id"), "__xs", at("__ys", "row_id").alias("top"), F.element_at("__ys", F.col("row_id") + 2).alias("bottom"))
+    bare = slots.join(filled.select(*keys, F.col("__r").alias("row_id"), F.col("__c").alias("col_id")), [*keys, "row_id", "col_id"], "left_anti")
+    bare = bare.select(*keys, "row_id", "col_id", at("__xs", "col_id").alias("left"), F.element_at("__xs", F.col("col_id") + 2).alias("right"), "top", "bottom")
+    c = spread(own, edges, keys, across=False).select(*[F.col(k).alias(f"c_{k}") for k in keys], "__r", "cell_id", "x1", "x2")
+    met = bare.join(c, [F.col(k) == F.col(f"c_{k}") for k in keys] + [F.col("row_id") == F.col("__r")], "left")
+    far = lambda x, k: F.struct(F.least(F.abs(F.col(x) - F.col("left")), F.abs(F.col(x) - F.col("right"))).alias("f"), F.col("cell_id").alias("i"), F.lit(k).alias("k"), F.col(x).alias("x"))
+    near = met.groupBy(*keys, "row_id", "col_id", "left", "top", "right", "bottom").agg(F.min(F.when(F.col("cell_id").isNotNull(), F.least(far("x1", 0), far("x2", 1)))).alias("e"))
+    return full.unionByName(near.select(*keys, "row_id", "col_id", F.coalesce("e.x", "left").alias("x1"), F.col("top").alias("y1"), F.coalesce("e.x", "right").alias("x2"), F.col("bottom").alias("y2")))
 
 
 def spans(grid: DataFrame, keys: list[str], literal: bool = False) -> DataFrame:
@@ -206,12 +193,3 @@ def implicit_lines(grid: DataFrame, whitespace: DataFrame, keys: list[str], leas
     bare = wide.join(edges, [F.col(k) == F.col(f"g_{k}") for k in keys] + [F.col("g_e").between(F.col("x1"), F.col("x2"))], "left_anti")
     mid = idiv(F.col("x1") + F.col("x2"), 2).cast("int")
     return bare.select(*keys, mid.alias("x1"), "y1", mid.alias("x2"), "y2")
-
-
-def clip_bounds(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """A table's bounding box and size."""
-    return cells.groupBy(*keys).agg(*[f(c).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))], F.count(F.lit(1)).alias("n_cells"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -12,36 +12,33 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..ship import map_arrow
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, list[dict]], Iterable[dict]], schema: str | StructType) -> DataFrame:
-    """``work(key, rows in order)`` gives the rows without their keys; the result has the keys first."""
+def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], Iterable[tuple]], schema: str | StructType) -> DataFrame:
+    """``work(rows in order)`` gets and gives rows without their keys; the result has the keys first."""
     out = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     full = StructType([*(df.schema[k] for k in keys), *out.fields])
-    arrow, names = to_arrow_schema(full), [f.name for f in out.fields]
+    arrow, k = to_arrow_schema(full), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, done = None, [], []
 
-        def finish() -> None:
-            for row in work(key, held):
-                done.append((*key, *(row[n] for n in names)))
-
         def flush() -> pa.RecordBatch:
             cols = list(zip(*done)) or [()] * len(arrow)
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                k = tuple(row[x] for x in keys)
-                if k != key and held:
-                    finish()
-                    held = []
-                    if len(done) > 20_000:
-                        yield flush()
-                key = k
-                held.append(row)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:k] != key:
+                    if held:
+                        done += [(*key, *r) for r in work(held)]
+                        held = []
+                        if len(done) > 20_000:
+                            yield flush()
+                    key = row[:k]
+                held.append(row[k:])
         if held:
-            finish()
+            done += [(*key, *r) for r in work(held)]
         yield flush()
 
-    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys, *order), run, full)
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return map_arrow(dealt.select(*keys, *[c for c in df.columns if c not in keys]), run, full)

@@ -48,11 +48,36 @@ def crosses(v: Box, h: Box, slack: int = 2) -> Column:
     return (v.x1 >= h.x1 - slack) & (v.x1 <= h.x2 + slack) & (h.y1 >= v.y1 - slack) & (h.y1 <= v.y2 + slack)
 
 
-def place_text(texts: DataFrame, cells: DataFrame, keys: list[str], text_id: str, share: float = 0.8) -> DataFrame:
-    """Each text box with the first cell, by row and column, that holds it: columns of ``texts``, row_id, col_id."""
-    met = overlap_join(texts, cells, keys, lambda a, b: text_inside(a, b, share))
-    first = Window.partitionBy(*[f"a_{k}" for k in keys], f"a_{text_id}").orderBy("b_row_id", "b_col_id")
-    return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*[F.col(f"a_{c}").alias(c) for c in texts.columns], F.col("b_row_id").alias("row_id"), F.col("b_col_id").alias("col_id"))
+def edge_arrays(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the sorted distinct edges of its boxes: ``__xs``, ``__ys``; keys are named ``__key``."""
+    edges = lambda a: F.sort_array(F.array_union(F.collect_set(f"{a}1"), F.collect_set(f"{a}2"))).alias(f"__{a}s")
+    return boxes.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(edges("x"), edges("y"))
+
+
+def _on(keys: list[str]) -> list:
+    return [F.col(k) == F.col(f"__{k}") for k in keys]
+
+
+def spread(boxes: DataFrame, edges: DataFrame, keys: list[str], across: bool = True) -> DataFrame:
+    """A row per strip of y (``__r``) and, with ``across``, of x (``__c``) that a box covers. Its edges are edges of the strips."""
+    strips_of = lambda es, a, b: F.when(F.col(a) < F.col(b), F.sequence(F.array_position(es, F.col(a)).cast("int") - 1, F.array_position(es, F.col(b)).cast("int") - 2)).otherwise(F.array().cast("array<int>"))
+    met = boxes.join(edges, _on(keys)).select(*boxes.columns, F.explode(strips_of("__ys", "y1", "y2")).alias("__r"), "__xs")
+    return met.select(*boxes.columns, "__r", F.explode(strips_of("__xs", "x1", "x2")).alias("__c")) if across else met.drop("__xs")
+
+
+def place_text(texts: DataFrame, cells: DataFrame, keys: list[str], text_id: str, share: float = 0.8, also: tuple[str, ...] = ()) -> DataFrame:
+    """Each text box with the first cell, by row and column, that holds it: columns of ``texts``, row_id, col_id and the cell's columns ``also``.
+
+    A cell that holds over half of a text box has its middle, so the two meet in the
+    strips of the cells' edges: an equi-join on key and strip numbers.
+    """
+    once = cells.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.min(F.struct("row_id", "col_id", *also)).alias("at"))
+    edges = edge_arrays(once, keys)
+    mid = lambda es, a, b: F.size(F.filter(es, lambda e: e * 2 <= F.col(a) + F.col(b))) - 1
+    found = texts.join(edges, [F.col(k) == F.col(f"__{k}") for k in keys]).select(*texts.columns, mid("__ys", "y1", "y2").alias("__tr"), mid("__xs", "x1", "x2").alias("__tc"))
+    met = found.join(prefixed(spread(once, edges, keys), "b_"), [*[F.col(k) == F.col(f"b_{k}") for k in keys], F.col("__tr") == F.col("b___r"), F.col("__tc") == F.col("b___c"), text_inside(box(), box("b_"), share)])
+    first = Window.partitionBy(*keys, text_id).orderBy("b_at")
+    return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*texts.columns, *[F.col(f"b_at.{c}").alias(c) for c in ("row_id", "col_id", *also)])
 
 
 def joined_text(placed: DataFrame, keys: list[str], text_id: str) -> DataFrame:

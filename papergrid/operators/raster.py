@@ -163,11 +163,11 @@ def rasterise(boxes: DataFrame, keys: list[str], width: int | None = None, heigh
     """Pages (keys, width, height, pixels) with dark boxes on white; where no size is given, each as large as its boxes reach. Boxes without a place are left aside."""
     from .grouped import map_groups
 
-    def work(_, rows):
-        own = [b for r in rows if None not in (b := (r["x1"], r["y1"], r["x2"], r["y2"]))]
+    def work(rows):
+        own = [b for b in rows if None not in b]
         w = width or max([1, *(b[2] for b in own)])
         h = height or max([1, *(b[3] for b in own)])
-        return [{"width": w, "height": h, "pixels": np.where(mask_of(own, w, h), 0, 255).astype(np.uint8).tobytes()}]
+        return [(w, h, np.where(mask_of(own, w, h), 0, 255).astype(np.uint8).tobytes())]
 
     return map_groups(boxes.select(*keys, "x1", "y1", "x2", "y2"), keys, ["y1", "x1"], work, "width int, height int, pixels binary")
 

@@ -27,9 +27,7 @@ def filled_tables(lined: DataFrame, texts: DataFrame, keys: list[str], min_gap:
     slots = materialised(slots, "slots")
     kinds = slots.select(*by, "borderless").distinct()
     cells = materialised(grid.spans(slots, by), "spans")
-    placed = overlap.place_text(texts.select(*keys, "text_id", "x1", "y1", "x2", "y2", "text"), cells.select(*keys, "table_ord", "row_id", "col_id", "x1", "y1", "x2", "y2"), keys, "text_id")
-    met = placed.join(cells.select(*by, "row_id", "col_id", F.col("x1").alias("cx1"), F.col("y1").alias("cy1"), F.col("x2").alias("cx2"), F.col("y2").alias("cy2")), [*keys, "row_id", "col_id"])
-    inside = met.where((F.col("x1") < F.col("cx2")) & (F.col("x2") > F.col("cx1")) & (F.col("y1") < F.col("cy2")) & (F.col("y2") > F.col("cy1"))).drop("cx1", "cy1", "cx2", "cy2")
+    inside = overlap.place_text(texts.select(*keys, "text_id", "x1", "y1", "x2", "y2", "text"), cells.select(*by, "row_id", "col_id", "x1", "y1", "x2", "y2"), keys, "text_id", also=("table_ord",))
     contents = overlap.joined_text(inside, by, "text_id").select(*by, "row_id", "col_id", "content")
     return cells.join(contents, [*by, "row_id", "col_id"], "left").withColumn("content", F.coalesce("content", F.lit(""))).join(kinds, by)
 

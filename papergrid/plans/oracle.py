@@ -21,17 +21,17 @@ W = f"""
 wl AS (SELECT doc_id, {_SPLIT.format("text", "chr(10)", "line", "line_no")} FROM documents),
 ww AS (SELECT doc_id, line_no, {_SPLIT.format("line", "' '", "word", "word_no")} FROM wl),
 wp AS (SELECT *, 8 * coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM ww),
-word_boxes AS (SELECT doc_id, line_no::INT AS line_no, word_no::INT AS word_no, x::INT AS x1, (20 * line_no)::INT AS y1, (x + 8 * length(word))::INT AS x2, (20 * line_no + 16)::INT AS y2, word FROM wp WHERE word <> '')"""
-N = "nl AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice)::INT AS ord FROM lineitem)"
+word_boxes AS MATERIALIZED (SELECT doc_id, line_no::INT AS line_no, word_no::INT AS word_no, x::INT AS x1, (20 * line_no)::INT AS y1, (x + 8 * length(word))::INT AS x2, (20 * line_no + 16)::INT AS y2, word FROM wp WHERE word <> '')"""
+N = "nl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice)::INT AS ord FROM lineitem)"
 RL = """
 rn AS (SELECT l_orderkey AS table_id, count(*)::INT AS n FROM lineitem GROUP BY 1),
-rule_lines AS (
+rule_lines AS MATERIALIZED (
   SELECT table_id, 'h' AS orient, 0 AS x1, (40 * k)::INT AS y1, 400 AS x2, (40 * k)::INT AS y2 FROM (SELECT table_id, unnest(range(n + 1)) AS k FROM rn)
   UNION ALL SELECT table_id, 'v', x, CASE WHEN x = 250 AND table_id % 3 = 0 THEN 40 ELSE 0 END, x, 40 * n FROM rn, (VALUES (0), (100), (250), (400)) AS v(x))"""
 CT = (
     N
     + """,
-cell_text AS (
+cell_text AS MATERIALIZED (
   SELECT l_orderkey AS table_id, (3 * (ord - 1) + k)::INT AS box_id, x AS x1, 40 * (ord - 1) + 10 AS y1, (x + 8 * length(t))::INT AS x2, 40 * (ord - 1) + 26 AS y2, t AS text
   FROM (SELECT l_orderkey, ord, 0 AS k, 10 AS x, l_partkey::VARCHAR AS t FROM nl UNION ALL SELECT l_orderkey, ord, 1, 110, CAST(trunc(l_quantity) AS INT)::VARCHAR FROM nl UNION ALL SELECT l_orderkey, ord, 2, 260, l_returnflag FROM nl))"""
 )
@@ -40,16 +40,16 @@ LO = (
     + f""",
 lb AS (SELECT l_orderkey AS page_id, 2 * ord AS obj_id, [{_list(LABELS)}][l_partkey % 10 + 1] AS label, round_even(l_discount * 100, 0)::INT AS confidence_pct,
               ((l_partkey * 37) % 700)::INT AS x1, ((l_suppkey * 53) % 900)::INT AS y1, ((l_partkey * 37) % 700 + 60 + l_partkey % 200)::INT AS x2, ((l_suppkey * 53) % 900 + 30 + l_suppkey % 150)::INT AS y2 FROM nl),
-layout_objects AS (SELECT * FROM lb UNION ALL SELECT page_id, obj_id + 1, label, (7 * confidence_pct + 3) % 100, x1 + 2, y1 + 1, x2 + 2, y2 + 1 FROM lb WHERE obj_id % 4 = 0)"""
+layout_objects AS MATERIALIZED (SELECT * FROM lb UNION ALL SELECT page_id, obj_id + 1, label, (7 * confidence_pct + 3) % 100, x1 + 2, y1 + 1, x2 + 2, y2 + 1 FROM lb WHERE obj_id % 4 = 0)"""
 )
 KV = """
-kv_boxes AS (
+kv_boxes AS MATERIALIZED (
   SELECT conv_id, turn::INT AS turn, 'key' AS part, 0 AS x1, (20 * turn)::INT AS y1, (8 * length(role))::INT AS x2, (20 * turn + 16)::INT AS y2, role AS text FROM conversations
   UNION ALL SELECT conv_id, turn::INT, 'value', 200, (20 * turn)::INT, (200 + 8 * length(text[1:40]))::INT, (20 * turn + 16)::INT, text[1:40] FROM conversations)"""
 TT = (
     N
     + """,
-tagged_tree AS (
+tagged_tree AS MATERIALIZED (
   SELECT l_orderkey AS page_id, 0 AS seq, 'Table' AS type, '' AS text FROM nl WHERE ord = 1
   UNION ALL SELECT l_orderkey, 4 * (ord - 1) + 1, 'TR', '' FROM nl UNION ALL SELECT l_orderkey, 4 * (ord - 1) + 2, 'TD', l_partkey::VARCHAR FROM nl
   UNION ALL SELECT l_orderkey, 4 * (ord - 1) + 3, 'TD', CAST(trunc(l_quantity) AS INT)::VARCHAR FROM nl UNION ALL SELECT l_orderkey, 4 * (ord - 1) + 4, 'TD', l_returnflag FROM nl)"""
@@ -59,7 +59,7 @@ h0 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(htm
 h1 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<(/?)(h1|p|li|footer|nav)( [^>]*)?>', chr(1) || '\\1\\2' || chr(2), 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g') AS h FROM h0),
 h2 AS (SELECT page_id, regexp_extract_all(h, chr(1) || '[A-Za-z0-9]+' || chr(2) || '[^' || chr(1) || ']*') AS bs FROM h1),
 h3 AS (SELECT page_id, unnest(bs) AS b, unnest(range(len(bs)))::INT AS block_ord FROM h2),
-html_blocks AS (SELECT page_id, block_ord, lower(regexp_extract(b, chr(1) || '([A-Za-z0-9]+)' || chr(2), 1)) AS tag, {_case("lower(regexp_extract(b, chr(1) || '([A-Za-z0-9]+)' || chr(2), 1))", BLOCK_LABELS)} AS label,
+html_blocks AS MATERIALIZED (SELECT page_id, block_ord, lower(regexp_extract(b, chr(1) || '([A-Za-z0-9]+)' || chr(2), 1)) AS tag, {_case("lower(regexp_extract(b, chr(1) || '([A-Za-z0-9]+)' || chr(2), 1))", BLOCK_LABELS)} AS label,
                 trim(regexp_replace(b, '^' || chr(1) || '[A-Za-z0-9]+' || chr(2), '')) AS text FROM h3)"""
 
 
@@ -83,29 +83,42 @@ b1 AS (SELECT table_id, x1, x2, max(y1) AS y1, y2 FROM b0 GROUP BY ALL),
 c0 AS (SELECT b1.table_id, b1.x1, b1.x2, b1.y1, b1.y2, v.x1 AS x FROM b1 JOIN vl v ON v.table_id = b1.table_id AND v.x1 BETWEEN b1.x1 - greatest(5, (b1.x2 - b1.x1) * 0.025) AND b1.x2 + greatest(5, (b1.x2 - b1.x1) * 0.025)
         AND b1.y2 - b1.y1 - (least(b1.y2, v.y2) - greatest(b1.y1, v.y1)) <= greatest(5, least(10, 0.1 * (b1.y2 - b1.y1)))),
 c1 AS (SELECT *, lead(x) OVER (PARTITION BY table_id, x1, x2, y1, y2 ORDER BY x) AS nx FROM c0),
-cells AS (SELECT table_id, (row_number() OVER (PARTITION BY table_id ORDER BY x1, x2, y2, y1 DESC, x) - 1)::INT AS cell_id, x AS x1, y1, nx AS x2, y2 FROM c1 WHERE nx IS NOT NULL)"""
+cells AS MATERIALIZED (SELECT table_id, (row_number() OVER (PARTITION BY table_id ORDER BY x1, x2, y2, y1 DESC, x) - 1)::INT AS cell_id, x AS x1, y1, nx AS x2, y2 FROM c1 WHERE nx IS NOT NULL)"""
+PAIRS = "pr AS MATERIALIZED (SELECT a.table_id, a.cell_id AS ai, b.cell_id AS bi, a, b FROM {0} a JOIN {0} b ON a.table_id = b.table_id)"
 ADJ = """
-adj AS (SELECT a.table_id, a.cell_id AS a_cell_id, b.cell_id AS b_cell_id FROM cells a JOIN cells b ON a.table_id = b.table_id AND a.cell_id < b.cell_id AND (
+adj AS MATERIALIZED (SELECT table_id, ai AS a_cell_id, bi AS b_cell_id FROM pr WHERE ai < bi AND (
   (least(a.y2, b.y2) - greatest(a.y1, b.y1) > 5 AND least(abs(a.x1 - b.x1), abs(a.x1 - b.x2), abs(a.x2 - b.x1), abs(a.x2 - b.x2)) <= least(5, least(a.x2 - a.x1, b.x2 - b.x1) // 20))
   OR (least(a.x2, b.x2) - greatest(a.x1, b.x1) > 5 AND least(abs(a.y1 - b.y1), abs(a.y1 - b.y2), abs(a.y2 - b.y1), abs(a.y2 - b.y2)) <= least(5, least(a.y2 - a.y1, b.y2 - b.y1) // 20))))"""
+RC = (
+    N
+    + """,
+rr AS (SELECT l_orderkey AS table_id, ord, l_partkey AS p, l_suppkey AS q, 40 * (ord - 1) + CASE WHEN ord > 4 THEN 100 ELSE 0 END AS t FROM nl),
+rc AS (
+  SELECT table_id, 4 * ord AS cell_id, (p % 7 - 3)::INT AS x1, (t + q % 7 - 3)::INT AS y1, (100 + (p + 1) % 7 - 3)::INT AS x2, (t + 40 + (q + 1) % 7 - 3)::INT AS y2 FROM rr
+  UNION ALL SELECT table_id, 4 * ord + 1, 97 + (p + 1) % 7, t + (q + 2) % 7 - 3, 247 + (p + 2) % 7, t + 37 + (q + 3) % 7 FROM rr
+  UNION ALL SELECT table_id, 4 * ord + 2, 247 + (p + 2) % 7, t + (q + 4) % 7 - 3, 397 + (p + 3) % 7, t + 37 + (q + 5) % 7 FROM rr
+  UNION ALL SELECT table_id, 4 * ord + 3, 4, t + 4, 396, t + 36 FROM rr WHERE ord % 4 = 1),
+rough_cells AS MATERIALIZED (SELECT table_id, cell_id::INT AS cell_id, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM rc)"""
+)
 GRID = """
 gy AS (SELECT table_id, a, lead(a) OVER (PARTITION BY table_id ORDER BY a) AS b, (row_number() OVER (PARTITION BY table_id ORDER BY a) - 1)::INT AS row_id FROM (SELECT table_id, y1 AS a FROM cells UNION SELECT table_id, y2 FROM cells)),
 gx AS (SELECT table_id, a, lead(a) OVER (PARTITION BY table_id ORDER BY a) AS b, (row_number() OVER (PARTITION BY table_id ORDER BY a) - 1)::INT AS col_id FROM (SELECT table_id, x1 AS a FROM cells UNION SELECT table_id, x2 FROM cells)),
 slots AS (SELECT gy.table_id, row_id, col_id, gx.a AS l, gy.a AS t, gx.b AS r, gy.b AS b FROM gy JOIN gx USING (table_id) WHERE gy.b IS NOT NULL AND gx.b IS NOT NULL),
 sc AS (SELECT s.*, c.x1, c.y1, c.x2, c.y2, row_number() OVER (PARTITION BY s.table_id, row_id, col_id ORDER BY (c.x2 - c.x1) * (c.y2 - c.y1), cell_id) AS n
        FROM slots s JOIN cells c ON c.table_id = s.table_id AND greatest(0, least(r, c.x2) - greatest(l, c.x1)) * greatest(0, least(b, c.y2) - greatest(t, c.y1)) >= 0.9 * (r - l) * (b - t) AND least(c.y2, b) - greatest(c.y1, t) >= 0.9 * (b - t)),
-grid AS (SELECT table_id, row_id, col_id, x1, y1, x2, y2 FROM sc WHERE n = 1)"""
+grid AS MATERIALIZED (SELECT table_id, row_id, col_id, x1, y1, x2, y2 FROM sc WHERE n = 1)"""
 SPANS = """
-spans AS (SELECT table_id, min(row_id) AS row_id, min(col_id) AS col_id, max(row_id) - min(row_id) + 1 AS rowspan, max(col_id) - min(col_id) + 1 AS colspan, x1, y1, x2, y2 FROM grid GROUP BY table_id, x1, y1, x2, y2)"""
+spans AS MATERIALIZED (SELECT table_id, min(row_id) AS row_id, min(col_id) AS col_id, max(row_id) - min(row_id) + 1 AS rowspan, max(col_id) - min(col_id) + 1 AS colspan, x1, y1, x2, y2 FROM grid GROUP BY table_id, x1, y1, x2, y2)"""
 INSIDE = "least(t.x2, c.x2) > greatest(t.x1, c.x1) AND least(t.y2, c.y2) > greatest(t.y1, c.y1) AND ((c.x1 <= t.x1 AND c.y1 <= t.y1 AND c.x2 >= t.x2 AND c.y2 >= t.y2) OR (least(t.x2, c.x2) - greatest(t.x1, c.x1)) * (least(t.y2, c.y2) - greatest(t.y1, c.y1)) >= {0} * (t.x2 - t.x1) * (t.y2 - t.y1))"
 FILLED = f"""
-pt AS (SELECT t.*, c.row_id, c.col_id, row_number() OVER (PARTITION BY t.table_id, t.box_id ORDER BY c.row_id, c.col_id) AS n FROM cell_text t JOIN spans c ON t.table_id = c.table_id AND {INSIDE.format(0.8)}),
+pm AS MATERIALIZED (SELECT t.*, c.row_id, c.col_id, {INSIDE.format(0.8)} AS inside FROM cell_text t JOIN spans c ON t.table_id = c.table_id),
+pt AS (SELECT * EXCLUDE inside, row_number() OVER (PARTITION BY table_id, box_id ORDER BY row_id, col_id) AS n FROM pm WHERE inside),
 pl AS (SELECT *, lag(x2) OVER w AS px2, lag(y2) OVER w AS py2 FROM pt WHERE n = 1 WINDOW w AS (PARTITION BY table_id, row_id, col_id ORDER BY y1, x1, box_id)),
 pc AS (SELECT table_id, row_id, col_id, string_agg(CASE WHEN px2 IS NOT NULL AND (abs(x1 - px2) >= 5 OR py2 < y1) THEN ' ' ELSE '' END || text, '' ORDER BY y1, x1, box_id) AS content FROM pl GROUP BY ALL),
 filled AS (SELECT spans.*, coalesce(content, '') AS content FROM spans LEFT JOIN pc USING (table_id, row_id, col_id))"""
 LT = f"""
 lw AS (SELECT *, lag(word) OVER (PARTITION BY doc_id, line_no ORDER BY word_no) AS prev FROM word_boxes),
-line_texts AS (SELECT doc_id, line_no, string_agg(CASE WHEN prev IS NULL OR regexp_matches(prev, '[{DASHES}\\s]$') OR regexp_matches(word, '^[{DASHES}\\s]') THEN '' ELSE ' ' END || word, '' ORDER BY word_no) AS line_text FROM lw GROUP BY ALL)"""
+line_texts AS MATERIALIZED (SELECT doc_id, line_no, string_agg(CASE WHEN prev IS NULL OR regexp_matches(prev, '[{DASHES}\\s]$') OR regexp_matches(word, '^[{DASHES}\\s]') THEN '' ELSE ' ' END || word, '' ORDER BY word_no) AS line_text FROM lw GROUP BY ALL)"""
 ENDS = "regexp_matches({0}, '[" + PERIODS + "]\\s*$')"
 ESC = "regexp_replace({0}, '([\\\\`*_~#+\\-!])', '\\\\\\1', 'g')"
 RENDER = (
@@ -177,8 +190,14 @@ ORACLES = {
         "c AS (SELECT page_id, (2 * (sep2 // 4) + 1)::INT AS sep, count(*) AS n, min(obj_id) AS first FROM s GROUP BY 1, 2)",
         select="SELECT page_id, sep AS line_sep, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS r FROM c) WHERE r = 1",
     ),
-    "iou_pairs": q(LO, select=f"SELECT a.page_id, a.obj_id AS a_obj_id, b.obj_id AS b_obj_id FROM layout_objects a JOIN layout_objects b ON a.page_id = b.page_id AND a.obj_id < b.obj_id WHERE {_I} > 0.8 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_I})"),
-    "box_overlap_join": q(LO, select=f"SELECT t.page_id, t.obj_id AS element_id, c.obj_id AS object_id FROM layout_objects t JOIN layout_objects c ON t.page_id = c.page_id AND c.label = 'table' AND t.label <> 'table' AND {INSIDE.format(0.7)}"),
+    "iou_pairs": q(
+        LO, f"pp AS MATERIALIZED (SELECT a.page_id, a.obj_id AS a_obj_id, b.obj_id AS b_obj_id, {_I} AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM layout_objects a JOIN layout_objects b ON a.page_id = b.page_id)",
+        select="SELECT page_id, a_obj_id, b_obj_id FROM pp WHERE a_obj_id < b_obj_id AND i > 0.8 * (s - i)",
+    ),
+    "box_overlap_join": q(
+        LO, f"pp AS MATERIALIZED (SELECT t.page_id, t.obj_id AS element_id, c.obj_id AS object_id, {INSIDE.format(0.7)} AS inside FROM layout_objects t JOIN layout_objects c ON t.page_id = c.page_id WHERE c.label = 'table' AND t.label <> 'table')",
+        select="SELECT page_id, element_id, object_id FROM pp WHERE inside",
+    ),
     "label_normalize": q(LO, select=f"SELECT page_id, obj_id, {CANON} AS canonical, {_case(CANON, HEADING_LEVEL)} AS level FROM layout_objects"),
     "table_pages": q(LO, select="SELECT o_orderkey AS page_id, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT page_id FROM layout_objects WHERE label = 'table')"),
     "padded_boxes": q(LO, select="SELECT page_id, obj_id, x1, y1, x2 + CASE WHEN label = 'table' THEN 12 ELSE 8 END AS x2, y2 + CASE WHEN label = 'table' THEN 12 ELSE 8 END AS y2 FROM layout_objects"),
@@ -204,16 +223,39 @@ ORACLES = {
     ),
     "column_count": q(CT, gaps("cell_text", "table_id", "x1", "x2", 20), select="SELECT table_id, (1 + coalesce(g, 0))::INT AS n_cols FROM (SELECT DISTINCT table_id FROM cell_text) LEFT JOIN (SELECT table_id, count(*) AS g FROM gap GROUP BY 1) USING (table_id)"),
     "cells_from_lines": q(RL, CELLS, select="SELECT * FROM cells"),
-    "cell_dedup": q(RL, CELLS, select="SELECT * FROM cells WHERE x2 > x1 AND y2 > y1"),
-    "cell_adjacency": q(RL, CELLS, ADJ, select="SELECT * FROM adj"),
-    "table_components": q(RL, CELLS, ADJ, select="SELECT table_id, cell_id, min(cell_id) OVER (PARTITION BY table_id) AS component FROM cells WHERE (table_id, cell_id) IN (SELECT (table_id, a_cell_id) FROM adj UNION SELECT (table_id, b_cell_id) FROM adj)"),
-    "snapped_cells": q(RL, CELLS, select="SELECT table_id, cell_id, x1, y1, x2, y2 FROM cells"),
+    "cell_dedup": q(
+        RC, "k AS (SELECT table_id, cell_id, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, greatest(x2, 0) AS x2, greatest(y2, 0) AS y2, (x2 - x1) * (y2 - y1) AS a FROM rough_cells)",
+        "ex AS (SELECT table_id, x1 AS e FROM k UNION SELECT table_id, x2 FROM k), ey AS (SELECT table_id, y1 AS e FROM k UNION SELECT table_id, y2 FROM k)",
+        "f AS (SELECT k.table_id, k.cell_id, row_number() OVER (PARTITION BY k.table_id, ex.e, ey.e ORDER BY a, cell_id) AS n FROM k JOIN ex ON k.table_id = ex.table_id JOIN ey ON k.table_id = ey.table_id WHERE ex.e >= x1 AND ex.e < x2 AND ey.e >= y1 AND ey.e < y2)",
+        select="SELECT * FROM rough_cells WHERE (table_id, cell_id) IN (SELECT (table_id, cell_id) FROM f WHERE n = 1)",
+    ),
+    "cell_adjacency": q(RL, CELLS, PAIRS.format("cells"), ADJ, select="SELECT * FROM adj"),
+    "table_components": q(
+        RC, PAIRS.format("rough_cells"), ADJ, "both_ways AS (SELECT table_id, a_cell_id AS u, b_cell_id AS v FROM adj UNION ALL SELECT table_id, b_cell_id, a_cell_id FROM adj), reach AS (SELECT table_id, u, v FROM both_ways UNION SELECT r.table_id, r.u, w.v FROM reach r JOIN both_ways w ON r.table_id = w.table_id AND r.v = w.u)",
+        select="SELECT table_id, u AS cell_id, least(u, min(v)) AS component FROM reach GROUP BY 1, 2",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "snapped_cells": q(
+        RC, "z AS (SELECT table_id, least((max(x2) - min(x1)) * 0.02, 10.0) AS tx, least((max(y2) - min(y1)) * 0.02, 10.0) AS ty FROM rough_cells GROUP BY 1)",
+        "e AS (SELECT table_id, 'x' AS axis, x1 AS e FROM rough_cells UNION SELECT table_id, 'x', x2 FROM rough_cells UNION SELECT table_id, 'y', y1 FROM rough_cells UNION SELECT table_id, 'y', y2 FROM rough_cells)",
+        "n AS (SELECT e.*, coalesce((e - lag(e) OVER w >= CASE WHEN axis = 'x' THEN tx ELSE ty END)::INT, 0) AS new FROM e JOIN z USING (table_id) WINDOW w AS (PARTITION BY table_id, axis ORDER BY e))",
+        "m AS (SELECT *, sum(new) OVER (PARTITION BY table_id, axis ORDER BY e) AS grp FROM n), d AS MATERIALIZED (SELECT table_id, axis, round_even(sum(e)::DOUBLE / count(*), 0)::INT AS d FROM m GROUP BY table_id, axis, grp)",
+        "u AS (SELECT table_id, cell_id, unnest(['x1', 'y1', 'x2', 'y2']) AS side, unnest([x1, y1, x2, y2]) AS v FROM rough_cells)",
+        "w AS (SELECT u.table_id, cell_id, side, arg_min(d.d, abs(d.d - v) * 100000 + d.d) AS s FROM u JOIN d ON u.table_id = d.table_id AND u.side[1] = d.axis GROUP BY 1, 2, 3)",
+        "o AS (SELECT table_id, cell_id, max(s) FILTER (WHERE side = 'x1') AS x1, max(s) FILTER (WHERE side = 'y1') AS y1, max(s) FILTER (WHERE side = 'x2') AS x2, max(s) FILTER (WHERE side = 'y2') AS y2 FROM w GROUP BY 1, 2)",
+        select="SELECT * FROM o WHERE x2 > x1 AND y2 > y1",
+    ),
     "grid_pivot": q(RL, CELLS, GRID, select="SELECT * FROM grid"),
+    "grid_gaps": q(
+        RL, CELLS.replace("cells AS", "every AS").replace("FROM cells", "FROM every"), "cells AS MATERIALIZED (SELECT * FROM every WHERE cell_id % 5 <> 2)", GRID,
+        "bare AS (SELECT * FROM slots WHERE (table_id, row_id, col_id) NOT IN (SELECT (table_id, row_id, col_id) FROM grid)), nr AS (SELECT b.*, c.cell_id, unnest([0, 1]) AS k, unnest([c.x1, c.x2]) AS x FROM bare b LEFT JOIN cells c ON b.table_id = c.table_id AND c.y1 <= b.t AND c.y2 >= b.b)",
+        "fb AS (SELECT table_id, row_id, col_id, l, t, r, b, arg_min(x, [least(abs(x - l), abs(x - r)), cell_id, k]) AS x FROM nr GROUP BY ALL)",
+        select="SELECT * FROM grid UNION ALL SELECT table_id, row_id, col_id, coalesce(x, l), t, coalesce(x, r), b FROM fb",
+    ),
     "span_compress": q(RL, CELLS, GRID, SPANS, select="SELECT * FROM spans"),
     "text_to_cell": q(RL, CT, CELLS, GRID, select=f"SELECT table_id, box_id, row_id, col_id FROM (SELECT t.table_id, t.box_id, c.row_id, c.col_id, row_number() OVER (PARTITION BY t.table_id, t.box_id ORDER BY c.row_id, c.col_id) AS n FROM cell_text t JOIN grid c ON t.table_id = c.table_id AND {INSIDE.format(0.8)}) WHERE n = 1"),
     "cell_contents": q(RL, CT, CELLS, GRID, SPANS, FILLED, select="SELECT table_id, row_id, col_id, rowspan, colspan, content FROM filled"),
     "empty_row_col_drop": q(
-        RL, CT, CELLS, GRID, "f AS (SELECT DISTINCT c.table_id, row_id, col_id FROM grid c JOIN cell_text t ON c.table_id = t.table_id AND c.x1 <= t.x1 AND c.y1 <= t.y1 AND c.x2 >= t.x2 AND c.y2 >= t.y2)",
+        RL, CT, CELLS, GRID, "f AS (SELECT DISTINCT c.table_id, row_id, col_id FROM grid c JOIN cell_text t ON c.table_id = t.table_id WHERE t.box_id // 3 % 4 <> 1 AND c.x1 <= t.x1 AND c.y1 <= t.y1 AND c.x2 >= t.x2 AND c.y2 >= t.y2)",
         select="SELECT table_id, (dense_rank() OVER (PARTITION BY table_id ORDER BY row_id) - 1)::INT AS row_id, (dense_rank() OVER (PARTITION BY table_id ORDER BY col_id) - 1)::INT AS col_id, x1, y1, x2, y2 FROM grid WHERE (table_id, row_id) IN (SELECT (table_id, row_id) FROM f) AND (table_id, col_id) IN (SELECT (table_id, col_id) FROM f)",
     ),
     "row_coherency": q(
@@ -247,7 +289,10 @@ ORACLES = {
         AND NOT EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = l.table_id AND l.x1 BETWEEN t.x1 - 4 AND t.x2 + 4 AND l.y1 BETWEEN t.y1 - 2 AND t.y2 + 2 AND l.x2 BETWEEN t.x1 - 4 AND t.x2 + 4 AND l.y2 BETWEEN t.y1 - 2 AND t.y2 + 2)
         AND NOT EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = l.table_id AND CASE WHEN l.y1 = l.y2 THEN l.y1 > t.y1 + 4 AND l.y1 < t.y2 - 4 AND l.x1 < t.x2 AND l.x2 > t.x1 WHEN l.x1 = l.x2 THEN l.x1 > t.x1 + 4 AND l.x1 < t.x2 - 4 AND l.y1 < t.y2 AND l.y2 > t.y1 ELSE true END)""",
     ),
-    "upright_line_semi": q(RL, select="SELECT * FROM rule_lines v WHERE orient = 'v' AND EXISTS (SELECT 1 FROM rule_lines h WHERE h.orient = 'h' AND h.table_id = v.table_id AND v.x1 BETWEEN h.x1 - 2 AND h.x2 + 2 AND h.y1 BETWEEN v.y1 - 2 AND v.y2 + 2)"),
+    "upright_line_semi": q(
+        RL, "sv AS (SELECT * FROM rule_lines WHERE orient = 'v' AND x1 = 0 AND table_id % 2 = 0), st AS MATERIALIZED (SELECT * FROM rule_lines UNION ALL SELECT table_id, 'v', 450, y1, 450, y2 FROM sv UNION ALL SELECT table_id, 'h', 30, -60, 90, -60 FROM sv)",
+        select="SELECT * FROM st v WHERE orient = 'v' AND EXISTS (SELECT 1 FROM st h WHERE h.orient = 'h' AND h.table_id = v.table_id AND v.x1 BETWEEN h.x1 - 2 AND h.x2 + 2 AND h.y1 BETWEEN v.y1 - 2 AND v.y2 + 2)",
+    ),
     "dup_line_drop": q(
         RL, CT, "d AS (SELECT * FROM rule_lines WHERE orient = 'h' UNION ALL SELECT table_id, 'h', 5, y1 + 3, x2, y2 + 3 FROM rule_lines WHERE orient = 'h'), n AS (SELECT *, row_number() OVER w AS n, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(x2) OVER w AS nx2 FROM d WINDOW w AS (PARTITION BY table_id ORDER BY y1, x1, x2))",
         "g AS (SELECT table_id, CASE WHEN nx2 - nx1 > x2 - x1 THEN n ELSE n + 1 END AS gone FROM n WHERE ny1 - y1 <= 10 AND NOT EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = n.table_id AND t.y1 >= n.y1 AND t.y2 <= n.ny1 AND t.x1 < greatest(n.x2, n.nx2) AND t.x2 > least(n.x1, n.nx1)))",
@@ -336,7 +381,12 @@ ORACLES |= {
         select="SELECT table_id, position, true AS ruled FROM ru UNION ALL SELECT DISTINCT table_id, centre, false FROM gap WHERE NOT EXISTS (SELECT 1 FROM ru WHERE ru.table_id = gap.table_id AND abs(ru.position - gap.centre) <= 40)",
     ),
     "snapped_uprights": q(RL, select="SELECT table_id, x1, y1, x2, y2 FROM rule_lines WHERE orient = 'v'"),
-    "outer_cells": q(RL, select="SELECT table_id, 'right' AS side, CASE WHEN n = 1 AND table_id % 3 = 0 THEN 100 ELSE 250 END AS x1, (40 * k)::INT AS y1, 400 AS x2, (40 * k + 40)::INT AS y2 FROM (SELECT table_id, n, unnest(range(n)) AS k FROM rn)"),
+    "outer_cells": q(
+        RL, CELLS, "bd AS (SELECT table_id, min(x1) AS cl, max(x2) AS cr, min(y1) AS ct, max(y2) AS cb FROM cells WHERE x1 >= 100 AND x2 <= 250 GROUP BY 1)",
+        "hs AS (SELECT bd.*, r.x1, r.x2, r.y1 AS y FROM rule_lines r JOIN bd ON r.table_id = bd.table_id WHERE orient = 'h' AND r.y1 BETWEEN ct - 5 AND cb + 5)",
+        "lf AS (SELECT table_id, 'left' AS side, max(x1) OVER (PARTITION BY table_id) AS a, cl AS b, y, lead(y) OVER (PARTITION BY table_id ORDER BY y) AS below FROM hs WHERE 20 * (cl - x1) >= cr - cl), rt AS (SELECT table_id, 'right' AS side, cr AS a, min(x2) OVER (PARTITION BY table_id) AS b, y, lead(y) OVER (PARTITION BY table_id ORDER BY y) AS below FROM hs WHERE 20 * (x2 - cr) >= cr - cl)",
+        select="SELECT table_id, side, a AS x1, y AS y1, b AS x2, below AS y2 FROM (SELECT * FROM lf UNION ALL SELECT * FROM rt) WHERE below > y AND b > a",
+    ),
     "whitespace_dedup": _SWEEP.replace(
         "SELECT page_id, min(a) AS x1, first AS y1, max(b) AS x2, last AS y2 FROM t GROUP BY page_id, first, last, run",
         """, ws AS (SELECT page_id, min(a) AS x1, first AS y1, max(b) AS x2, last AS y2 FROM t GROUP BY page_id, first, last, run), wn AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x1, y1, x2, y2) AS n FROM ws),
@@ -346,7 +396,7 @@ ORACLES |= {
         FROM wn WHERE NOT EXISTS (SELECT 1 FROM wq WHERE wq.page_id = wn.page_id AND an = n AND (ha < hb OR (ha = hb AND an > bn)))""",
     ),
     "coherent_rows": q(
-        RL, CT, CELLS, GRID, "ht AS (SELECT c.table_id, c.row_id, count(DISTINCT c.col_id) AS n FROM grid c WHERE c.x2 > c.x1 AND EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = c.table_id AND t.text <> 'N' AND 2 * greatest(0, least(t.x2, c.x2) - greatest(t.x1, c.x1)) * greatest(0, least(t.y2, c.y2) - greatest(t.y1, c.y1)) >= (t.x2 - t.x1) * (t.y2 - t.y1)) GROUP BY 1, 2), sq AS (SELECT table_id, min(row_id) AS lo, max(row_id) AS hi FROM ht WHERE n >= 2 GROUP BY 1)",
+        RL, CT, CELLS, GRID, "ht AS (SELECT c.table_id, c.row_id, count(DISTINCT c.col_id) AS n FROM grid c WHERE c.x2 > c.x1 AND EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = c.table_id AND (t.box_id // 3 % 3 <> 0 OR t.box_id % 3 = 0) AND 2 * greatest(0, least(t.x2, c.x2) - greatest(t.x1, c.x1)) * greatest(0, least(t.y2, c.y2) - greatest(t.y1, c.y1)) >= (t.x2 - t.x1) * (t.y2 - t.y1)) GROUP BY 1, 2), sq AS (SELECT table_id, min(row_id) AS lo, max(row_id) AS hi FROM ht WHERE n >= 2 GROUP BY 1)",
         select="SELECT table_id, row_id - lo AS row_id, col_id, x1, y1, x2, y2 FROM grid JOIN sq USING (table_id) WHERE row_id BETWEEN lo AND hi",
     ),
     "raster_components": q(KV, select="SELECT conv_id, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM kv_boxes WHERE x2 > x1"),

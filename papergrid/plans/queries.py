@@ -53,7 +53,7 @@ def whitespace_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def row_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return gaps.coverage_histogram(D.word_boxes(spark, sf), DOC, "y1", "y2", F.col("x2") - F.col("x1"), "y")
+    return gaps.coverage_histogram(D.words(spark, sf).select("doc_id", (F.col("line_no") * 20).alias("y1"), (F.col("line_no") * 20 + 16).alias("y2"), "word"), DOC, "y1", "y2", F.length("word") * 8, "y")
 
 
 def filled_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +62,7 @@ def filled_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def char_width_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.char_width(D.word_boxes(spark, sf).withColumn("w", F.col("x2") - F.col("x1")), DOC, "w")
+    return stats.char_width(D.words(spark, sf).withColumn("w", F.length("word") * 8), DOC, "w")
 
 
 def average_char_width(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +160,7 @@ def cells_from_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cell_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.drop_covered(_cells(spark, sf), TABLE)
+    return grid.drop_covered(D.rough_cells(spark, sf), TABLE)
 
 
 def cell_adjacency(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,17 +168,23 @@ def cell_adjacency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_components(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.components(grid.adjacent(_cells(spark, sf), TABLE), TABLE)
+    """Rough cells: an order of over four lines has two tables."""
+    return grid.components(grid.adjacent(D.rough_cells(spark, sf), TABLE), TABLE)
 
 
 def snapped_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.snapped_cells(_cells(spark, sf), TABLE)
+    return grid.snapped_cells(D.rough_cells(spark, sf), TABLE)
 
 
 def grid_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return _grid(spark, sf)
 
 
+def grid_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid where every fifth cell is missing: slots that no cell covers."""
+    return grid.to_grid(_cells(spark, sf).where("cell_id % 5 <> 2"), TABLE)
+
+
 def span_compress(spark: SparkSession, sf: str) -> DataFrame:
     return grid.spans(_grid(spark, sf), TABLE)
 
@@ -192,7 +198,8 @@ def cell_contents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def empty_row_col_drop(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.drop_empty(_grid(spark, sf), D.cell_text(spark, sf), TABLE)
+    """Every fourth row has no text."""
+    return grid.drop_empty(_grid(spark, sf), D.cell_text(spark, sf).where("floor(box_id / 3) % 4 <> 1"), TABLE)
 
 
 def row_coherency(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +236,7 @@ def noise_line_drop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upright_line_semi(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.connected_uprights(D.rule_lines(spark, sf), TABLE)
+    return lines.connected_uprights(D.stray_lines(spark, sf), TABLE)
 
 
 def dup_line_drop(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,11 +303,11 @@ def doc_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return text.line_texts(D.word_boxes(spark, sf), DOC, "line_no", "word_no", "word")
+    return text.line_texts(D.words(spark, sf), DOC, "line_no", "word_no", "word")
 
 
 def paragraph_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return text.fold_paragraphs(text.line_texts(D.word_boxes(spark, sf), DOC, "line_no", "word_no", "word"), DOC, "line_no")
+    return text.fold_paragraphs(text.line_texts(D.words(spark, sf), DOC, "line_no", "word_no", "word"), DOC, "line_no")
 
 
 def list_tag_detect(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,7 +346,7 @@ QUERIES = {
         column_gaps, column_positions, text_line_groups, band_line_groups, y_band_split, blank_bands, merged_spans, close_value_groups, whitespace_sweep, row_histogram,
         filled_runs, char_width_mode, average_char_width, width_histogram, median_box, line_sep_mode, iou_pairs, box_overlap_join, label_normalize, table_pages, padded_boxes,
         points_to_pixels, clip_windows, nms, containment_filter, reading_order, attach_cells, column_count, cells_from_lines, cell_dedup, cell_adjacency, table_components,
-        snapped_cells, grid_pivot, span_compress, text_to_cell, cell_contents, empty_row_col_drop, row_coherency, table_markdown, table_html, table_json, table_dump, edge_lines,
+        snapped_cells, grid_pivot, grid_gaps, span_compress, text_to_cell, cell_contents, empty_row_col_drop, row_coherency, table_markdown, table_html, table_json, table_dump, edge_lines,
         cell_edges, noise_line_drop, upright_line_semi, dup_line_drop, row_separators, inferred_rows, extended_uprights, aligned_borders, implicit_columns, consecutive_merge,
         kv_table, tagged_tree_tables, html_blocks, doc_markdown, line_texts, paragraph_fold, list_tag_detect, md_escape, media_types, chunk_render, line_geometry,
     )
@@ -376,8 +383,8 @@ def snapped_uprights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outer_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells that level lines imply where the table's own end at x = 250."""
-    inner = _cells(spark, sf).where("x2 <= 250")
+    """Cells that level lines imply on both sides of a table whose own cells are the middle column."""
+    inner = _cells(spark, sf).where("x1 >= 100 and x2 <= 250")
     return borderless.outer_cells(inner, D.rule_lines(spark, sf), TABLE)
 
 
@@ -386,7 +393,8 @@ def whitespace_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coherent_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return borderless.coherent_rows(_grid(spark, sf), D.cell_text(spark, sf).where("text <> 'N'"), TABLE)
+    """Every third row has one text only."""
+    return borderless.coherent_rows(_grid(spark, sf), D.cell_text(spark, sf).where("floor(box_id / 3) % 3 <> 0 or box_id % 3 = 0"), TABLE)
 
 
 def raster_components(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import half_even
+from ..ship import map_arrow
 
 LABELS = ("doc_title", "text", "paragraph_title", "table", "header", "footer", "Figure", "table_caption", "abandon", "seal")
 
@@ -14,16 +20,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box per word: eight pixels a character, twenty a line. Texts are dealt by document once; all later grouping by document needs no shuffle."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per word: line_no, word_no. Split in the scan; texts are not dealt anew."""
+    docs = read(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("word_no", "word"))
-    before = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    x1 = (F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)) * 8).cast("int")
-    placed = words.withColumn("x1", x1).where("word <> ''")
-    y1 = F.col("line_no") * 20
-    return placed.select("doc_id", F.lit(1).alias("page_no"), "line_no", "word_no", "x1", y1.alias("y1"), (F.col("x1") + F.length("word") * 8).cast("int").alias("x2"), (y1 + 16).alias("y2"), "word")
+    return lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("word_no", "word")).where("word <> ''")
+
+
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box per word: eight pixels a character, twenty a line. Where a word begins is summed along its line, in the scan: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                lines, at, word, x, wide = [], [], [], [], []
+                for line_no, line in enumerate((text or "").split("\n")):
+                    x1 = 0
+                    for word_no, w in enumerate(line.split(" ")):
+                        if w:
+                            lines.append(line_no)
+                            at.append(word_no)
+                            word.append(w)
+                            x.append(x1)
+                            wide.append(8 * len(w))
+                        x1 += 8 * (len(w) + 1)
+                line, x1 = np.array(lines, np.int32), np.array(x, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(at), batch.column(0).type), *(pa.array(c, pa.int32()) for c in (line, np.array(at, np.int32), x1, 20 * line, x1 + np.array(wide, np.int32), 20 * line + 16)), pa.array(word, pa.string())], names=["doc_id", "line_no", "word_no", "x1", "y1", "x2", "y2", "word"])
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ints = [T.StructField(c, T.IntegerType()) for c in ("line_no", "word_no", "x1", "y1", "x2", "y2")]
+    return map_arrow(docs, run, T.StructType([docs.schema["doc_id"], *ints, T.StructField("word", T.StringType())]))
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +68,27 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.unionByName(v.select("table_id", "orient", "x1", top.alias("y1"), F.col("x1").alias("x2"), (F.col("n") * 40).alias("y2")))
 
 
+def stray_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled lines, and in every other table an upright one right of all level ones and a level one above all upright ones."""
+    lines = rule_lines(spark, sf_dir)
+    n = lines.where("orient = 'v' and x1 = 0 and table_id % 2 = 0")
+    over = n.select("table_id", F.lit("v").alias("orient"), F.lit(450).alias("x1"), "y1", F.lit(450).alias("x2"), "y2")
+    return lines.unionByName(over).unionByName(n.select("table_id", F.lit("h").alias("orient"), F.lit(30).alias("x1"), F.lit(-60).alias("y1"), F.lit(90).alias("x2"), F.lit(-60).alias("y2")))
+
+
+def rough_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as a detector gives them: edges up to three pixels off, rows from the fifth on a hundred pixels lower, and over every fourth row a cell that the others cover."""
+    rows = numbered_lines(spark, sf_dir)
+    off = lambda c, k: ((F.col(c) + k) % 7 - 3).cast("int")
+    top = (F.col("ord") - 1) * 40 + F.when(F.col("ord") > 4, 100).otherwise(0)
+    cell = lambda k, left, right, a, b, c, d: F.struct(F.lit(k).alias("k"), (F.lit(left) + a).alias("x1"), (top + b).alias("y1"), (F.lit(right) + c).alias("x2"), (top + 40 + d).alias("y2"))
+    p, q = (lambda k: off("l_partkey", k)), (lambda k: off("l_suppkey", k))
+    own = [cell(0, 0, 100, p(0), q(0), p(1), q(1)), cell(1, 100, 250, p(1), q(2), p(2), q(3)), cell(2, 250, 400, p(2), q(4), p(3), q(5))]
+    over = cell(3, 4, 396, F.lit(0), F.lit(4), F.lit(0), F.lit(-4))
+    each = rows.select(F.col("l_orderkey").alias("table_id"), "ord", F.explode(F.when(F.col("ord") % 4 == 1, F.array(*own, over)).otherwise(F.array(*own))).alias("c"))
+    return each.select("table_id", (F.col("ord") * 4 + F.col("c.k")).alias("cell_id"), "c.x1", "c.y1", "c.x2", "c.y2")
+
+
 def cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three text boxes per line item."""
     rows = numbered_lines(spark, sf_dir)
