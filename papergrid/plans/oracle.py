@@ -402,3 +402,96 @@ ORACLES |= {
     "raster_components": q(KV, select="SELECT conv_id, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM kv_boxes WHERE x2 > x1"),
     "raster_lines": q(KV, select="SELECT conv_id, 'h' AS orient, 5 AS x1, y1 + 18 AS y1, 400 AS x2, y1 + 18 AS y2 FROM kv_boxes WHERE part = 'key'"),
 }
+
+HF = """
+hf AS MATERIALIZED (SELECT table_id, orient, CASE WHEN orient = 'h' AND table_id % 2 = 0 THEN 102 ELSE x1 END AS x1, CASE WHEN orient = 'h' AND table_id % 5 = 0 AND y1 = 40 THEN 60 ELSE y1 END AS y1, x2, CASE WHEN orient = 'h' AND table_id % 5 = 0 AND y1 = 40 THEN 60 ELSE y2 END AS y2
+  FROM rule_lines WHERE (orient = 'v' AND x1 > 0) OR (orient = 'h' AND y1 > 0)),
+fr AS (SELECT table_id, min(x1) - 5 AS fl, min(y1) - 5 AS ft, max(x2) + 5 AS fr, max(y2) + 5 AS fb FROM rule_lines GROUP BY 1),
+ro AS (SELECT fr.*, min(x1) FILTER (WHERE orient = 'v') AS rl, max(x1) FILTER (WHERE orient = 'v') AS rr, min(y1) FILTER (WHERE orient = 'h') AS rt, max(y1) FILTER (WHERE orient = 'h') AS rb FROM fr LEFT JOIN hf USING (table_id) GROUP BY ALL),
+sd AS (SELECT table_id, unnest(['left', 'right', 'top', 'bottom']) AS side, unnest([rl, rr, rt, rb]) AS ruled, unnest([fl, fr, ft, fb]) AS f FROM ro),
+mid AS (SELECT table_id, 'x' AS ax, x1 + x2 AS m FROM cell_text UNION ALL SELECT table_id, 'y', y1 + y2 FROM cell_text),
+ed AS MATERIALIZED (SELECT table_id, side, ruled, ruled IS NULL OR EXISTS (SELECT 1 FROM mid WHERE mid.table_id = sd.table_id AND ax = CASE WHEN side IN ('left', 'right') THEN 'x' ELSE 'y' END AND m > 2 * least(ruled, f) AND m < 2 * greatest(ruled, f)) AS added, f FROM sd),
+edges AS MATERIALIZED (SELECT table_id, side, ruled, CASE WHEN added THEN f ELSE ruled END AS edge, added FROM ed),
+eb AS MATERIALIZED (SELECT table_id, max(edge) FILTER (WHERE side = 'left') AS el, max(edge) FILTER (WHERE side = 'top') AS et, max(edge) FILTER (WHERE side = 'right') AS er, max(edge) FILTER (WHERE side = 'bottom') AS eb FROM edges GROUP BY 1)"""
+SU = """
+su AS MATERIALIZED (SELECT * FROM (SELECT table_id, orient, CASE WHEN orient = 'v' AND x1 = 100 AND table_id % 5 = 0 THEN 116 ELSE x1 END AS x1, y1, CASE WHEN orient = 'v' AND x1 = 100 AND table_id % 5 = 0 THEN 116 ELSE x2 END AS x2,
+  CASE WHEN orient = 'v' AND x1 IN (100, 250) THEN CASE WHEN table_id % 2 = 0 THEN least(40, y2) ELSE y2 - 3 END ELSE y2 END AS y2 FROM rule_lines) WHERE y2 > y1 OR orient = 'h')"""
+MC = "mc AS MATERIALIZED (SELECT * FROM cells WHERE x1 >= 100 AND x2 <= 250), ms AS (SELECT table_id, max(x2) - min(x1) AS w, max(y2) - min(y1) AS h FROM mc GROUP BY 1)"
+CL = "cl AS MATERIALIZED (SELECT l.* FROM {0} l JOIN ms USING (table_id) WHERE EXISTS (SELECT 1 FROM mc WHERE mc.table_id = l.table_id AND CASE WHEN orient = 'h' THEN 20 * least(abs(l.y1 - mc.y1), abs(l.y1 - mc.y2)) <= h ELSE 20 * least(abs(l.x1 - mc.x1), abs(l.x1 - mc.x2)) <= w END))"
+CB = """
+cc AS (SELECT table_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM mc GROUP BY 1),
+le AS (SELECT table_id, orient, min(CASE WHEN orient = 'h' THEN x1 ELSE y1 END) AS lo, max(CASE WHEN orient = 'h' THEN x2 ELSE y2 END) AS hi FROM cl GROUP BY 1, 2),
+lr AS (SELECT *, CASE WHEN orient = 'h' THEN x1 ELSE y1 END AS p, CASE WHEN orient = 'h' THEN x2 ELSE y2 END AS q, row_number() OVER (PARTITION BY table_id, orient ORDER BY CASE WHEN orient = 'h' THEN y1 ELSE x1 END, CASE WHEN orient = 'h' THEN x1 ELSE y1 END, CASE WHEN orient = 'h' THEN x2 ELSE y2 END) AS a, count(*) OVER (PARTITION BY table_id, orient) AS z FROM cl),
+lf AS (SELECT le.*, (SELECT bool_and(20 * (p - lo) <= hi - lo) FROM lr WHERE lr.table_id = le.table_id AND lr.orient = le.orient AND (a = 1 OR a = z)) AS at_lo, (SELECT bool_and(20 * (hi - q) <= hi - lo) FROM lr WHERE lr.table_id = le.table_id AND lr.orient = le.orient AND (a = 1 OR a = z)) AS at_hi FROM le),
+bounds AS MATERIALIZED (SELECT cc.table_id, CASE WHEN h.at_lo AND cc.x1 - h.lo > 16 THEN h.lo ELSE cc.x1 END AS x1, CASE WHEN v.at_lo AND cc.y1 - v.lo > 16 THEN v.lo ELSE cc.y1 END AS y1, CASE WHEN h.at_hi AND h.hi - cc.x2 > 16 THEN h.hi ELSE cc.x2 END AS x2, CASE WHEN v.at_hi AND v.hi - cc.y2 > 16 THEN v.hi ELSE cc.y2 END AS y2
+  FROM cc LEFT JOIN lf h ON h.table_id = cc.table_id AND h.orient = 'h' LEFT JOIN lf v ON v.table_id = cc.table_id AND v.orient = 'v')"""
+SL = "sl0 AS (SELECT *, max(y2) OVER (PARTITION BY table_id) AS m FROM rule_lines), sl AS MATERIALIZED (SELECT * EXCLUDE m FROM sl0 WHERE orient = 'v' OR y1 % 80 = 0 OR y1 = m)"
+IR = """
+bn AS (SELECT table_id, first, last, last - first + 1 AS tall FROM band), um AS (SELECT table_id, list_sort(list(tall)) AS ts FROM bn GROUP BY 1),
+ir AS MATERIALIZED (SELECT bn.table_id, ((first + last) // 2)::INT AS y FROM bn JOIN um USING (table_id) WHERE 2 * tall >= CASE WHEN len(ts) >= 3 THEN ts[(len(ts) + 1) // 2] ELSE 0 END
+  AND NOT EXISTS (SELECT 1 FROM sl WHERE sl.table_id = bn.table_id AND orient = 'h' AND sl.y1 BETWEEN first - 1 AND last + 1))"""
+_STRAY = "sv AS (SELECT * FROM rule_lines WHERE orient = 'v' AND x1 = 0 AND table_id % 2 = 0), st AS MATERIALIZED (SELECT * FROM rule_lines UNION ALL SELECT table_id, 'v', 450, y1, 450, y2 FROM sv UNION ALL SELECT table_id, 'h', 30, -60, 90, -60 FROM sv)"
+_CROSS = "EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = l.table_id AND {0})"
+
+
+def _frame_step(source: str, name: str, orient: str, end: str, side: str, clash: str) -> str:
+    """One side of framed_lines: the ends at the outermost ruled line go to the edge unless that is an added one behind text."""
+    to = f"CASE WHEN l.orient = '{orient}' AND abs(l.{end} - e.ruled) < 4 AND NOT (e.added AND {_CROSS.format(clash)}) THEN e.edge ELSE l.{end} END"
+    cols = ", ".join(f"{to} AS {c}" if c == end else f"l.{c}" for c in ("x1", "y1", "x2", "y2"))
+    return f"{name} AS MATERIALIZED (SELECT l.table_id, l.orient, {cols} FROM {source} l JOIN edges e ON e.table_id = l.table_id AND e.side = '{side}')"
+
+
+def _level(x1: str, x2: str) -> str:
+    return f"CASE WHEN l.y1 = l.y2 THEN l.y1 > t.y1 AND l.y1 < t.y2 AND {x1} < t.x2 AND {x2} > t.x1 ELSE true END"
+
+
+def _upright(y1: str, y2: str) -> str:
+    return f"CASE WHEN {y1} = {y2} THEN {y1} > t.y1 AND {y1} < t.y2 AND l.x1 < t.x2 AND l.x2 > t.x1 WHEN l.x1 = l.x2 THEN l.x1 > t.x1 AND l.x1 < t.x2 AND {y1} < t.y2 AND {y2} > t.y1 ELSE true END"
+
+
+_DRAW = """
+vn AS MATERIALIZED (SELECT *, row_number() OVER w AS n, lag(x1) OVER w AS lx FROM su WHERE orient = 'v' WINDOW w AS (PARTITION BY table_id ORDER BY x1, y1, y2)), hy AS (SELECT DISTINCT table_id, y1 AS y FROM su WHERE orient = 'h'),
+cand AS MATERIALIZED (SELECT v.*, y, least(y, y1) AS tlo, y1 AS thi, y2 AS blo, greatest(y, y2) AS bhi FROM vn v JOIN hy USING (table_id)),
+up AS (SELECT table_id, n, min(y) AS y FROM cand c WHERE abs(y - y1) <= 4 OR (y < y1 AND lx < x1 AND NOT EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = c.table_id AND t.x1 + 4 < c.x1 AND t.x2 - 4 > c.x1 AND t.y1 < thi AND t.y2 > tlo)
+  AND EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = c.table_id AND t.x1 >= lx AND t.x2 <= c.x1 AND t.y1 >= tlo AND t.y2 <= thi)) GROUP BY 1, 2),
+dn AS (SELECT table_id, n, max(y) AS y FROM cand c WHERE abs(y - y2) <= 4 OR (y > y2 AND lx < x1 AND NOT EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = c.table_id AND t.x1 + 4 < c.x1 AND t.x2 - 4 > c.x1 AND t.y1 < bhi AND t.y2 > blo)
+  AND EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = c.table_id AND t.x1 >= lx AND t.x2 <= c.x1 AND t.y1 >= blo AND t.y2 <= bhi)) GROUP BY 1, 2)"""
+
+ORACLES |= {
+    "dup_upright_drop": q(
+        RL, CT, "uv AS (SELECT * FROM rule_lines WHERE orient = 'v'), d AS (SELECT * FROM uv UNION ALL SELECT table_id, orient, x1 + CASE WHEN table_id % 2 = 0 THEN 4 ELSE 30 END, y1, x1 + CASE WHEN table_id % 2 = 0 THEN 4 ELSE 30 END, y2 FROM uv)",
+        "n AS MATERIALIZED (SELECT *, row_number() OVER w AS n, lead(x1) OVER w AS nx, lead(y1) OVER w AS ny1, lead(y2) OVER w AS ny2 FROM d WINDOW w AS (PARTITION BY table_id ORDER BY x1, y1, y2))",
+        "g AS (SELECT table_id, CASE WHEN ny2 - ny1 > y2 - y1 THEN n ELSE n + 1 END AS gone FROM n WHERE nx - x1 <= 40 AND NOT EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = n.table_id AND t.x1 >= n.x1 AND t.x2 <= nx AND t.y1 < greatest(n.y2, ny2) AND t.y2 > least(n.y1, ny1)))",
+        select="SELECT table_id, orient, x1, y1, x2, y2 FROM n WHERE (table_id, n) NOT IN (SELECT (table_id, gone) FROM g)",
+    ),
+    "lines_in_gaps": q(RL, CT, gaps("cell_text", "table_id", "x1", "x2", 20), _STRAY, "tl AS (SELECT table_id, min(y1) - 20 AS a, max(y2) + 20 AS b FROM cell_text GROUP BY 1)", select="SELECT * FROM st WHERE EXISTS (SELECT 1 FROM gap JOIN tl USING (table_id) WHERE gap.table_id = st.table_id AND first <= st.x1 AND st.x2 <= last AND a <= st.y1 AND st.y2 <= b)"),
+    "frame_edges": q(RL, CT, HF, select="SELECT * FROM edges"),
+    "added_borders": q(RL, CT, HF, select="SELECT table_id, side, CASE WHEN side IN ('left', 'right') THEN 'v' ELSE 'h' END AS orient, CASE WHEN side IN ('left', 'right') THEN edge ELSE el END AS x1, CASE WHEN side IN ('left', 'right') THEN et ELSE edge END AS y1, CASE WHEN side IN ('left', 'right') THEN edge ELSE er END AS x2, CASE WHEN side IN ('left', 'right') THEN eb ELSE edge END AS y2 FROM edges JOIN eb USING (table_id) WHERE added"),
+    "framed_lines": q(
+        RL, CT, HF, _frame_step("hf", "s1", "h", "x1", "left", _level("e.edge", "l.x2")), _frame_step("s1", "s2", "h", "x2", "right", _level("l.x1", "e.edge")), _frame_step("s2", "s3", "v", "y1", "top", _upright("e.edge", "l.y2")), _frame_step("s3", "s4", "v", "y2", "bottom", _upright("l.y1", "e.edge")),
+        select="SELECT * FROM s4",
+    ),
+    "drawn_uprights": q(RL, CT, SU, _DRAW, select="SELECT v.table_id, v.x1, coalesce(up.y, v.y1) AS y1, v.x2, coalesce(dn.y, v.y2) AS y2 FROM vn v LEFT JOIN up USING (table_id, n) LEFT JOIN dn USING (table_id, n)"),
+    "stretched_uprights": q(
+        RL, CT, SU, "v AS MATERIALIZED (SELECT DISTINCT table_id, x1, y1, x2, y2 FROM su WHERE orient = 'v'), re AS (SELECT table_id, min(y1) AS top, max(y1) AS bottom FROM su WHERE orient = 'h' GROUP BY 1)",
+        "nb AS MATERIALIZED (SELECT v.*, (SELECT min([t.y1, t.y2]) FROM cell_text t WHERE t.table_id = v.table_id AND t.x1 + 2 <= v.x1 AND t.x2 - 2 >= v.x1 AND t.y1 > v.y1) AS b, (SELECT max([t.y2, t.y1]) FROM cell_text t WHERE t.table_id = v.table_id AND t.x1 + 2 <= v.x1 AND t.x2 - 2 >= v.x1 AND t.y2 < v.y2) AS a FROM v)",
+        "sb AS (SELECT *, (SELECT max(h.y1) FROM su h WHERE h.orient = 'h' AND h.table_id = nb.table_id AND h.y1 <= b[1] AND h.y1 >= nb.y2) AS hb, (SELECT min(h.y1) FROM su h WHERE h.orient = 'h' AND h.table_id = nb.table_id AND h.y1 >= a[1] AND h.y1 <= nb.y1) AS ha FROM nb)",
+        select="SELECT table_id, x1, (CASE WHEN y1 > top THEN CASE WHEN a IS NULL THEN top ELSE coalesce(ha, a[1] + (a[1] - a[2]) // 2) END ELSE y1 END)::INT AS y1, x2, (CASE WHEN y2 < bottom THEN CASE WHEN b IS NULL THEN bottom ELSE coalesce(hb, b[1] - (b[2] - b[1]) // 2) END ELSE y2 END)::INT AS y2 FROM sb LEFT JOIN re USING (table_id)",
+    ),
+    "cluster_lines": q(RL, CELLS, MC, _STRAY, CL.format("st"), select="SELECT * FROM cl"),
+    "cluster_bounds": q(RL, CELLS, MC, CL.format("rule_lines"), CB, select="SELECT * FROM bounds"),
+    "semi_bordered_cells": q(
+        RL, CELLS, MC, CL.format("rule_lines"), CB,
+        "ev AS (SELECT table_id, x1, y1, x2, y2 FROM bounds UNION ALL SELECT table_id, x1, y1, x2, y2 FROM mc), xs AS (SELECT table_id, list_sort(list(DISTINCT e)) AS xs FROM (SELECT table_id, x1 AS e FROM ev UNION SELECT table_id, x2 FROM ev) GROUP BY 1), ys AS (SELECT table_id, list_sort(list(DISTINCT e)) AS ys FROM (SELECT table_id, y1 AS e FROM ev UNION SELECT table_id, y2 FROM ev) GROUP BY 1)",
+        "sp AS (SELECT DISTINCT * FROM (SELECT b.table_id, unnest(['h', 'h', 'v', 'v']) AS o, unnest([xs[1], xs[-2], ys[1], ys[-2]]) AS a, unnest([xs[2], xs[-1], ys[2], ys[-1]]) AS b, unnest([b.y1, b.y1, b.x1, b.x1]) AS lo, unnest([b.y2, b.y2, b.x2, b.x2]) AS hi FROM bounds b JOIN xs USING (table_id) JOIN ys USING (table_id)))",
+        "cu AS (SELECT s.table_id, o, a, b, CASE WHEN o = 'h' THEN l.y1 ELSE l.x1 END AS cut FROM sp s JOIN cl l ON l.table_id = s.table_id AND l.orient = o WHERE 10 * (least(CASE WHEN o = 'h' THEN l.x2 ELSE l.y2 END, b) - greatest(CASE WHEN o = 'h' THEN l.x1 ELSE l.y1 END, a)) >= 9 * (b - a) UNION SELECT table_id, o, a, b, lo FROM sp UNION SELECT table_id, o, a, b, hi FROM sp)",
+        "pa AS (SELECT *, lead(cut) OVER (PARTITION BY table_id, o, a, b ORDER BY cut) AS to_ FROM cu), nw AS MATERIALIZED (SELECT DISTINCT table_id, CASE WHEN o = 'h' THEN a ELSE cut END AS x1, CASE WHEN o = 'h' THEN cut ELSE a END AS y1, CASE WHEN o = 'h' THEN b ELSE to_ END AS x2, CASE WHEN o = 'h' THEN to_ ELSE b END AS y2 FROM pa WHERE to_ > cut AND b > a)",
+        "fx AS MATERIALIZED (SELECT * FROM nw a WHERE NOT EXISTS (SELECT 1 FROM mc b WHERE b.table_id = a.table_id AND " + _I + " >= 0.5 * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))))",
+        select="SELECT * FROM fx a WHERE NOT EXISTS (SELECT 1 FROM fx b WHERE b.table_id = a.table_id AND (a.x1, a.y1, a.x2, a.y2) <> (b.x1, b.y1, b.x2, b.y2) AND (a.x2 - a.x1) * (a.y2 - a.y1) <= (b.x2 - b.x1) * (b.y2 - b.y1) AND " + _I + " >= 0.5 * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)))",
+    ),
+    "implicit_rows": q(RL, CT, gaps("cell_text", "table_id", "y1", "y2", 1, "band"), SL, IR, "fm AS (SELECT table_id, min(x1) - 5 AS x1, max(x2) + 5 AS x2 FROM rule_lines GROUP BY 1)", select="SELECT table_id, 'h' AS orient, x1, y AS y1, x2, y AS y2 FROM ir JOIN fm USING (table_id)"),
+    "implicit_grid": q(
+        RL, CT, gaps("cell_text", "table_id", "y1", "y2", 1, "band"), SL, IR, "fm AS (SELECT table_id, min(x1) AS x1, max(x2) AS x2 FROM sl GROUP BY 1), drawn AS MATERIALIZED (SELECT * FROM sl UNION ALL SELECT table_id, 'h', x1, y, x2, y FROM ir JOIN fm USING (table_id))",
+        CELLS.replace("FROM rule_lines", "FROM drawn"), GRID, select="SELECT * FROM grid",
+    ),
+}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import text as X
-from ..operators import borderless, gaps, grid, layout, lines, overlap, raster, render, stats, text
+from ..operators import borderless, borders, gaps, grid, layout, lines, overlap, raster, render, stats, text
 from ..shared import materialised
 from ..sources import derive as D
 
@@ -412,3 +412,97 @@ QUERIES |= {
     f.__name__: f
     for f in (borderless_table, implied_lines, table_dedup, split_regions, merged_positions, snapped_uprights, outer_cells, whitespace_dedup, coherent_rows, raster_components, raster_lines)
 }
+
+
+def _half_framed(spark: SparkSession, sf: str) -> DataFrame:
+    """Ruled lines without a table's left and top ones; in even tables level lines begin two pixels right of the first upright, in every fifth the second one is in a row of text."""
+    left = F.when((F.col("orient") == "h") & (F.col("table_id") % 2 == 0), 102).otherwise(F.col("x1"))
+    low = lambda c: F.when((F.col("orient") == "h") & (F.col("table_id") % 5 == 0) & (F.col("y1") == 40), 60).otherwise(F.col(c))
+    some = D.rule_lines(spark, sf).where("(orient = 'v' and x1 > 0) or (orient = 'h' and y1 > 0)")
+    return some.select("table_id", "orient", left.alias("x1"), low("y1").alias("y1"), "x2", low("y2").alias("y2"))
+
+
+def _frames(spark: SparkSession, sf: str) -> DataFrame:
+    """A detector's box of each table: five pixels around it."""
+    return D.rule_lines(spark, sf).groupBy("table_id").agg((F.min("x1") - 5).alias("x1"), (F.min("y1") - 5).alias("y1"), (F.max("x2") + 5).alias("x2"), (F.max("y2") + 5).alias("y2"))
+
+
+def dup_upright_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """Upright lines and their copies: four pixels beside them, and thirty, with text between some."""
+    v = D.rule_lines(spark, sf).where("orient = 'v'")
+    copy = v.select("table_id", "orient", (F.col("x1") + F.when(F.col("table_id") % 2 == 0, 4).otherwise(30)).alias("x1"), "y1", (F.col("x1") + F.when(F.col("table_id") % 2 == 0, 4).otherwise(30)).alias("x2"), F.col("y2"))
+    return borders.drop_duplicate_uprights(v.unionByName(copy), D.cell_text(spark, sf), TABLE, 40)
+
+
+def lines_in_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Upright lines that lie in the blanks between columns of text."""
+    g = gaps.gap_scan(D.cell_text(spark, sf), TABLE, "x1", "x2", 20)
+    tall = D.cell_text(spark, sf).groupBy("table_id").agg((F.min("y1") - 20).alias("y1"), (F.max("y2") + 20).alias("y2"))
+    return borders.lines_in_boxes(D.stray_lines(spark, sf), g.join(tall, TABLE).select("table_id", F.col("first").alias("x1"), "y1", F.col("last").alias("x2"), "y2"), TABLE)
+
+
+def frame_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.frame_edges(_half_framed(spark, sf), D.cell_text(spark, sf), _frames(spark, sf), TABLE)
+
+
+def added_borders(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.added_borders(materialised(frame_edges(spark, sf), "edges"), TABLE)
+
+
+def framed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.framed_lines(_half_framed(spark, sf), D.cell_text(spark, sf), materialised(frame_edges(spark, sf), "edges"), TABLE)
+
+
+def _short_uprights(spark: SparkSession, sf: str) -> DataFrame:
+    """Ruled lines whose inner uprights end early (after the first row in even tables, three pixels early in others); in every fifth table one passes a column of text."""
+    inner = (F.col("orient") == "v") & F.col("x1").isin(100, 250)
+    x = lambda c: F.when(inner & (F.col("table_id") % 5 == 0) & (F.col("x1") == 100), 116).otherwise(F.col(c))
+    y2 = F.when(inner, F.when(F.col("table_id") % 2 == 0, F.least(F.lit(40), F.col("y2"))).otherwise(F.col("y2") - 3)).otherwise(F.col("y2"))
+    return D.rule_lines(spark, sf).select("table_id", "orient", x("x1").alias("x1"), "y1", x("x2").alias("x2"), y2.alias("y2")).where("y2 > y1 or orient = 'h'")
+
+
+def drawn_uprights(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.drawn_uprights(_short_uprights(spark, sf), D.cell_text(spark, sf), TABLE)
+
+
+def stretched_uprights(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.stretched_uprights(_short_uprights(spark, sf), D.cell_text(spark, sf), TABLE)
+
+
+def cluster_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.cluster_lines(_cells(spark, sf).where("x1 >= 100 and x2 <= 250"), D.stray_lines(spark, sf), TABLE)
+
+
+def cluster_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.cluster_bounds(_cells(spark, sf).where("x1 >= 100 and x2 <= 250"), D.rule_lines(spark, sf), TABLE, 8)
+
+
+def semi_bordered_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """New cells around the middle column of each table."""
+    return borders.semi_bordered_cells(_cells(spark, sf).where("x1 >= 100 and x2 <= 250"), D.rule_lines(spark, sf), TABLE, 8)
+
+
+def _some_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Ruled lines without every other level one inside a table."""
+    return D.rule_lines(spark, sf).withColumn("__m", F.max("y2").over(Window.partitionBy("table_id"))).where("orient = 'v' or y1 % 80 = 0 or y1 = __m").drop("__m")
+
+
+def implicit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return borders.implicit_rows(D.cell_text(spark, sf), _some_lines(spark, sf), _frames(spark, sf), TABLE)
+
+
+def implicit_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """A table drawn again with the rows that its text implies."""
+    lines_ = _some_lines(spark, sf)
+    tables = lines_.groupBy("table_id").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
+    both = materialised(lines_.unionByName(borders.implicit_rows(D.cell_text(spark, sf), lines_, tables, TABLE)), "implicit-lines")
+    return grid.to_grid(materialised(grid.numbered(grid.cells_from_lines(both, TABLE), TABLE), "implicit-cells"), TABLE)
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        dup_upright_drop, lines_in_gaps, frame_edges, added_borders, framed_lines, drawn_uprights, stretched_uprights, cluster_lines, cluster_bounds, semi_bordered_cells, implicit_rows,
+        implicit_grid,
+    )
+}
