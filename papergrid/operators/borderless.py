@@ -45,11 +45,24 @@ def dedup_tables(tables: DataFrame, keys: list[str], ident: str, share: float =
     return kept.select(*keys, F.posexplode("ts").alias("pos", "t")).select(*keys, "pos", F.col("t.i").alias(ident), "t.x1", "t.y1", "t.x2", "t.y2")
 
 
-def merge_positions(ruled: DataFrame, detected: DataFrame, keys: list[str], near: int) -> DataFrame:
-    """Ruled positions, and the detected ones that have no ruled one within ``near``: position, ruled."""
-    r = prefixed(ruled.select(*keys, "position"), "r_")
-    own = detected.join(r, [F.col(k) == F.col(f"r_{k}") for k in keys] + [F.abs(F.col("position") - F.col("r_position")) <= near], "left_anti")
-    return ruled.select(*keys, "position", F.lit(True).alias("ruled")).distinct().unionByName(own.select(*keys, "position", F.lit(False).alias("ruled")).distinct())
+def merge_positions(ruled: DataFrame, detected: DataFrame, texts: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
+    """Positions of columns: the upright lines' (x1, y1, y2), and where these are fewer than the detected ones, of those each that is
+    ``least`` or more from a line beside it, with a text box wholly between the two. ``ruled`` tells which."""
+    lines = ruled.groupBy(*keys, F.col("x1").alias("position")).agg(F.min_by("y1", F.struct("y1", "y2")).alias("y1"), F.min_by("y2", F.struct("y1", "y2")).alias("y2"))
+    found = detected.select(*keys, "position").distinct().join(lines.select(*keys, "position"), [*keys, "position"], "left_anti")
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    more = count(detected.select(*keys, "position").distinct(), "__d").join(count(lines, "__r"), keys, "left").where("__d > coalesce(__r, 0)").select(*keys)
+    every = lines.withColumn("ruled", F.lit(True)).unionByName(found.join(more, keys, "left_semi").select(*keys, "position", F.lit(None).cast("int").alias("y1"), F.lit(None).cast("int").alias("y2"), F.lit(False).alias("ruled")))
+    by = Window.partitionBy(*keys).orderBy("position")
+    own = F.when(F.col("ruled"), F.struct("position", "y1", "y2"))
+    beside = every.withColumns({"__l": F.lag(own).over(by), "__n": F.lead(own).over(by)})
+    t = prefixed(texts.select(*keys, "x1", "y1", "x2", "y2"), "t_")
+    met = beside.where("not ruled").join(t, [F.col(k) == F.col(f"t_{k}") for k in keys], "left")
+    between = lambda line, a, b: F.bool_or((F.col("t_x1") >= a) & (F.col("t_x2") <= b) & (F.col("t_y1") >= F.col(f"{line}.y1")) & (F.col("t_y2") <= F.col(f"{line}.y2")))
+    told = met.groupBy(*keys, "position", "__l", "__n").agg(between("__l", F.col("__l.position"), F.col("position")).alias("a"), between("__n", F.col("position"), F.col("__n.position")).alias("b"))
+    fine = lambda line, has: F.col(line).isNull() | ((F.abs(F.col(f"{line}.position") - F.col("position")) >= least) & F.coalesce(has, F.lit(False)))
+    kept = told.where(fine("__l", F.col("a")) & fine("__n", F.col("b")))
+    return lines.select(*keys, "position", F.lit(True).alias("ruled")).unionByName(kept.select(*keys, "position", F.lit(False).alias("ruled")))
 
 
 def implied_lines(texts: DataFrame, keys: list[str], order: list[str], min_gap: int, margin: int = 4) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_breaks_to_html
@@ -27,9 +27,13 @@ def markdown(cells: DataFrame, keys: list[str], title: Column | None = None) ->
     return table.select(*keys, F.concat(head, line(F.element_at("rows", 1)), rule, _joined(F.slice("rows", F.lit(2), F.size("rows")), line)).alias("markdown"))
 
 
-def html(cells: DataFrame, keys: list[str], first_row_head: bool = False, key_value: bool = False) -> DataFrame:
-    """``<table>`` with spans. The head holds as many rows as its first spanning cell; it is left out if these exceed two, for a single row, or for key-value tables."""
+def html(cells: DataFrame, keys: list[str], first_row_head: bool = False, key_value: bool = False, title: str | None = None) -> DataFrame:
+    """``<table>`` with spans, and with the column ``title`` (constant in a table) as its caption where it isn't empty. The head holds as many rows as its first spanning cell; it is left out if these exceed two, for a single row, or for key-value tables."""
     table = _rows(cells, keys, ["content", "rowspan", "colspan"])
+    caption = F.lit("")
+    if title:
+        table = table.join(cells.groupBy(*keys).agg(F.max(title).alias("__title")), keys)
+        caption = F.when(F.coalesce("__title", F.lit("")) != "", F.concat(F.lit("<caption>"), "__title", F.lit("</caption>"))).otherwise(caption)
     spanning = F.filter(F.element_at("rows", 1)["cells"], lambda c: c["rowspan"] > 1)
     head = F.when(F.size(spanning) > 0, F.element_at(spanning, 1)["rowspan"]).otherwise(1)
     table = table.withColumn("__head", F.when(F.lit(first_row_head and not key_value) & (head <= 2) & (F.size("rows") > 1), head).otherwise(0))
@@ -45,7 +49,14 @@ def html(cells: DataFrame, keys: list[str], first_row_head: bool = False, key_va
     rows = lambda a, tag: _joined(a, lambda r: F.concat(F.lit("<tr>"), _joined(r["cells"], cell(tag)), F.lit("</tr>")))
     heads = F.when(F.col("__head") > 0, F.concat(F.lit("<thead>"), rows(F.slice("rows", F.lit(1), F.col("__head")), "th"), F.lit("</thead>"))).otherwise(F.lit(""))
     body = rows(F.slice("rows", F.col("__head") + 1, F.size("rows")), "td")
-    return table.select(*keys, F.concat(F.lit("<table>"), heads, body, F.lit("</table>")).alias("html"))
+    return table.select(*keys, F.concat(F.lit("<table>"), caption, heads, body, F.lit("</table>")).alias("html"))
+
+
+def table_order(cells: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """A page's tables by the top of their first cell; those without cells last. Columns: keys, the table, table_pos."""
+    tops = cells.groupBy(*keys, table).agg(F.min_by("y1", F.struct("row_id", "col_id")).alias("top"))
+    by = Window.partitionBy(*keys).orderBy(F.col("top").asc_nulls_last(), table)
+    return tops.select(*keys, table, (F.row_number().over(by) - 1).alias("table_pos"))
 
 
 def html_page(tables: DataFrame, keys: list[str], order: str, page_no: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import canonical, heading_level
-from ..functions.text import DASHES, ends_paragraph, escape_markdown, heading, list_tag
+from ..functions.text import DASHES, ends_paragraph, ends_with_space, escape_markdown, heading, list_tag
 from .gaps import gap_scan, islands
 
 
@@ -20,15 +20,49 @@ def line_texts(words: DataFrame, keys: list[str], line: str, word: str, text: st
 
 
 def fold_paragraphs(lines: DataFrame, keys: list[str], line: str, text: str = "line_text") -> DataFrame:
-    """Paragraphs: lines up to one that ends in a period. The last may lack its period; it then ends in a space and the blank line."""
+    """Paragraphs: lines up to one that ends in a period, or to one that begins a list item. Without its period a paragraph ends in a space and the blank line.
+    One of white space alone is a line break."""
     by = Window.partitionBy(*keys).orderBy(line)
-    ended = F.coalesce(F.sum(ends_paragraph(F.col(text)).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    grouped = lines.withColumn("para_id", ended.cast("int")).withColumn("__end", ends_paragraph(F.col(text)))
+    tagged = lines.withColumn("__end", ends_paragraph(F.col(text))).withColumn("__tag", list_tag(F.col(text)).isNotNull())
+    new = (F.coalesce(F.lag("__end").over(by), F.lit(False)) | (F.col("__tag") & F.lag(text).over(by).isNotNull())).cast("int")
+    grouped = tagged.withColumn("__new", new).withColumn("para_id", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     agg = grouped.groupBy(*keys, "para_id").agg(F.array_sort(F.collect_list(F.struct(F.col(line).alias("o"), F.col(text).alias("t")))).alias("ls"), F.max("__end").alias("ended"))
-    whole = F.concat(F.array_join(F.transform("ls", lambda x: x["t"]), " "), F.when(F.col("ended"), F.lit("\n\n")).otherwise(F.lit(" \n\n")))
+    own = F.array_join(F.transform("ls", lambda x: x["t"]), " ")
+    whole = F.when(F.rlike(own, F.lit("^\\s*$")), F.lit("\n")).otherwise(F.concat(own, F.when(F.col("ended"), F.lit("\n\n")).otherwise(F.lit(" \n\n"))))
     return agg.select(*keys, "para_id", F.size("ls").alias("n_lines"), whole.alias("text"), list_tag(F.element_at("ls", 1)["t"]).alias("list_tag"))
 
 
+def joined_elements(elements: DataFrame, keys: list[str], order: str, baseline: str, bullets: bool = False) -> DataFrame:
+    """Text of elements in order: one that begins a list item on another line than the one before goes on a line of its own after ``- ``
+    (without its tag, unless ``bullets``); others get a space before them on another line, where none is yet."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    before = F.lag("text").over(by)
+    other_line = before.isNotNull() & (F.lag(baseline).over(by) != F.col(baseline))
+    begins = list_tag(F.col("text")).isNotNull() & (before.isNull() | other_line)
+    bare = F.col("text") if bullets else F.regexp_replace("text", "^[ \\t]*[^ \\t]+", "")
+    part = F.when(begins, F.concat(F.lit("\n\n- "), bare)).when(other_line & ~ends_with_space(before), F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
+    parts = elements.select(*keys, F.struct(F.col(order).alias("o"), part.alias("p")).alias("s"))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["p"]), "").alias("text"))
+
+
+def appended(buffer: Column, text: Column, space: bool = False, line: bool = False) -> Column:
+    """``text`` behind ``buffer``, after a space or a line break if asked for and if there is anything before it."""
+    between = F.lit("\n" if line else " " if space else "")
+    return F.when(F.coalesce(buffer, F.lit("")) == "", text).otherwise(F.concat(buffer, between, text))
+
+
+def structure_text(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Of nodes in pre-order (seq, last: the last node under it, type, text): each cell's text, that of all nodes under it; after a paragraph or list item that isn't the first thing comes a line break."""
+    so_far = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    cell = F.upper("type").isin("TH", "TD")
+    owner = nodes.withColumn("__c", F.last(F.when(cell, F.struct("seq", "last")), ignorenulls=True).over(so_far))
+    own = owner.where(~cell & (F.col("seq") <= F.col("__c.last")))
+    close = F.when(F.upper("type").isin("P", "LI"), F.array(F.struct((F.col("last") * 2 + 1).alias("at"), F.lit("\n").alias("t")))).otherwise(F.array().cast("array<struct<at:int,t:string>>"))
+    events = own.select(*keys, F.col("__c.seq").alias("seq"), F.explode(F.concat(F.array(F.struct((F.col("seq") * 2).alias("at"), F.coalesce("text", F.lit("")).alias("t"))), close)).alias("e"))
+    texts = events.groupBy(*keys, "seq").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), ""), "^\n+", "").alias("text"))
+    return nodes.where(cell).select(*keys, "seq").join(texts, [*keys, "seq"], "left").select(*keys, "seq", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def key_value_tables(boxes: DataFrame, keys: list[str], order: list[str], min_gap: int) -> DataFrame:
     """Rows of a key-value table: line_id, key and value boxes' bounds and texts.
 

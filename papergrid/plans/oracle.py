@@ -213,9 +213,14 @@ ORACLES = {
         select="SELECT page_id, (pos - 1)::INT AS pos, o.obj_id FROM (SELECT page_id, unnest(kept) AS o, unnest(range(1, len(kept) + 1)) AS pos FROM r)",
     ),
     "reading_order": q(
-        LO, f"s AS (SELECT *, {_SEC} AS section FROM layout_objects WHERE label NOT IN ({_list(ARTIFACT_LABELS)})), body AS (SELECT * FROM s WHERE section = 1)", gaps("body", "page_id", "x1", "x2", 30),
-        "c AS (SELECT s.*, CASE WHEN section = 1 THEN (SELECT count(*) FROM gap g WHERE g.page_id = s.page_id AND g.centre <= s.x2) ELSE 0 END::INT AS column_id FROM s)",
-        select="SELECT page_id, obj_id, section, column_id, (row_number() OVER (PARTITION BY page_id ORDER BY section, column_id, CASE WHEN section = 1 THEN y1 ELSE x2 END, obj_id) - 1)::INT AS reading_pos FROM c",
+        LO, f"s AS MATERIALIZED (SELECT *, {_SEC} AS section FROM layout_objects WHERE label NOT IN ({_list(ARTIFACT_LABELS)})), body AS MATERIALIZED (SELECT * FROM s WHERE section = 1)", gaps("body", "page_id", "x1", "x2", 30),
+        "nb AS (SELECT * FROM body WHERE page_id NOT IN (SELECT page_id FROM gap))", islands("nb", "page_id", "y1", "y2", "obj_id", 2, "bi"), gaps("bi", "page_id, gid", "x1", "x2", 5, "bg"),
+        "bt AS (SELECT * REPLACE (gid + d AS gid) FROM bi, (VALUES (0), (1)) AS v(d))", gaps("bt", "page_id, gid", "x1", "x2", 5, "tg"),
+        "bc AS (SELECT b.page_id, b.gid, (SELECT count(*) FROM bg WHERE bg.page_id = b.page_id AND bg.gid = b.gid) AS own, (SELECT count(*) FROM tg WHERE tg.page_id = b.page_id AND tg.gid = b.gid) AS two FROM (SELECT DISTINCT page_id, gid FROM bi) b)",
+        "bl AS (SELECT *, coalesce((NOT (own > 0 AND own = lag(own) OVER w AND own = two))::INT, 1) AS new FROM bc WINDOW w AS (PARTITION BY page_id ORDER BY gid)), bm AS (SELECT page_id, gid, (sum(new) OVER (PARTITION BY page_id ORDER BY gid) - 1)::INT AS band_id FROM bl)",
+        "bb AS MATERIALIZED (SELECT bi.*, band_id FROM bi JOIN bm USING (page_id, gid))", gaps("bb", "page_id, band_id", "x1", "x2", 5, "mg"),
+        "c AS (SELECT s.page_id, s.obj_id, s.section, s.x2, s.y1, CASE WHEN s.section = 1 THEN (SELECT count(*) FROM gap g WHERE g.page_id = s.page_id AND g.centre <= s.x2) ELSE 0 END::INT AS column_id, coalesce(bb.band_id, 0)::INT AS band_id, (SELECT count(*) FROM mg WHERE mg.page_id = bb.page_id AND mg.band_id = bb.band_id AND mg.centre < bb.x1)::INT AS band_column FROM s LEFT JOIN bb ON s.page_id = bb.page_id AND s.obj_id = bb.obj_id)",
+        select="SELECT page_id, obj_id, section, column_id, band_id, band_column, (row_number() OVER (PARTITION BY page_id ORDER BY section, column_id, band_id, band_column, CASE WHEN section = 1 THEN y1 ELSE x2 END, obj_id) - 1)::INT AS reading_pos FROM c",
     ),
     "attach_cells": q(
         LO, CT.replace(N + ",", ""), "b AS (SELECT page_id, obj_id, row_number() OVER (PARTITION BY page_id ORDER BY obj_id)::INT AS k FROM layout_objects WHERE lower(label) = 'table'), t AS (SELECT table_id AS page_id, y1 AS top, count(*) AS n_cells FROM cell_text GROUP BY 1, 2), u AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY top)::INT AS k FROM t)",
@@ -332,9 +337,9 @@ ORACLES = {
     "doc_markdown": q(HB, f"c AS (SELECT page_id, block_ord, {render(CANON, 'text')} AS md FROM html_blocks WHERE trim(text) <> '')", select="SELECT page_id, count(*)::INT AS n_chunks, string_agg(md || chr(10), '' ORDER BY block_ord) AS markdown FROM c WHERE md IS NOT NULL GROUP BY 1"),
     "line_texts": q(W, LT, select="SELECT * FROM line_texts"),
     "paragraph_fold": q(
-        W, LT, f"p AS (SELECT *, {ENDS.format('line_text')} AS e FROM line_texts), r AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS para_id FROM p)",
-        f"a AS (SELECT doc_id, para_id, count(*)::INT AS n_lines, string_agg(line_text, ' ' ORDER BY line_no) || CASE WHEN bool_or(e) THEN '' ELSE ' ' END || chr(10) || chr(10) AS text, arg_min(line_text, line_no) AS f FROM r GROUP BY 1, 2)",
-        select=f"SELECT doc_id, para_id, n_lines, text, CASE WHEN regexp_matches(f, '{LIST_TAG}') OR regexp_matches(f, '{BULLET}') THEN regexp_extract(f, '^[ \\t]*([^ \\t]+)', 1) END AS list_tag FROM a",
+        W, LT, f"p AS (SELECT *, {ENDS.format('line_text')} AS e, regexp_matches(line_text, '{LIST_TAG}') OR regexp_matches(line_text, '{BULLET}') AS tag FROM line_texts), n AS (SELECT *, (coalesce(lag(e) OVER w, false) OR (tag AND lag(e) OVER w IS NOT NULL))::INT AS new FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), r AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY line_no))::INT AS para_id FROM n)",
+        f"a AS (SELECT doc_id, para_id, count(*)::INT AS n_lines, string_agg(line_text, ' ' ORDER BY line_no) AS t, bool_or(e) AS e, arg_min(line_text, line_no) AS f FROM r GROUP BY 1, 2)",
+        select=f"SELECT doc_id, para_id, n_lines, CASE WHEN regexp_full_match(t, '\\s*') THEN chr(10) ELSE t || CASE WHEN e THEN '' ELSE ' ' END || chr(10) || chr(10) END AS text, CASE WHEN regexp_matches(f, '{LIST_TAG}') OR regexp_matches(f, '{BULLET}') THEN regexp_extract(f, '^[ \\t]*([^ \\t]+)', 1) END AS list_tag FROM a",
     ),
     "list_tag_detect": q(
         "i AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN (turn + 1)::VARCHAR || '. ' WHEN turn % 3 = 1 THEN '• ' ELSE '' END || text AS t FROM conversations)",
@@ -377,8 +382,12 @@ ORACLES |= {
         select="SELECT * FROM rg WHERE page_id NOT IN (SELECT page_id FROM rg WHERE x2 - x1 < 72 OR y2 - y1 < 36)",
     ),
     "merged_positions": q(
-        RL, CT, gaps("cell_text", "table_id", "x1", "x2", 20), "ru AS (SELECT DISTINCT table_id, x1 AS position FROM rule_lines WHERE orient = 'v' AND x1 <> 100)",
-        select="SELECT table_id, position, true AS ruled FROM ru UNION ALL SELECT DISTINCT table_id, centre, false FROM gap WHERE NOT EXISTS (SELECT 1 FROM ru WHERE ru.table_id = gap.table_id AND abs(ru.position - gap.centre) <= 40)",
+        RL, CT, gaps("cell_text", "table_id", "x1", "x2", 20), "ru AS MATERIALIZED (SELECT table_id, x1 AS position, min(y1) AS y1, arg_min(y2, [y1, y2]) AS y2 FROM rule_lines WHERE orient = 'v' AND (x1 = 250 OR (x1 = 400 AND table_id % 3 = 1)) GROUP BY 1, 2), de AS (SELECT DISTINCT table_id, centre AS position FROM gap)",
+        "mo AS (SELECT table_id FROM de GROUP BY 1 HAVING count(*) > coalesce((SELECT count(*) FROM ru WHERE ru.table_id = de.table_id), 0)), ev AS (SELECT *, true AS ruled FROM ru UNION ALL SELECT table_id, position, NULL, NULL, false FROM de WHERE table_id IN (SELECT table_id FROM mo) AND (table_id, position) NOT IN (SELECT (table_id, position) FROM ru))",
+        "be AS MATERIALIZED (SELECT *, lag(ruled) OVER w AS lr, lag(position) OVER w AS lp, lag(y1) OVER w AS ly1, lag(y2) OVER w AS ly2, lead(ruled) OVER w AS nr, lead(position) OVER w AS np, lead(y1) OVER w AS ny1, lead(y2) OVER w AS ny2 FROM ev WINDOW w AS (PARTITION BY table_id ORDER BY position))",
+        select="""SELECT table_id, position, ruled FROM be WHERE ruled OR (
+          (NOT coalesce(lr, false) OR (position - lp >= 4 AND EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = be.table_id AND t.x1 >= lp AND t.x2 <= position AND t.y1 >= ly1 AND t.y2 <= ly2)))
+          AND (NOT coalesce(nr, false) OR (np - position >= 4 AND EXISTS (SELECT 1 FROM cell_text t WHERE t.table_id = be.table_id AND t.x1 >= position AND t.x2 <= np AND t.y1 >= ny1 AND t.y2 <= ny2))))""",
     ),
     "snapped_uprights": q(RL, select="SELECT table_id, x1, y1, x2, y2 FROM rule_lines WHERE orient = 'v'"),
     "outer_cells": q(
@@ -495,3 +504,28 @@ ORACLES |= {
         CELLS.replace("FROM rule_lines", "FROM drawn"), GRID, select="SELECT * FROM grid",
     ),
 }
+
+_PICTURES = "CASE WHEN {0} = 'Picture' THEN true WHEN {0} = 'Unknown' THEN false ELSE NOT EXISTS (SELECT 1 FROM te t WHERE t.page_id = c.page_id AND t.obj_id <> c.obj_id AND {1}) END"
+
+ORACLES |= {
+    "structure_text": q(
+        N, "cl AS (SELECT l_orderkey AS page_id, 12 * (ord - 1) AS b, l_partkey::VARCHAR AS p, l_suppkey::VARCHAR AS s, CAST(trunc(l_quantity) AS INT)::VARCHAR AS q, l_returnflag AS f FROM nl)",
+        select="SELECT page_id, (b + k)::INT AS seq, t AS text FROM (SELECT page_id, b, unnest([2, 5, 10, 12]) AS k, unnest([p || chr(10), 'a ' || s || chr(10) || q || chr(10), f, '']) AS t FROM cl)",
+    ),
+    "element_join": q(
+        "i AS (SELECT conv_id, turn, turn // 2 AS line, CASE WHEN turn % 3 = 0 THEN (turn + 1)::VARCHAR || '. ' WHEN turn % 3 = 1 THEN '• ' ELSE '' END || coalesce(text, '') AS t FROM conversations), j AS (SELECT *, lag(t) OVER w AS pt, lag(line) OVER w AS pl FROM i WINDOW w AS (PARTITION BY conv_id ORDER BY turn))",
+        f"k AS (SELECT conv_id, turn, CASE WHEN (regexp_matches(t, '{LIST_TAG}') OR regexp_matches(t, '{BULLET}')) AND (pt IS NULL OR pl <> line) THEN chr(10) || chr(10) || '- ' || regexp_replace(t, '^[ \\t]*[^ \\t]+', '') WHEN pt IS NOT NULL AND pl <> line AND NOT regexp_matches(pt, '[ \\n]$') THEN ' ' || t ELSE t END AS part FROM j)",
+        select="SELECT conv_id, string_agg(part, '' ORDER BY turn) AS text FROM k GROUP BY 1",
+    ),
+    "text_elements": q(LO, select=f"SELECT page_id, obj_id, x1, y1, x2, y2 FROM layout_objects WHERE {CANON} NOT IN ('Picture', 'Chart', 'isolate_formula', 'Unknown')"),
+    "picture_chunks": q(
+        LO, f"cn AS MATERIALIZED (SELECT *, {CANON} AS canon FROM layout_objects), te AS (SELECT * FROM cn WHERE canon NOT IN ('Picture', 'Chart', 'isolate_formula', 'Unknown'))",
+        f"sh AS (SELECT *, {_PICTURES.format('canon', INSIDE.format(0.7))} AS shown FROM cn c)",
+        select="SELECT page_id, obj_id, least(greatest(x1, 0), 800) AS x1, least(greatest(y1, 0), 1000) AS y1, least(greatest(x2 + 4, 0), 800) AS x2, least(greatest(y2, 0), 1000) AS y2, '![](img/' || page_id || '-' || obj_id || '.png)' || chr(10) || chr(10) AS md FROM sh WHERE shown",
+    ),
+    "page_html": q(
+        RL, CT, CELLS, GRID, SPANS, FILLED, f"hr AS (SELECT table_id, row_id, '<tr>' || {_ROW(_HTML_CELL(chr(39) + 'td' + chr(39)), '')} || '</tr>' AS line FROM filled GROUP BY 1, 2), ht AS (SELECT table_id, string_agg(line, '' ORDER BY row_id) AS rows FROM hr GROUP BY 1), fc AS (SELECT table_id, arg_min(y1, [row_id, col_id]) AS top FROM filled GROUP BY 1)",
+        "pg AS (SELECT o_custkey AS page_id, table_id, top + table_id % 7 * 1000 AS top, '<table><caption>Order ' || o_orderstatus || '</caption>' || rows || '</table>' AS html FROM ht JOIN fc USING (table_id) JOIN orders ON o_orderkey = table_id)",
+        select="SELECT page_id, '<html><head><meta charset=\"utf-8\"><meta pageNo=\"1\"></head><body>' || string_agg(html, '' ORDER BY top, table_id) || '</body></html>' AS html FROM pg GROUP BY 1",
+    ),
+}

@@ -127,7 +127,7 @@ def containment_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.reading_order(D.layout_objects(spark, sf), PAGE).select("page_id", "obj_id", "section", "column_id", "reading_pos")
+    return layout.reading_order(D.layout_objects(spark, sf), PAGE).select("page_id", "obj_id", "section", "column_id", "band_id", "band_column", "reading_pos")
 
 
 def attach_cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -370,10 +370,10 @@ def split_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Upright ruled lines, and the gaps of text that have none near."""
-    ruled = D.rule_lines(spark, sf).where("orient = 'v'").select("table_id", F.col("x1").alias("position")).where("position <> 100")
+    """The upright ruled line between the last two columns (in every third table also that right of the table), and the gaps of text."""
+    ruled = D.rule_lines(spark, sf).where("orient = 'v' and (x1 = 250 or x1 = 400 and table_id % 3 = 1)")
     found = gaps.gap_scan(D.cell_text(spark, sf), TABLE, "x1", "x2", 20).select("table_id", F.col("centre").alias("position"))
-    return borderless.merge_positions(ruled, found, TABLE, 40)
+    return borderless.merge_positions(ruled, found, D.cell_text(spark, sf), TABLE)
 
 
 def snapped_uprights(spark: SparkSession, sf: str) -> DataFrame:
@@ -506,3 +506,34 @@ QUERIES |= {
         implicit_grid,
     )
 }
+
+
+def structure_text(spark: SparkSession, sf: str) -> DataFrame:
+    return text.structure_text(D.structure_tree(spark, sf), PAGE)
+
+
+def element_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as elements, two to a line; every third has a number, every third a bullet."""
+    t = D.read(spark, sf, "conversations")
+    tag = F.when(F.col("turn") % 3 == 0, F.concat((F.col("turn") + 1).cast("string"), F.lit(". "))).when(F.col("turn") % 3 == 1, F.lit("• ")).otherwise(F.lit(""))
+    return text.joined_elements(t.select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("line"), F.concat(tag, F.coalesce("text", F.lit(""))).alias("text")), ["conv_id"], "turn", "line")
+
+
+def text_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.text_elements(D.layout_objects(spark, sf)).select("page_id", "obj_id", "x1", "y1", "x2", "y2")
+
+
+def picture_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    o = D.layout_objects(spark, sf)
+    return layout.picture_chunks(o, layout.text_elements(o), PAGE, 800, 1000, "img")
+
+
+def page_html(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's tables as one document, with captions: by the top of their first cell, which comes from the order's key."""
+    own = D.read(spark, sf, "orders").select(F.col("o_orderkey").alias("table_id"), F.col("o_custkey").alias("page_id"), F.concat(F.lit("Order "), F.col("o_orderstatus")).alias("title"))
+    cells = materialised(_filled(spark, sf).join(own, "table_id").withColumn("y1", (F.col("y1") + F.col("table_id") % 7 * 1000).cast("int")), "page-cells")
+    tables = render.html(cells, ["page_id", "table_id"], title="title").join(render.table_order(cells, PAGE, "table_id"), ["page_id", "table_id"])
+    return render.html_page(tables.withColumn("page_no", F.lit(1)), PAGE, "table_pos", "page_no")
+
+
+QUERIES |= {f.__name__: f for f in (structure_text, element_join, text_elements, picture_chunks, page_html)}

@@ -134,6 +134,18 @@ def tagged_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.unionByName(inner)
 
 
+def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with text below the cells: in a paragraph in the first, in two of a list in the second, in a span in the third; ``last`` is the last node under each."""
+    rows = numbered_lines(spark, sf_dir)
+    node = lambda k, last, kind, text=None: F.struct(F.lit(k).alias("k"), F.lit(last).alias("last"), F.lit(kind).alias("type"), (F.lit(None) if text is None else text).cast("string").alias("text"))
+    cells = F.array(
+        node(1, 12, "TR"), node(2, 4, "TH"), node(3, 4, "P"), node(4, 4, "Span", F.col("l_partkey")), node(5, 9, "TD"), node(6, 7, "LI", F.lit("a ")), node(7, 7, "Span", F.col("l_suppkey")), node(8, 9, "LI"), node(9, 9, "Span", F.col("l_quantity").cast("int")),
+        node(10, 11, "TD"), node(11, 11, "Span", F.col("l_returnflag")), node(12, 12, "TD"),
+    )
+    at = (F.col("ord") - 1) * 12
+    return rows.select(F.col("l_orderkey").alias("page_id"), "ord", F.explode(cells).alias("n")).select("page_id", (at + F.col("n.k")).alias("seq"), (at + F.col("n.last")).alias("last"), "n.type", "n.text")
+
+
 #: Tags of page blocks and the labels that they stand for.
 BLOCK_LABELS = {"h1": "doc_title", "p": "text", "li": "List-item", "footer": "footer", "nav": "header"}
 
