@@ -73,7 +73,7 @@ def islands(source: str, keys: str, lo: str, hi: str, order: str, overlap: int,
     o = f"PARTITION BY {keys} ORDER BY {lo}, {hi}{', ' + order if order else ''}"
     return f"""
 {name}_n AS (SELECT *, coalesce((max({hi}) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {lo} <= {overlap})::INT, 0) AS new FROM {source}),
-{name} AS (SELECT * EXCLUDE new, (sum(new) OVER ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::INT AS gid FROM {name}_n)"""
+{name} AS (SELECT * EXCLUDE new, (sum(new) OVER ({o} {'ROWS' if order else 'RANGE'} BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::INT AS gid FROM {name}_n)"""
 
 
 CELLS = """
@@ -529,3 +529,125 @@ ORACLES |= {
         select="SELECT page_id, '<html><head><meta charset=\"utf-8\"><meta pageNo=\"1\"></head><body>' || string_agg(html, '' ORDER BY top, table_id) || '</body></html>' AS html FROM pg GROUP BY 1",
     ),
 }
+
+
+PT = (
+    CT
+    + """,
+page_texts AS MATERIALIZED (
+  SELECT table_id, box_id, x1, (y1 + CASE WHEN box_id // 3 > 4 THEN 60 ELSE 0 END)::INT AS y1, x2, (y2 + CASE WHEN box_id // 3 > 4 THEN 60 ELSE 0 END)::INT AS y2 FROM cell_text WHERE table_id % 4 <> 0 OR box_id % 3 <> 1 OR box_id < 9
+  UNION ALL SELECT DISTINCT table_id, -1, 5, -60, 330, -40 FROM cell_text WHERE table_id % 2 = 0
+  UNION ALL SELECT table_id, -2, 5, (max(y2) + 90)::INT, 300, (max(y2) + 110)::INT FROM cell_text WHERE table_id % 3 = 0 GROUP BY 1)"""
+)
+XT = (
+    N
+    + """,
+column_texts AS MATERIALIZED (
+  SELECT l_orderkey AS table_id, (3 * ord + k)::INT AS box_id, (200 * k)::INT AS x1, (30 * (ord - 1))::INT AS y1, (150 + 200 * k + CASE WHEN k = 1 AND l_orderkey % 3 = 0 THEN 60 ELSE 0 END)::INT AS x2, (30 * ord - 10)::INT AS y2 FROM nl, (VALUES (0), (1)) AS v(k)
+  UNION ALL SELECT l_orderkey, (3 * ord + 2)::INT, 20, -50, 330, -30 FROM nl WHERE ord = 1 AND l_orderkey % 2 = 0)"""
+)
+
+
+def hull_sql(source: str, name: str, margin: int = 10) -> str:
+    return f"{name} AS MATERIALIZED (SELECT table_id, min(x1) - {margin} AS x1, min(y1) - {margin} AS y1, max(x2) + {margin} AS x2, max(y2) + {margin} AS y2 FROM {source} GROUP BY 1)"
+
+
+def blanks_sql(e: str, b: str, keys: str, wide: int, tall: str, share: float, name: str, level: bool = False) -> str:
+    """Upright blanks of elements ``e`` in bounds ``b``; ``tall`` may name a column of the bounds."""
+    k, x, y = keys.split(", "), *(("y", "x") if level else ("x", "y"))
+    on = lambda p, r: " AND ".join(f"{p}.{c} = {r}.{c}" for c in k)
+    box_ = lambda r: f"{r}.{x}1 AS x1, {r}.{y}1 AS y1, {r}.{x}2 AS x2, {r}.{y}2 AS y2"
+    cols = ", ".join(f"e.{c}" for c in k)
+    out = f"min(a) AS {x}1, top AS {y}1, max(b) AS {x}2, y1 AS {y}2"
+    return f"""
+{name}_e AS MATERIALIZED (SELECT {cols}, {box_("e")} FROM {e} e), {name}_b AS MATERIALIZED (SELECT {cols.replace("e.", "b.")}, {box_("b")}, {tall} AS tall, (SELECT min(y1) FROM {name}_e e WHERE {on("e", "b")}) AS lo, (SELECT max(y2) FROM {name}_e e WHERE {on("e", "b")}) AS hi FROM {b} b),
+{name}_v AS MATERIALIZED (SELECT {keys}, x1, y1, x2, y2 FROM {name}_e UNION ALL SELECT {keys}, x1, lo, x2, lo FROM {name}_b WHERE lo IS NOT NULL UNION ALL SELECT {keys}, x1, hi, x2, hi FROM {name}_b WHERE lo IS NOT NULL),
+{name}_d AS (SELECT {keys}, x1 AS a FROM {name}_v UNION SELECT {keys}, x2 FROM {name}_v), {name}_s AS MATERIALIZED (SELECT * FROM (SELECT {keys}, a, lead(a) OVER (PARTITION BY {keys} ORDER BY a) AS b FROM {name}_d) WHERE b - a >= {wide}),
+{name}_m AS MATERIALIZED (SELECT {cols}, s.a, s.b, e.x1, e.x2, e.y1, e.y2 FROM {name}_v e JOIN {name}_s s ON {on("e", "s")}), {name}_n AS (SELECT {keys}, a, b, y1, max(y2) AS y2 FROM {name}_m WHERE x1 < b AND x2 > a GROUP BY {keys}, a, b, y1),
+{name}_g AS MATERIALIZED (SELECT * FROM (SELECT *, max(y2) OVER (PARTITION BY {keys}, a, b ORDER BY y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {name}_n) WHERE top IS NOT NULL AND y1 > top),
+{name}_f AS (SELECT e.* FROM {name}_g e JOIN {name}_b b ON {on("e", "b")} WHERE e.y1 - e.top >= b.tall AND 100 * (e.y1 - e.top) >= {round(100 * share)} * (b.hi - b.lo)),
+{name}_r AS (SELECT *, sum(new) OVER (PARTITION BY {keys}, top, y1 ORDER BY a) AS run FROM (SELECT *, coalesce((lag(b) OVER (PARTITION BY {keys}, top, y1 ORDER BY a) <> a)::INT, 0) AS new FROM {name}_f)),
+{name} AS MATERIALIZED (SELECT {keys}, {out} FROM {name}_r GROUP BY {keys}, top, y1, run)"""
+
+
+def column_blanks_sql(e: str, b: str, keys: str, wide: int, tall: str, share: float, name: str) -> str:
+    k = keys.split(", ")
+    on = lambda p, r: " AND ".join(f"{p}.{c} = {r}.{c}" for c in k)
+    return f"""{blanks_sql(e, b, keys, wide, tall, share, name + "0")},
+{name}1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY x1, y1, x2, y2) AS n FROM {name}0 a WHERE NOT EXISTS (SELECT 1 FROM {name}0 b WHERE {on("a", "b")} AND (a.x1 = b.x1 OR a.x1 = b.x2 OR a.x2 = b.x1 OR a.x2 = b.x2) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) AND a.y2 - a.y1 < b.y2 - b.y1)),
+{name}2 AS MATERIALIZED (SELECT {", ".join("a." + c for c in k)}, a.n AS an, b.n AS bn, a.y2 - a.y1 AS ha, b.y2 - b.y1 AS hb, b.x1 AS bx1, b.x2 AS bx2 FROM {name}1 a JOIN {name}1 b ON {on("a", "b")} WHERE a.n <> b.n AND (a.x2 = b.x1 OR b.x2 = a.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)
+  AND NOT EXISTS (SELECT 1 FROM {e} e WHERE {on("e", "a")} AND e.x1 < greatest(a.x2, b.x2) AND e.x2 > least(a.x1, b.x1) AND e.y1 < least(a.y2, b.y2) AND e.y2 > greatest(a.y1, b.y1))),
+{name} AS MATERIALIZED (SELECT {keys}, least(x1, coalesce((SELECT min(bx1) FROM {name}2 q WHERE {on("q", "w")} AND an = n AND ha = hb AND an < bn), x1)) AS x1, y1, greatest(x2, coalesce((SELECT max(bx2) FROM {name}2 q WHERE {on("q", "w")} AND an = n AND ha = hb AND an < bn), x2)) AS x2, y2
+  FROM {name}1 w WHERE NOT EXISTS (SELECT 1 FROM {name}2 q WHERE {on("q", "w")} AND an = n AND (ha < hb OR (ha = hb AND an > bn))))"""
+
+
+_PH = hull_sql("page_texts", "bounds")
+_AREAS = (
+    islands("page_texts", "table_id", "y1", "y2", "", -29, "ai")
+    + """,
+ae AS MATERIALIZED (SELECT ai.table_id, ai.gid AS area_id, ai.x1, ai.y1, ai.x2, ai.y2, greatest(min(ai.x1) OVER (PARTITION BY table_id) - 8, 0) AS ax1, min(ai.y1) OVER (PARTITION BY table_id, ai.gid) AS ay1, least(max(ai.x2) OVER (PARTITION BY table_id) + 8, bounds.x2) AS ax2, max(ai.y2) OVER (PARTITION BY table_id, ai.gid) AS ay2 FROM ai JOIN bounds USING (table_id))"""
+)
+_AREA_BLANKS = (
+    "ab AS MATERIALIZED (SELECT table_id, area_id, any_value(ax1) AS x1, any_value(ay1) AS y1, any_value(ax2) AS x2, any_value(ay2) AS y2, min(x1) AS l, max(x2) AS r FROM ae GROUP BY 1, 2), "
+    + column_blanks_sql("ae", "ab", "table_id, area_id", 8, "least(40, b.y2 - b.y1)", 0.66, "aw").strip()
+    + """,
+am AS MATERIALIZED (SELECT w.*, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, l, r, w.x1 <> b.x1 AND w.x2 <> b.x2 AS inn FROM aw w JOIN ab b USING (table_id, area_id)), tm AS (SELECT table_id, area_id, max(y2 - y1) AS t FROM am WHERE inn GROUP BY 1, 2),
+ak AS MATERIALIZED (SELECT table_id, area_id, x1, y1, x2, y2, y1 = by1 AS top, y2 = by2 AS bottom FROM am JOIN tm USING (table_id, area_id) WHERE 10 * (least(x2, l) - greatest(x1, bx1)) < x2 - x1 AND 10 * (least(x2, bx2) - greatest(x1, r)) < x2 - x1 AND (y1 = by1 OR y2 = by2 OR 100 * (y2 - y1) >= 66 * t)
+  UNION ALL SELECT table_id, area_id, x1, y1, l, y2, true, true FROM ab JOIN tm USING (table_id, area_id) UNION ALL SELECT table_id, area_id, r, y1, x2, y2, true, true FROM ab JOIN tm USING (table_id, area_id))"""
+)
+
+
+def _seam(side: str, shift: int, name: str) -> str:
+    return islands(f"(SELECT table_id, area_id, x1, x2 FROM ak WHERE {side})", "table_id, area_id", "x1", "x2", "", 0, f"{name}i") + f""",
+{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY table_id, area_id ORDER BY first) AS n, count(*) OVER (PARTITION BY table_id, area_id) AS z FROM (SELECT table_id, area_id + {shift} AS area_id, min(x1) AS first, max(x2) AS last FROM {name}i GROUP BY table_id, {name}i.area_id, gid))"""
+
+
+def _share(one: str, other: str, name: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT table_id, area_id, count(*) FILTER (WHERE m = 1) AS fit, count(*) AS of_ FROM (SELECT a.table_id, a.area_id, (SELECT count(*) FROM {other} b WHERE b.table_id = a.table_id AND b.area_id = a.area_id AND 2 * (least(a.last, b.last) - greatest(a.first, b.first)) >= 8) AS m FROM {one} a WHERE n > 1 AND n < z) GROUP BY 1, 2)"
+
+
+_XH = hull_sql("column_texts", "bounds")
+_COLUMN_BLANKS = (
+    blanks_sql("column_texts", "bounds", "table_id", 0, "1", 0.5, "tb0").strip()
+    + """,
+hl AS (SELECT table_id, 140 AS x1, 260 AS x2, 5 AS y FROM bounds WHERE table_id % 5 = 0),
+tb1 AS MATERIALIZED (SELECT w.*, b.y1 AS by1, b.y2 AS by2, (SELECT list(DISTINCT y) FROM hl WHERE hl.table_id = w.table_id AND y > w.y1 AND y < w.y2 AND 2 * (least(w.x2, hl.x2) - greatest(w.x1, hl.x1)) >= w.x2 - w.x1) AS c FROM tb0 w JOIN bounds b USING (table_id) WHERE w.x2 - w.x1 >= 8 OR w.x1 = b.x1 OR w.x2 = b.x2),
+tb2 AS (SELECT *, list_sort(list_concat([y1, y2], coalesce(c, []))) AS ys FROM tb1), tb3 AS (SELECT *, unnest(range(1, len(ys))) AS i FROM tb2),
+tb4 AS MATERIALIZED (SELECT table_id, x1, ys[i] AS y1, x2, ys[i + 1] AS y2, row_number() OVER (PARTITION BY table_id ORDER BY x1 + x2, x1, ys[i]) AS n FROM tb3 WHERE c IS NULL OR 2 * (ys[i + 1] - ys[i]) >= by2 - by1),
+tb5 AS MATERIALIZED (SELECT *, lag(x2) OVER w AS px2, lag(y1) OVER w AS py1, lag(y2) OVER w AS py2 FROM tb4 WINDOW w AS (PARTITION BY table_id ORDER BY n)),
+tb6 AS (SELECT *, EXISTS (SELECT 1 FROM column_texts e WHERE e.table_id = t.table_id AND e.x1 >= least(px2, t.x1) AND e.x2 <= greatest(px2, t.x1) AND e.y1 >= greatest(py1, t.y1) AND e.y2 <= least(py2, t.y2))::INT AS new FROM tb5 t), tb7 AS (SELECT *, sum(new) OVER (PARTITION BY table_id ORDER BY n) AS g FROM tb6),
+tcb AS MATERIALIZED (SELECT table_id, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY table_id, g ORDER BY y2 - y1 DESC, x2 - x1 DESC, n DESC) AS k FROM tb7) WHERE k = 1)"""
+)
+_COLUMN_GROUPS = """
+gm AS MATERIALIZED (SELECT t.*, t.x1 = b.x1 OR t.x2 = b.x2 OR t.x1 = b.x2 OR t.x2 = b.x1 AS edge FROM tcb t JOIN bounds b USING (table_id)), gs AS (SELECT table_id, x1, y1, x2, y2, 'top' AS side, y1 AS pos FROM gm WHERE NOT edge UNION ALL SELECT table_id, x1, y1, x2, y2, 'bottom', y2 FROM gm WHERE NOT edge),
+gn AS (SELECT *, coalesce((20 * (pos - lag(pos) OVER w) > greatest(y2 - y1, lag(y2 - y1) OVER w))::INT, 0) AS new FROM gs WINDOW w AS (PARTITION BY table_id, side ORDER BY pos, x1)), gg AS MATERIALIZED (SELECT *, (sum(new) OVER (PARTITION BY table_id, side ORDER BY pos, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::INT AS group_id FROM gn),
+ga AS MATERIALIZED (SELECT table_id, side, group_id, x1, y1, x2, y2 FROM gg UNION ALL SELECT k.table_id, k.side, k.group_id, e.x1, e.y1, e.x2, e.y2 FROM (SELECT DISTINCT table_id, side, group_id FROM gg) k JOIN gm e ON e.table_id = k.table_id AND e.edge),
+gw AS (SELECT *, lead(x1) OVER (PARTITION BY table_id, side, group_id ORDER BY x1 + x2, x1, y1) - x2 AS w FROM ga), gf AS (SELECT table_id, side, group_id, min(y1) AS g1, max(y2) AS g2 FROM gw GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 3 AND 4 AND 4 * max(w) <= 5 * min(w)),
+gr AS MATERIALIZED (SELECT ga.* FROM ga JOIN gf USING (table_id, side, group_id) WHERE NOT EXISTS (SELECT 1 FROM gm o WHERE o.table_id = gf.table_id AND NOT edge AND 5 * (least(o.y2, g2) - greatest(o.y1, g1)) > o.y2 - o.y1
+  AND NOT EXISTS (SELECT 1 FROM gg WHERE gg.table_id = gf.table_id AND gg.side = gf.side AND gg.group_id = gf.group_id AND (gg.x1, gg.y1, gg.x2, gg.y2) = (o.x1, o.y1, o.x2, o.y2))))"""
+
+ORACLES |= {
+    "upright_blanks": q(PT, _PH, blanks_sql("page_texts", "bounds", "table_id", 8, "20", 0.25, "w"), select="SELECT * FROM w"),
+    "level_blanks": q(PT, _PH, blanks_sql("page_texts", "bounds", "table_id", 1, "1", 0.66, "w", level=True), select="SELECT * FROM w"),
+    "column_blanks": q(PT, _PH, column_blanks_sql("page_texts", "bounds", "table_id", 8, "20", 0.25, "w"), select="SELECT * FROM w"),
+    "page_areas": q(PT, _PH, _AREAS, select="SELECT table_id, area_id, any_value(ax1) AS x1, any_value(ay1) AS y1, any_value(ax2) AS x2, any_value(ay2) AS y2, count(*) AS n FROM ae GROUP BY 1, 2"),
+    "area_blanks": q(PT, _PH, _AREAS, _AREA_BLANKS, select="SELECT * FROM ak"),
+    "area_chains": q(
+        PT, _PH, _AREAS, _AREA_BLANKS, _seam("bottom", 1, "us"), _seam("top", 0, "ds"), _share("us", "ds", "uf"), _share("ds", "us", "df"),
+        "an AS (SELECT table_id, area_id, ab.y1, ab.y2, count(*) AS n_blanks FROM ab JOIN ak USING (table_id, area_id) GROUP BY ALL), ag AS (SELECT *, CASE WHEN lag(area_id) OVER w = area_id - 1 THEN y1 - lag(y2) OVER w END AS gap FROM an WINDOW w AS (PARTITION BY table_id ORDER BY area_id))",
+        "uz AS (SELECT DISTINCT table_id, area_id, z AS u FROM us), dz AS (SELECT DISTINCT table_id, area_id, z AS d FROM ds), ah AS (SELECT ag.*, u, d, CASE WHEN u >= d THEN uf.fit ELSE df.fit END AS fit, CASE WHEN u >= d THEN uf.of_ ELSE df.of_ END AS of_ FROM ag LEFT JOIN uz USING (table_id, area_id) LEFT JOIN dz USING (table_id, area_id) LEFT JOIN uf USING (table_id, area_id) LEFT JOIN df USING (table_id, area_id))",
+        "ai2 AS (SELECT *, (NOT coalesce(2 * gap <= 200 AND 100 * fit >= of_ * CASE WHEN least(u, d) < 4 THEN 100 WHEN gap < 40 THEN 66 ELSE 80 END AND u IS NOT NULL AND d IS NOT NULL, false))::INT AS new FROM ah), aj AS (SELECT *, (sum(new) OVER (PARTITION BY table_id ORDER BY area_id) - 1)::INT AS segment_id FROM ai2)",
+        select="SELECT table_id, area_id, y1, y2, n_blanks, segment_id FROM (SELECT *, max(n_blanks) OVER (PARTITION BY table_id, segment_id) AS most FROM aj) WHERE most > 3",
+    ),
+    "row_delimiters": q(
+        PT, _PH, blanks_sql("page_texts", "bounds", "table_id", 0, "1", 0.66, "w", level=True),
+        "fu AS (SELECT table_id, list_sort(list(y2 - y1)) AS ts FROM (SELECT *, max(x2 - x1) OVER (PARTITION BY table_id) AS m FROM w) WHERE x2 - x1 = m GROUP BY 1), te AS MATERIALIZED (SELECT w.* FROM w LEFT JOIN fu USING (table_id) WHERE 2 * (y2 - y1) >= CASE WHEN len(ts) >= 3 THEN ts[(len(ts) + 1) // 2] ELSE 2 END)",
+        "kd AS (SELECT a.table_id, a.x1, ((a.y1 + a.y2) // 2)::INT AS y, a.x2 FROM te a JOIN bounds b USING (table_id) WHERE a.y1 <> b.y1 AND a.y2 <> b.y2 AND NOT EXISTS (SELECT 1 FROM te c WHERE c.table_id = a.table_id AND (a.y1 = c.y1 OR a.y1 = c.y2 OR a.y2 = c.y1 OR a.y2 = c.y2) AND a.x2 - a.x1 < c.x2 - c.x1))",
+        "eh AS (SELECT table_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM page_texts GROUP BY 1), ev AS (SELECT * FROM kd UNION SELECT table_id, x1, y1, x2 FROM eh UNION SELECT table_id, x1, y2, x2 FROM eh), en AS MATERIALIZED (SELECT * FROM (SELECT *, min(x1) OVER w AS lo, max(x2) OVER w AS hi, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY table_id)) WHERE n >= 3)",
+        select="""SELECT table_id, greatest(coalesce((SELECT max(e.x2) FROM page_texts e WHERE e.table_id = en.table_id AND e.y1 + (e.y2 - e.y1) // 6 < y AND y < e.y2 - (e.y2 - e.y1) // 6 AND least(e.x2, en.x1) > greatest(e.x1, lo)), lo), lo) AS x1, y AS y1,
+          least(coalesce((SELECT min(e.x1) FROM page_texts e WHERE e.table_id = en.table_id AND e.y1 + (e.y2 - e.y1) // 6 < y AND y < e.y2 - (e.y2 - e.y1) // 6 AND least(e.x2, hi) > greatest(e.x1, en.x2)), hi), hi) AS x2, y AS y2 FROM en""",
+    ),
+    "text_column_blanks": q(XT, _XH, _COLUMN_BLANKS, select="SELECT * FROM tcb"),
+    "column_groups": q(XT, _XH, _COLUMN_BLANKS, _COLUMN_GROUPS, select="SELECT * FROM gr"),
+    "column_segments": q(XT, _XH, _COLUMN_BLANKS, _COLUMN_GROUPS, "sg AS (SELECT *, ((x1 + x2) // 2)::INT AS m, lead((x1 + x2) // 2) OVER w AS nx, lead(y1) OVER w AS n1, lead(y2) OVER w AS n2 FROM gr WINDOW w AS (PARTITION BY table_id, side, group_id ORDER BY x1 + x2, x1, y1))", select="SELECT table_id, side, group_id, m AS x1, greatest(y1, n1) AS y1, nx::INT AS x2, least(y2, n2) AS y2 FROM sg WHERE nx IS NOT NULL AND least(y2, n2) > greatest(y1, n1)"),
+}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import text as X
-from ..operators import borderless, borders, gaps, grid, layout, lines, overlap, raster, render, stats, text
+from ..operators import borderless, borders, gaps, grid, layout, lines, overlap, raster, render, stats, text, whitespace
 from ..shared import materialised
 from ..sources import derive as D
 
@@ -537,3 +537,66 @@ def page_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (structure_text, element_join, text_elements, picture_chunks, page_html)}
+
+
+def _page(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Text boxes and bounds of each page."""
+    e = D.page_texts(spark, sf)
+    return e, whitespace.hull(e, TABLE, 10)
+
+
+def upright_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    return whitespace.blanks(*_page(spark, sf), TABLE, 8, 20, 0.25)
+
+
+def level_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    return whitespace.blanks(*_page(spark, sf), TABLE, 1, 1, 0.66, level=True)
+
+
+def column_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    return whitespace.column_blanks(*_page(spark, sf), TABLE, 8, 20, 0.25)
+
+
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    return materialised(whitespace.areas(*_page(spark, sf), TABLE, 8, 60), "areas")
+
+
+def page_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of a page between blanks of 30 pixels or more over its whole width."""
+    return _areas(spark, sf).groupBy("table_id", "area_id").agg(*[F.first(f"a{c}").alias(c) for c in ("x1", "y1", "x2", "y2")], F.count(F.lit(1)).alias("n"))
+
+
+def area_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    return whitespace.area_blanks(_areas(spark, sf), TABLE, 8, 40)
+
+
+def area_chains(spark: SparkSession, sf: str) -> DataFrame:
+    parted = _areas(spark, sf)
+    return whitespace.area_chains(parted, materialised(whitespace.area_blanks(parted, TABLE, 8, 40), "area-blanks"), TABLE, 8, 40)
+
+
+def row_delimiters(spark: SparkSession, sf: str) -> DataFrame:
+    return whitespace.row_delimiters(*_page(spark, sf), TABLE)
+
+
+def _column_blanks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = D.column_texts(spark, sf)
+    bounds = whitespace.hull(e, TABLE, 10)
+    ruled = bounds.where("table_id % 5 = 0").select("table_id", F.lit("h").alias("orient"), F.lit(140).alias("x1"), F.lit(5).alias("y1"), F.lit(260).alias("x2"), F.lit(5).alias("y2"))
+    return materialised(whitespace.text_column_blanks(e, bounds, ruled, TABLE, 8), "text-columns"), bounds
+
+
+def text_column_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blanks between text columns; in every fifth page a level line cuts the one in the middle."""
+    return _column_blanks(spark, sf)[0]
+
+
+def column_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return whitespace.column_groups(*_column_blanks(spark, sf), TABLE)
+
+
+def column_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return whitespace.column_segments(column_groups(spark, sf), TABLE)
+
+
+QUERIES |= {f.__name__: f for f in (upright_blanks, level_blanks, column_blanks, page_areas, area_blanks, area_chains, row_delimiters, text_column_blanks, column_groups, column_segments)}

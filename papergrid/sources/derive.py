@@ -146,6 +146,30 @@ def structure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("page_id"), "ord", F.explode(cells).alias("n")).select("page_id", (at + F.col("n.k")).alias("seq"), (at + F.col("n.last")).alias("last"), "n.type", "n.text")
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text boxes of a page per order: its table, in even ones under a title over its whole width, in every third with a note below, rows from the fifth on further down, and in every fourth without the middle column from the fourth row on."""
+    t = cell_text(spark, sf_dir)
+    row = F.floor(F.col("box_id") / 3)
+    down = F.when(row > 4, 60).otherwise(0)
+    own = t.where("table_id % 4 <> 0 or box_id % 3 <> 1 or box_id < 9").select("table_id", "box_id", "x1", (F.col("y1") + down).cast("int").alias("y1"), "x2", (F.col("y2") + down).cast("int").alias("y2"))
+    ends = t.groupBy("table_id").agg(F.max("y2").alias("y"))
+    box_ = lambda i, x1, y1, x2, y2: F.struct(F.lit(i).alias("box_id"), F.lit(x1).alias("x1"), y1.alias("y1"), F.lit(x2).alias("x2"), y2.alias("y2"))
+    title = F.when(F.col("table_id") % 2 == 0, F.array(box_(-1, 5, F.lit(-60), 330, F.lit(-40)))).otherwise(F.array().cast("array<struct<box_id:int,x1:int,y1:int,x2:int,y2:int>>"))
+    note = F.when(F.col("table_id") % 3 == 0, F.array(box_(-2, 5, F.col("y") + 90, 300, F.col("y") + 110))).otherwise(F.array().cast("array<struct<box_id:int,x1:int,y1:int,x2:int,y2:int>>"))
+    return own.unionByName(ends.select("table_id", F.explode(F.concat(title, note)).alias("b")).select("table_id", "b.*"))
+
+
+def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text boxes of a page per order in two columns, the right one wider in every third; in even ones a box over both on top."""
+    rows = numbered_lines(spark, sf_dir)
+    y = ((F.col("ord") - 1) * 30).cast("int")
+    box_ = lambda k, x1, y1, x2, y2: F.struct(F.lit(k).alias("k"), x1.alias("x1"), y1.cast("int").alias("y1"), x2.cast("int").alias("x2"), y2.cast("int").alias("y2"))
+    two = [box_(0, F.lit(0), y, F.lit(150), y + 20), box_(1, F.lit(200), y, F.lit(350) + F.when(F.col("l_orderkey") % 3 == 0, 60).otherwise(0), y + 20)]
+    top = box_(2, F.lit(20), F.lit(-50), F.lit(330), F.lit(-30))
+    each = rows.select(F.col("l_orderkey").alias("table_id"), "ord", F.explode(F.when((F.col("ord") == 1) & (F.col("l_orderkey") % 2 == 0), F.array(*two, top)).otherwise(F.array(*two))).alias("b"))
+    return each.select("table_id", (F.col("ord") * 3 + F.col("b.k")).alias("box_id"), "b.x1", "b.y1", "b.x2", "b.y2")
+
+
 #: Tags of page blocks and the labels that they stand for.
 BLOCK_LABELS = {"h1": "doc_title", "p": "text", "li": "List-item", "footer": "footer", "nav": "header"}
 
