@@ -1,4 +1,5 @@
-"""Pixels: thresholds, straight lines, components, run-length smoothing. Pages are rows; a page's pixels are one binary value, row by row.
+"""Pixels: thresholds, straight lines, components, run-length smoothing. Pages are rows; a page's pixels are one binary value, row by row, deflated where that is shorter
+(its length tells), so that a batch of pages stays small.
 
 Spark deals the pages, numpy works on one page at a time. What can be said in runs
 of covered pixels also exists as window operators (``gaps.coverage_histogram`` and
@@ -7,6 +8,7 @@ of covered pixels also exists as window operators (``gaps.coverage_histogram`` a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -159,6 +161,16 @@ def clip(gray: np.ndarray, x1: int, y1: int, x2: int, y2: int, keep_size: bool =
     return out
 
 
+def packed(gray: np.ndarray) -> bytes:
+    raw = gray.tobytes()
+    small = zlib.compress(raw, 1)
+    return small if len(small) < len(raw) else raw
+
+
+def unpacked(raw: bytes, height: int, width: int) -> np.ndarray:
+    return np.frombuffer(raw if len(raw) == width * height else zlib.decompress(raw), np.uint8).reshape(height, width)
+
+
 def rasterise(boxes: DataFrame, keys: list[str], width: int | None = None, height: int | None = None) -> DataFrame:
     """Pages (keys, width, height, pixels) with dark boxes on white; where no size is given, each as large as its boxes reach. Boxes without a place are left aside."""
     from .grouped import map_groups
@@ -167,7 +179,7 @@ def rasterise(boxes: DataFrame, keys: list[str], width: int | None = None, heigh
         own = [b for b in rows if None not in b]
         w = width or max([1, *(b[2] for b in own)])
         h = height or max([1, *(b[3] for b in own)])
-        return [(w, h, np.where(mask_of(own, w, h), 0, 255).astype(np.uint8).tobytes())]
+        return [(w, h, packed(np.where(mask_of(own, w, h), 0, 255).astype(np.uint8)))]
 
     return map_groups(boxes.select(*keys, "x1", "y1", "x2", "y2"), keys, ["y1", "x1"], work, "width int, height int, pixels binary")
 
@@ -182,7 +194,7 @@ def map_pages(pages: DataFrame, keys: list[str], work: Callable[[np.ndarray], li
         for batch in batches:
             for i in range(batch.num_rows):
                 *key, w, h, raw = (c[i].as_py() for c in batch.columns)
-                rows = work(np.frombuffer(raw, np.uint8).reshape(h, w))
+                rows = work(unpacked(raw, h, w))
                 cols = list(zip(*rows)) or [()] * len(out.fields)
                 yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(rows), f.type) for k, f in zip(key, arrow)), *(pa.array(c, f.type) for c, f in zip(cols, list(arrow)[len(key) :]))], schema=arrow)
 
@@ -206,7 +218,7 @@ def gray_of_images(images: DataFrame) -> DataFrame:
             for o, h, w, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 a = np.frombuffer(raw, np.uint8).reshape(h, w, n).astype(float)
                 g = a[..., 0] if n == 1 else a[..., 0] * 0.114 + a[..., 1] * 0.587 + a[..., 2] * 0.299
-                yield pa.RecordBatch.from_arrays([pa.array([o]), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([np.rint(g).astype(np.uint8).tobytes()], pa.binary())], names=["origin", "width", "height", "pixels"])
+                yield pa.RecordBatch.from_arrays([pa.array([o]), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([packed(np.rint(g).astype(np.uint8))], pa.binary())], names=["origin", "width", "height", "pixels"])
 
     i = images.select(F.col("image.origin").alias("origin"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("d"))
     return map_arrow(i, run, "origin string, width int, height int, pixels binary")

@@ -45,7 +45,7 @@ layout_objects AS MATERIALIZED (SELECT * FROM lb UNION ALL SELECT page_id, obj_i
 KV = """
 kv_boxes AS MATERIALIZED (
   SELECT conv_id, turn::INT AS turn, 'key' AS part, 0 AS x1, (20 * turn)::INT AS y1, (8 * length(role))::INT AS x2, (20 * turn + 16)::INT AS y2, role AS text FROM conversations
-  UNION ALL SELECT conv_id, turn::INT, 'value', 200, (20 * turn)::INT, (200 + 8 * length(text[1:40]))::INT, (20 * turn + 16)::INT, text[1:40] FROM conversations)"""
+  UNION ALL SELECT conv_id, turn::INT, 'value', 200, (20 * turn)::INT, (200 + 8 * length(text))::INT, (20 * turn + 16)::INT, text FROM conversations)"""
 TT = (
     N
     + """,
@@ -651,3 +651,35 @@ ORACLES |= {
     "column_groups": q(XT, _XH, _COLUMN_BLANKS, _COLUMN_GROUPS, select="SELECT * FROM gr"),
     "column_segments": q(XT, _XH, _COLUMN_BLANKS, _COLUMN_GROUPS, "sg AS (SELECT *, ((x1 + x2) // 2)::INT AS m, lead((x1 + x2) // 2) OVER w AS nx, lead(y1) OVER w AS n1, lead(y2) OVER w AS n2 FROM gr WINDOW w AS (PARTITION BY table_id, side, group_id ORDER BY x1 + x2, x1, y1))", select="SELECT table_id, side, group_id, m AS x1, greatest(y1, n1) AS y1, nx::INT AS x2, least(y2, n2) AS y2 FROM sg WHERE nx IS NOT NULL AND least(y2, n2) > greatest(y1, n1)"),
 }
+
+
+GL = (
+    CT
+    + """,
+gc AS (SELECT table_id, box_id, x1, y1, unnest(string_split(text, '')) AS c, unnest(range(len(string_split(text, ''))))::INT AS i FROM cell_text),
+gd AS (SELECT *, ascii(c) AS a, x1 + 8 * i AS at_ FROM gc),
+ge AS (SELECT table_id, 'char' AS kind, 100 * box_id + 2 * i AS glyph_id, at_ AS x1, y1, at_ + a % 3 + 5 AS x2, y1 + a % 4 + 11 AS y2, (a % 3 + 5) * (a % 4 + 11) - a % 7 AS area FROM gd
+  UNION ALL SELECT table_id, 'speck', 100 * box_id + 2 * i + 1, at_ + a % 3 + 6, y1 + 9, at_ + a % 3 + 7, y1 + 11, 2 FROM gd WHERE i % 2 = 0
+  UNION ALL SELECT table_id, 'dash', -k - 1, 20 * k, -20 + k % 2, 20 * k + 14, -17 + k % 2, 42 FROM (SELECT DISTINCT table_id FROM cell_text WHERE table_id % 3 = 0), range(8) AS r(k)
+  UNION ALL SELECT table_id, 'dash', -k - 21, -30, 12 * k, -28, 12 * k + 9, 18 FROM (SELECT DISTINCT table_id FROM cell_text WHERE table_id % 5 = 0), range(6) AS r(k)),
+glyphs AS MATERIALIZED (SELECT table_id, kind, glyph_id::INT AS glyph_id, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2, area::INT AS area FROM ge)"""
+)
+_DOTTED = """
+dh AS (SELECT table_id, x1, y1, x2, y2, 'h' AS orient, x2 - x1 AS l, floor((y1 + y2) / 2)::INT AS m FROM glyphs WHERE x2 - x1 >= 2 * (y2 - y1) UNION ALL SELECT table_id, x1, y1, x2, y2, 'v', y2 - y1, floor((x1 + x2) / 2)::INT FROM glyphs WHERE y2 - y1 >= 2 * (x2 - x1)),
+dn AS (SELECT *, coalesce((m - lag(m) OVER (PARTITION BY table_id, orient ORDER BY m) > 2)::INT, 0) AS new FROM dh), dr AS (SELECT *, sum(new) OVER (PARTITION BY table_id, orient ORDER BY m) AS r FROM dn),
+dotted AS MATERIALIZED (SELECT table_id, orient, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n FROM dr GROUP BY table_id, orient, r HAVING count(*) >= 5 AND 100 * sum(l) >= 66 * greatest(CASE WHEN orient = 'h' THEN max(x2) - min(x1) ELSE max(y2) - min(y1) END, 1))"""
+
+ORACLES |= {
+    "element_boxes": q(GL, select="SELECT table_id, glyph_id FROM glyphs WHERE (2 * least(x2 - x1, y2 - y1) >= 12 AND greatest(x2 - x1, y2 - y1) >= 12) OR (x2 - x1 >= 2 * (y2 - y1) AND x2 - x1 >= 12)"),
+    "noise_drop": q(
+        GL, "gs AS (SELECT table_id, avg(y2 - y1) AS h, median(x2 - x1) AS w FROM glyphs GROUP BY 1)",
+        select="SELECT table_id, glyph_id FROM glyphs JOIN gs USING (table_id) WHERE (x2 - x1 >= 2 * (y2 - y1) AND 2 * (x2 - x1) >= w AND 2 * (x2 - x1) <= 3 * w) OR NOT (3 * (y2 - y1) < h OR 100 * area < 8 * (x2 - x1) * (y2 - y1))",
+    ),
+    "dotted_lines": q(GL, _DOTTED, select="SELECT * FROM dotted"),
+    "dotted_drop": q(GL, _DOTTED, select=f"SELECT table_id, glyph_id FROM glyphs a WHERE NOT EXISTS (SELECT 1 FROM dotted b WHERE b.table_id = a.table_id AND 4 * ({_I}) >= (a.x2 - a.x1) * (a.y2 - a.y1))"),
+    "near_pieces": q(
+        GL, select="""SELECT table_id, glyph_id FROM glyphs a WHERE kind <> 'char' AND EXISTS (SELECT 1 FROM glyphs b WHERE b.table_id = a.table_id AND b.kind = 'char' AND b.x1 < 200 AND least(a.y2, b.y2) > greatest(a.y1, b.y1) AND 2 * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) >= least(a.y2 - a.y1, b.y2 - b.y1)
+          AND greatest(a.x2 - a.x1, a.y2 - a.y1) <= 3 * greatest(b.x2 - b.x1, b.y2 - b.y1) AND least(abs(a.x1 - b.x1), abs(a.x1 - b.x2), abs(a.x2 - b.x1), abs(a.x2 - b.x2)) <= 8)""",
+    ),
+    "refit_boxes": q(GL, select=f"SELECT a.table_id, a.box_id, min(b.x1) AS x1, min(b.y1) AS y1, max(b.x2) AS x2, max(b.y2) AS y2 FROM cell_text a JOIN glyphs b ON a.table_id = b.table_id AND b.kind = 'char' WHERE 2 * ({_I}) >= (b.x2 - b.x1) * (b.y2 - b.y1) GROUP BY 1, 2"),
+}

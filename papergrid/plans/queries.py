@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import text as X
-from ..operators import borderless, borders, gaps, grid, layout, lines, overlap, raster, render, stats, text, whitespace
+from ..operators import borderless, borders, gaps, glyphs, grid, layout, lines, overlap, raster, render, stats, text, whitespace
 from ..shared import materialised
 from ..sources import derive as D
 
@@ -600,3 +600,32 @@ def column_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (upright_blanks, level_blanks, column_blanks, page_areas, area_blanks, area_chains, row_delimiters, text_column_blanks, column_groups, column_segments)}
+
+
+def element_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.element_boxes(D.glyphs(spark, sf), 12).select("table_id", "glyph_id")
+
+
+def noise_drop(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.drop_noise(D.glyphs(spark, sf), TABLE).select("table_id", "glyph_id")
+
+
+def dotted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.dotted_lines(D.glyphs(spark, sf), TABLE)
+
+
+def dotted_drop(spark: SparkSession, sf: str) -> DataFrame:
+    return glyphs.drop_dotted(materialised(D.glyphs(spark, sf), "glyphs"), TABLE).select("table_id", "glyph_id")
+
+
+def near_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    g = D.glyphs(spark, sf)
+    return glyphs.near_pieces(g.where("kind = 'char' and x1 < 200"), g.where("kind <> 'char'"), TABLE, "glyph_id", 8).select("table_id", "glyph_id")
+
+
+def refit_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Text boxes as their characters make them."""
+    return glyphs.refit(D.cell_text(spark, sf), D.glyphs(spark, sf).where("kind = 'char'"), TABLE, "box_id")
+
+
+QUERIES |= {f.__name__: f for f in (element_boxes, noise_drop, dotted_lines, dotted_drop, near_pieces, refit_boxes)}

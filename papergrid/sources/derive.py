@@ -117,9 +117,9 @@ def layout_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key box (the role) and a value box (the text's beginning, as a form shows it) per turn."""
+    """A key box (the role) and a value box (the text) per turn."""
     t = read(spark, sf_dir, "conversations")
-    parts = F.array(F.struct(F.lit("key").alias("part"), F.lit(0).alias("x1"), F.col("role").alias("text")), F.struct(F.lit("value").alias("part"), F.lit(200).alias("x1"), F.substring("text", 1, 40).alias("text")))
+    parts = F.array(F.struct(F.lit("key").alias("part"), F.lit(0).alias("x1"), F.col("role").alias("text")), F.struct(F.lit("value").alias("part"), F.lit(200).alias("x1"), F.col("text").alias("text")))
     y = (F.col("turn") * 20).cast("int")
     return t.select("conv_id", F.col("turn").cast("int").alias("turn"), y.alias("y1"), F.explode(parts).alias("p")).select("conv_id", "turn", "p.part", "p.x1", "y1", (F.col("p.x1") + F.length("p.text") * 8).alias("x2"), (F.col("y1") + 16).alias("y2"), "p.text")
 
@@ -170,6 +170,23 @@ def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("table_id", (F.col("ord") * 3 + F.col("b.k")).alias("box_id"), "b.x1", "b.y1", "b.x2", "b.y2")
 
 
+def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of a page per order: its texts' characters, a speck beside every other, in every third page eight dashes in a row above, in every fifth six upright ones at the side."""
+    t = cell_text(spark, sf_dir)
+    code = F.ascii(F.col("c"))
+    chars = t.select("table_id", "box_id", "x1", "y1", F.posexplode(F.split("text", "")).alias("i", "c"))
+    at, w, h = F.col("x1") + F.col("i") * 8, code % 3 + 5, code % 4 + 11
+    one = lambda kind, k, x, y, wide, tall, ink: F.struct(F.lit(kind).alias("kind"), k.alias("glyph_id"), x.cast("int").alias("x1"), y.cast("int").alias("y1"), (x + wide).cast("int").alias("x2"), (y + tall).cast("int").alias("y2"), ink.cast("int").alias("area"))
+    n = (F.col("box_id") * 100 + F.col("i") * 2).cast("int")
+    own, speck = one("char", n, at, F.col("y1"), w, h, w * h - code % 7), one("speck", n + 1, at + w + 1, F.col("y1") + 9, F.lit(1), F.lit(2), F.lit(2))
+    letters = chars.select("table_id", F.explode(F.when(F.col("i") % 2 == 0, F.array(own, speck)).otherwise(F.array(own))).alias("g")).select("table_id", "g.*")
+    k = F.col("k")
+    pages = t.select("table_id").distinct()
+    row = pages.where("table_id % 3 = 0").select("table_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("table_id", one("dash", -k - 1, k * 20, F.lit(-20) + k % 2, F.lit(14), F.lit(3), F.lit(42)).alias("g"))
+    col = pages.where("table_id % 5 = 0").select("table_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).select("table_id", one("dash", -k - 21, F.lit(-30), k * 12, F.lit(2), F.lit(9), F.lit(18)).alias("g"))
+    return letters.unionByName(row.select("table_id", "g.*")).unionByName(col.select("table_id", "g.*"))
+
+
 #: Tags of page blocks and the labels that they stand for.
 BLOCK_LABELS = {"h1": "doc_title", "p": "text", "li": "List-item", "footer": "footer", "nav": "header"}
 
