@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import canonical
-from ..operators import borderless, grid, layout, lines, overlap, render, text
+from ..operators import borderless, grid, layout, lines, overlap, render, text, whitespace
 from ..shared import materialised
 
 
+def borderless_tables(texts: DataFrame, keys: list[str], min_gap: int, char_width: int, line_sep: int) -> DataFrame:
+    """Tables of a page without ruled lines: its text is parted by full-width blanks, areas with like columns are chained to segments, and each segment is read as a grid.
+
+    ``texts`` has text_id and a box. Columns: keys, table_ord (the segment), row_id, col_id, x1, y1, x2, y2.
+    """
+    parted = materialised(whitespace.areas(texts.select(*keys, "text_id", "x1", "y1", "x2", "y2"), whitespace.hull(texts, keys, char_width), keys, char_width, line_sep), "areas")
+    spaces = materialised(whitespace.area_blanks(parted, keys, char_width, line_sep), "area-blanks")
+    chains = whitespace.area_chains(parted, spaces, keys, char_width, line_sep).select(*keys, "area_id", F.col("segment_id").alias("table_ord"))
+    by = [*keys, "table_ord"]
+    own = materialised(parted.join(chains, [*keys, "area_id"]).select(*by, "text_id", "x1", "y1", "x2", "y2"), "segments")
+    return borderless.borderless_grid(own, by, ["text_id"], min_gap, char_width, line_sep)
+
+
 def filled_tables(lined: DataFrame, texts: DataFrame, keys: list[str], min_gap: int = 20, char_width: int = 8, line_sep: int = 20, least_line: int = 20, allow_borderless: bool = True) -> DataFrame:
     """Tables of each key with spans and text: from ruled lines where there are any, else from text alone.
 
@@ -20,7 +33,7 @@ def filled_tables(lined: DataFrame, texts: DataFrame, keys: list[str], min_gap:
     clean = materialised(lines.remove_noise(lined, texts, keys, least_line), "lines")
     slots = grid.table_from_lines(clean, keys)
     if allow_borderless:
-        bare = borderless.borderless_grid(texts, keys, ["text_id"], min_gap, char_width, line_sep).withColumn("table_ord", F.lit(0))
+        bare = borderless_tables(texts, keys, min_gap, char_width, line_sep)
         slots = borderless.dispatch(slots, bare.select(slots.columns), keys)
     else:
         slots = slots.withColumn("borderless", F.lit(False))

@@ -149,3 +149,18 @@ def test_files_and_stream(spark, tmp_path):
     q = documents.process_stream(stream, _words, pages.TEXT_SCHEMA, lambda df: df.groupBy("path").count(), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert [r["count"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_two_borderless_tables_on_a_page(spark):
+    """Under a title over the whole width, and parted by a paragraph; their columns differ."""
+    from papergrid.plans.extract import borderless_tables
+
+    rows = [(1, 0, 0, 0, 390, 16)]
+    for table, (top, columns) in enumerate(((40, (0, 150, 300)), (260, (0, 100, 200, 300)))):
+        for r in range(4):
+            rows += [(1, 100 * table + 10 * r + c + 1, x, top + 30 * r, x + 60, top + 30 * r + 16) for c, x in enumerate(columns)]
+    rows.append((1, 999, 0, 190, 385, 206))
+    texts = spark.createDataFrame(rows, "k int, text_id int, x1 int, y1 int, x2 int, y2 int")
+    got = borderless_tables(texts, ["k"], 20, 8, 24).collect()
+    sizes = sorted({(min(r.y1 for r in got if r.table_ord == t), max(r.row_id for r in got if r.table_ord == t) + 1, max(r.col_id for r in got if r.table_ord == t) + 1) for t in {r.table_ord for r in got}})
+    assert [s[1:] for s in sizes] == [(4, 3), (4, 4)]
