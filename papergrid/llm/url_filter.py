@@ -3,8 +3,11 @@
 Every rule has a regular expression and the literal tokens (runs of ``[a-z0-9]``)
 that any URL it matches must hold whole. One pass over the URLs counts in how many
 of them each of those tokens occurs (a count per rule token, never per URL token),
-and each rule is filed under its rarest one. The index is a constant of the plan,
-so judging is one projection over the scan: no join, no shuffle, no Python.
+and each rule is filed under its rarest one. The index is one constant of the plan (a list
+of slots by the token's checksum, folded once, so a token is found in a step however
+many rules there are), and judging is one projection over the scan: no join, no
+shuffle, no Python. Host rules are compared as strings, only pattern rules run
+expressions. The rules are a list of the driver; 100,000 are tested.
 
 Null URLs, and URLs without ``://``, have an empty host and path; no host rule
 fits them and the pattern rules see the text as it is (null: empty). Ties between
@@ -14,8 +17,10 @@ Columns other than the id and the URL are left aside. An empty table gives none.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-#: The rules are a driver-side list that becomes part of the plan; this bounds its size.
-MAX_RULES = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,10 +43,6 @@ class HostRule:
     def name(self) -> str:
         return self.host + self.path
 
-    @property
-    def regex(self) -> str:
-        return r"^(?:[^/]*[.])?" + _quoted(self.host + self.path)
-
     @property
     def tokens(self) -> list[str]:
         whole = self.host + self.path
@@ -71,23 +70,21 @@ HOST_RULES = (
 _IN_HOST = "://([^/?#]*[.])?"
 PATTERN_RULES = (
     PatternRule("block", "ads host", _IN_HOST + "ads-[a-z]+[.]", ("ads",)),
-    PatternRule("block", "tracker host", _IN_HOST + "track(er)?[.-]", ()),
+    PatternRule("block", "track host", _IN_HOST + "track[.-]", ("track",)),
+    PatternRule("block", "tracker host", _IN_HOST + "tracker[.-]", ("tracker",)),
     PatternRule("block", "adult host", _IN_HOST + "adult-[a-z0-9]+[.]", ("adult",)),
     PatternRule("block", "casino host", _IN_HOST + "casino-[a-z]+[.]", ("casino",)),
     PatternRule("block", "bets host", _IN_HOST + "free-bets[.]", ("free", "bets")),
     PatternRule("block", "pills host", _IN_HOST + "cheap-pills[.]", ("cheap", "pills")),
     PatternRule("block", "spam host", _IN_HOST + "spam-[a-z]+[.]", ("spam",)),
-    PatternRule("block", "login page", "://[^/?#]*/([^?#]*/)?(login|signin)([/?#.]|$)", ()),
+    PatternRule("block", "login page", "://[^/?#]*/([^?#]*/)?login([/?#.]|$)", ("login",)),
+    PatternRule("block", "signin page", "://[^/?#]*/([^?#]*/)?signin([/?#.]|$)", ("signin",)),
     PatternRule("block", "cart page", "://[^/?#]*/([^?#]*/)?cart([/?#.]|$)", ("cart",)),
     PatternRule("block", "session link", "[?&]sessionid=", ("sessionid",)),
     PatternRule("allow", "policy page", "://[^/?#]*/([^?#]*/)?policy([/?#.]|$)", ("policy",)),
 )
 
 
-def _quoted(s: str) -> str:
-    return re.sub(r"([^A-Za-z0-9/_-])", r"\\\1", s)
-
-
 def _lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -104,12 +101,22 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(_lower(F.coalesce(url.cast("string"), F.lit(""))), "[^a-z0-9]+"))
 
 
+def _slots(entries: dict[str, object], schema: str) -> Callable[[Column], Column]:
+    """A constant table from tokens to values of the schema: a function that finds a token's values (an array of one or none)."""
+    n = max(1, len(entries))
+    table: list[list[dict]] = [[] for _ in range(n)]
+    for token, value in entries.items():
+        table[zlib.crc32(token.encode()) % n].append({"t": token, "v": value})
+    constant = F.from_json(F.lit(json.dumps(table)), f"array<array<struct<t:string,v:{schema}>>>")
+    return lambda t: F.transform(F.filter(F.element_at(constant, (F.crc32(t.cast("binary")) % n + 1).cast("int")), lambda e: e["t"] == t), lambda e: e["v"])
+
+
 def token_counts(pages: DataFrame, url: str, tokens: list[str]) -> dict[str, int]:
     """In how many URLs each of the rules' tokens occurs: one row per rule token, whatever the number of URLs."""
     if not tokens:
         return {}
-    known = F.array(*[F.lit(t) for t in tokens])
-    rows = pages.select(F.explode(F.array_intersect(url_tokens(F.col(url)), known)).alias("t")).groupBy("t").count().collect()
+    known = _slots({t: True for t in tokens}, "boolean")
+    rows = pages.select(F.explode(F.filter(url_tokens(F.col(url)), lambda t: F.size(known(t)) > 0)).alias("t")).groupBy("t").count().collect()
     return {r["t"]: r["count"] for r in rows}
 
 
@@ -125,34 +132,29 @@ def build_index(rules: list, counts: dict[str, int]) -> tuple[dict[str, list[int
     return index, always
 
 
-def _constant(rules: list, ids: list[int]) -> Column:
-    return F.array(*[F.struct(F.lit(isinstance(rules[i], HostRule)).alias("by_host"), F.lit(rules[i].action).alias("action"), F.lit(rules[i].name).alias("name"), F.lit(rules[i].regex).alias("regex")) for i in ids])
+_RULE = "struct<by_host:boolean,action:string,name:string,regex:string,host:string,path:string>"
+
+
+def _row(rule: HostRule | PatternRule) -> dict:
+    by_host = isinstance(rule, HostRule)
+    return {"by_host": by_host, "action": rule.action, "name": rule.name, "regex": None if by_host else rule.regex, "host": rule.host if by_host else None, "path": rule.path if by_host else None}
 
 
 def filter_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, rule (the deciding host rule), pattern (the deciding pattern rule), n_candidates, verdict."""
     rules = [*host_rules, *pattern_rules]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    counts = token_counts(pages, url_col, sorted({t for r in rules for t in r.tokens}))
-    index, always = build_index(rules, counts)
-    n_slots = max(1, len(index))  # a map is searched from its start; small maps in an array are found by the token's checksum
-    slots: list[dict[str, list[int]]] = [{} for _ in range(n_slots)]
-    for token, ids in index.items():
-        slots[zlib.crc32(token.encode()) % n_slots][token] = ids
-    empty = F.map_from_arrays(F.array(F.lit("")), F.array(_constant(rules, [0]) if rules else F.array()))
-    table = F.array(*[F.create_map(*[x for t, ids in s.items() for x in (F.lit(t), _constant(rules, ids))]) if s else empty for s in slots])
+    index, always = build_index(rules, token_counts(pages, url_col, sorted({t for r in rules for t in r.tokens})))
+    found = _slots({t: [_row(rules[i]) for i in ids] for t, ids in index.items()}, f"array<{_RULE}>")
+    unfiled = F.from_json(F.lit(json.dumps([_row(rules[i]) for i in always])), f"array<{_RULE}>")
     host, path = host_and_path(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), _lower(F.coalesce(F.col(url_col).cast("string"), F.lit(""))).alias("seen"), url_tokens(F.col(url_col)).alias("tokens"))
-    if rules:
-        fetched = F.flatten(F.transform(F.filter("tokens", lambda t: t != ""), lambda t: F.coalesce(F.element_at(F.element_at(table, (F.crc32(t.cast("binary")) % n_slots + 1).cast("int")), t), F.slice(_constant(rules, [0]), 1, 0))))
-        if always:
-            fetched = F.concat(fetched, _constant(rules, always))
-        base = base.withColumn("candidates", fetched)
-        canonical = F.concat("host", "path")
-        base = base.withColumn("fits", F.filter("candidates", lambda r: F.when(r["by_host"], F.rlike(canonical, r["regex"])).otherwise(F.rlike(F.col("seen"), r["regex"]))))
-    else:
-        base = base.withColumn("candidates", F.array()).withColumn("fits", F.expr("cast(array() as array<struct<by_host:boolean,action:string,name:string,regex:string>>)"))
+    base = base.withColumn("candidates", F.concat(F.flatten(F.flatten(F.transform(F.filter("tokens", lambda t: t != ""), found))), unfiled))
+
+    def fits(r: Column) -> Column:
+        own = (F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))
+        return F.when(r["by_host"], own & F.startswith(F.col("path"), r["path"])).otherwise(F.rlike(F.col("seen"), r["regex"]))
+
+    base = base.withColumn("fits", F.filter("candidates", fits))
     best = F.element_at(F.array_sort(F.transform(F.filter("fits", lambda r: r["by_host"]), lambda r: F.struct((-F.length(r["name"])).alias("l"), (r["action"] != "block").alias("a"), r["name"].alias("name"), r["action"].alias("action")))), 1)
     pattern = F.element_at(F.array_sort(F.transform(F.filter("fits", lambda r: ~r["by_host"]), lambda r: F.struct((r["action"] != "allow").alias("a"), r["name"].alias("name"), r["action"].alias("action")))), 1)
     base = base.withColumn("best", F.when(F.size(F.filter("fits", lambda r: r["by_host"])) > 0, best)).withColumn("hit", F.when(F.size(F.filter("fits", lambda r: ~r["by_host"])) > 0, pattern))
