@@ -17,8 +17,8 @@ exactly. Equal conversations are one leaf, whatever their number; packs are cut
 A conversation longer than that is a pack by itself, whole.
 
 Turns stand in the order of turn (null first), role and text. Null roles and texts
-count as empty; rows that repeat are turns that repeat; rows without conversation
-id are one conversation. Columns with clashing names are left aside. An empty
+count as empty; rows that repeat are turns that repeat; a row without conversation
+id is a conversation of its own. Columns with clashing names are left aside. An empty
 table gives none.
 """
 
@@ -117,9 +117,10 @@ def expand(pack: dict) -> tuple[np.ndarray, np.ndarray]:
 def conversations_of(turns: DataFrame) -> DataFrame:
     """conv_id, path (the hash of all turns), key (a hash per turn, in a row), turns."""
     hashed = F.substring(F.sha2(F.concat("role", F.lit("\n"), "text").cast("binary"), 256), 1, 32)
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("conv_id", F.struct("turn", "role", "text", hashed.alias("hash")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = turns.select("conv_id", lone.alias("lone"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("conv_id", "lone", F.struct("turn", "role", "text", hashed.alias("hash")).alias("t"))
+    whole = rows.groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     key = F.array_join(F.transform("ts", lambda t: t["hash"]), "")
     return whole.select("conv_id", key.alias("key"), F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).withColumn("path", F.sha2(F.col("key").cast("binary"), 256))
 
@@ -197,13 +198,13 @@ def _sql() -> str:
     size = lambda c: f"length({c}) + " + " + ".join(times(c, s) for s in ("\\", *CONTROL))
     return f"""
     WITH t AS (
-      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-      UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)),
+      SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT conv_id, NULL, turn, role, text FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)),
     g AS (
       SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
              coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
              CAST(sum({sum(map(len, CONTROL))} + {size("role")} + {size("text")}) AS BIGINT) AS formatted_chars
-      FROM t GROUP BY conv_id)
+      FROM t GROUP BY conv_id, lone)
     SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
 

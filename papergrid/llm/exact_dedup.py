@@ -1,7 +1,7 @@
 """Exact dedup by progressive refinement: length, then a prefix's hash, then the hash of the whole text, which only survivors of both get.
 
 Which lengths, and which pairs of length and prefix, occur more than once is kept
-in a bitmap of ``2**BITMAP_BITS`` bits (8 MB, whatever the input), so deciding whether a
+in bitmaps (eight bits a key, 128 MB at most), so deciding whether a
 row survives needs no shuffle of texts. A bitmap lets some rows through that have
 no equal; the whole-text hash then tells. Everything that is shuffled is an id, a
 number or a hash; hot groups are counted before they are shuffled.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bitmap_of, load, marked_by, packed, stored, text_or_empty, unpacked, without
+from .common import Bitmap, bitmap_of, load, marked_by, packed, stored, text_or_empty, unpacked, without
 
 PREFIX = 256
 
@@ -31,13 +31,14 @@ def _prefix() -> Column:
     return F.xxhash64(F.substring("__text", 1, PREFIX)).alias("__p")
 
 
-def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _survivors(docs: DataFrame, id_col: str, text_col: str) -> Bitmap:
     """The bitmap of the pairs of length and prefix hash that occur more than once."""
     slim = stored(docs.select(text_or_empty(text_col).alias("__text")).select(_size(), _prefix()), "exact-slim")
-    lengths = slim.groupBy("__n").count().where("count > 1")
-    left = marked_by(slim, F.xxhash64("__n"), bitmap_of(lengths, F.xxhash64("__n")), "__ok").where("__ok")
-    pairs = left.groupBy("__n", "__p").count().where("count > 1")
-    return stored(bitmap_of(pairs, F.xxhash64("__n", "__p")), "exact-bitmap")
+    lengths = stored(slim.groupBy("__n").count().where("count > 1"), "exact-lengths")
+    left = marked_by(slim, F.xxhash64("__n"), bitmap_of(lengths, F.xxhash64("__n"), lengths.count()), "__ok").where("__ok")
+    pairs = stored(left.groupBy("__n", "__p").count().where("count > 1"), "exact-pairs")
+    bitmap = bitmap_of(pairs, F.xxhash64("__n", "__p"), pairs.count())
+    return bitmap._replace(rows=stored(bitmap.rows, "exact-bitmap"))
 
 
 def _groups(rows: DataFrame) -> DataFrame:

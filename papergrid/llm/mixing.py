@@ -14,7 +14,7 @@ where the budget ends, so no task holds a leaf. What a row contributes is then
 told by two values of its leaf.
 
 A row's tokens are its words plus one that ends the document. Null text counts as
-empty, null parts of the tree are a leaf of their own. Rows that repeat an id share
+empty; a null language or source counts as the empty one. Rows that repeat an id share
 a place in the order and are taken together. A leaf without a weight gets 1 (its
 weight is relative to its siblings); weights below 1 count as 1. Columns with
 clashing names are kept by ``mix_rows``. An empty table gives none.

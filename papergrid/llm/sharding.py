@@ -63,11 +63,21 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     return placed.withColumn("slot", F.col("position") - start).select("doc_id", "source", "size", "text_crc32", "position", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id") -> None:
-    """``docs`` as Parquet, a folder per shard, rows by slot. Ids must be unique."""
-    placed = shard_rows(docs, shards, seed, id_col).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    rows = docs.join(placed, F.col(id_col) == F.col("__id")).drop("__id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> None:
+    """``docs`` as Parquet, a folder ``to_shard=<n>`` per shard, rows by ``to_slot`` (columns of these names in ``docs`` are left aside).
+
+    Rows meet their places by id, text's checksum and size, source, and their number among rows that are alike in these, so null and repeated ids keep all their rows.
+    """
+    by = ["doc_id", "source", "size", "text_crc32"]
+    placed = shard_rows(docs, shards, seed, id_col, text_col, source_col)
+    twin = lambda order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    placed = stored(placed.withColumn("__k", twin("position")).select(*[F.col(c).alias(f"__p_{c}") for c in by], F.col("__k").alias("__p_k"), F.col("shard").alias("to_shard"), F.col("slot").alias("to_slot")), "shard-places")
+    raw = as_binary(f"__row.{text_col}")
+    kept = [c for c in docs.columns if c not in ("to_shard", "to_slot")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row")).select("__row", F.col(f"__row.{id_col}").alias("doc_id"), F.col(f"__row.{source_col}").cast("string").alias("source"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = rows.withColumn("__k", twin(F.lit(0)))
+    met = rows.join(placed, [F.col(c).eqNullSafe(F.col(f"__p_{c}")) for c in by] + [F.col("__k") == F.col("__p_k")]).select("__row.*", "to_shard", "to_slot")
+    met.repartitionByRange("to_shard", "to_slot").sortWithinPartitions("to_shard", "to_slot").write.partitionBy("to_shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

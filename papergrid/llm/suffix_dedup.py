@@ -131,7 +131,7 @@ def _met(left: DataFrame, right: DataFrame, on: list[str], weight: str, most: in
 def _cut(docs: DataFrame, wanted: DataFrame, window: int, block: int) -> DataFrame:
     """The bytes of the wanted blocks (core, id, c, s): from documents that have any, joined by id and checksum."""
     lists = stored(wanted.groupBy("id", "c").agg(F.collect_list(F.struct("core", "s")).alias("wanted")), "suffix-wanted")
-    some = marked_by(docs, F.xxhash64("id", "c"), bitmap_of(lists, F.xxhash64("id", "c")), "__ok").where("__ok").drop("__ok")
+    some = marked_by(docs, F.xxhash64("id", "c"), bitmap_of(lists, F.xxhash64("id", "c"), lists.count()), "__ok").where("__ok").drop("__ok")
     rows = some.join(lists, ["id", "c"]).select("id", "c", "raw", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("doc_id"), as_binary(text_col).alias("raw")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("c", F.crc32("raw"))
     spans = repeats_of(base.select("id", "c", "raw"), window, keep_first, **sizes)
     lists = stored(spans.groupBy("id", "c").agg(F.collect_set(F.struct("first", "last", "whole")).alias("spans")), "suffix-lists")
-    known = marked_by(base, F.xxhash64("id", "c"), bitmap_of(lists, F.xxhash64("id", "c")), "__ok")
+    known = marked_by(base, F.xxhash64("id", "c"), bitmap_of(lists, F.xxhash64("id", "c"), lists.count()), "__ok")
     touched = known.where("__ok").join(lists, ["id", "c"], "left").select("doc_id", "raw", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,11 +44,22 @@ def test_mixture_and_counts(spark):
 
 
 def test_write(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"t{i}", f"s{i % 2}", "y") for i in range(50)], "doc_id long, text string, source string, position string")
+    docs = spark.createDataFrame([(i % 40 if i % 7 else None, f"t{i % 30}", f"s{i % 2}", "y", i) for i in range(100)], "doc_id long, text string, source string, slot string, shard int")
     S.write_shards(docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert Counter(r["shard"] for r in back.collect()) == Counter(r.shard for r in S.shard_rows(docs).collect())
-    assert {r.doc_id for r in back.collect()} == set(range(50))
+    assert set(back.columns) == {*docs.columns, "to_shard", "to_slot"}
+    assert Counter(r["to_shard"] for r in back.collect()) == Counter(r.shard for r in S.shard_rows(docs).collect())
+    assert Counter(map(tuple, back.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    assert len({(r.to_shard, r.to_slot) for r in back.collect()}) == 100
+
+
+def test_op10_contract(spark, tmp_path):
+    docs_df(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op10_sharding(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and dict(got.dtypes)["slot"] == "bigint"
+    rows = got.collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in rows) == plain(corpus(), 8)
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
 
 
 def test_empty(spark):
