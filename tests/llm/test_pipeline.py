@@ -11,7 +11,8 @@ from papergrid.llm import bpe, mixing, toxicity
 from .helpers import DOCS, corpus
 from .test_mixing import plain as plain_mix
 from .test_mixing import tree_of
-from .test_simhash import plain as plain_print
+from .test_near_dedup import plain as plain_shingles
+from .test_near_dedup import similar
 from .test_simhash import reach
 from .test_toxicity import made
 
@@ -36,11 +37,11 @@ def test_against_plain(spark, tmp_path):
         if old is None or (r[0] is not None, r[0] or 0) > (old[0] is not None, old[0] or 0):
             best[r[1] or ""] = r
     rows = list(best.values())
-    prints = [plain_print(r[1]) for r in rows]
-    root = reach(set(prints), lambda a, b: (a ^ b).bit_count() <= 4)
+    sets = [plain_shingles(r[1]) for r in rows]
+    root = reach(range(len(rows)), lambda a, b: similar(sets[a], sets[b]))
     groups = {}
-    for r, f in zip(rows, prints):
-        groups.setdefault(root[f], []).append(r)
+    for i, r in enumerate(rows):
+        groups.setdefault(root[i], []).append(r)
     rows = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
     by_text = {(r[0], r[1]): r for r in rows}
     mixed = plain_mix([((r[0], r[1]), r[0], tree_of(r), len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) + 1) for r in rows], P.MIX["weights"], P.MIX["percent"], P.MIX["max_epochs"])
