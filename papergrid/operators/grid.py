@@ -112,6 +112,7 @@ def to_grid(cells: DataFrame, keys: list[str]) -> DataFrame:
     own = cells.select(*keys, "cell_id", "x1", "y1", "x2", "y2")
     edges = edge_arrays(own, keys)
     filled = spread(own, edges, keys).groupBy(*keys, "__r", "__c").agg(F.min(F.struct(area(box()).alias("s"), "cell_id", "x1", "y1", "x2", "y2")).alias("b"))
+    filled = materialised(filled, "slots")
     full = filled.select(*keys, F.col("__r").alias("row_id"), F.col("__c").alias("col_id"), "b.x1", "b.y1", "b.x2", "b.y2")
     count = lambda es: F.when(F.size(es) > 1, F.sequence(F.lit(0), F.size(es) - 2)).otherwise(F.array().cast("array<int>"))
     at = lambda es, i: F.element_at(es, F.col(i) + 1)

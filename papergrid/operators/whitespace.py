@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import idiv
+from ..shared import materialised
 from .borderless import dedup_whitespace
 from .borders import swapped
 from .gaps import islands, merged_spans
@@ -39,9 +40,10 @@ def blanks(elements: DataFrame, bounds: DataFrame, keys: list[str], least_width:
     b = bounds.withColumn("__least", F.lit(least_height) if not isinstance(least_height, Column) else least_height).join(extent, keys)
     line = lambda y: F.struct(F.col("x1"), F.col(y).alias("y1"), F.col("x2"), F.col(y).alias("y2"))
     every = own.unionByName(b.select(*keys, F.explode(F.array(line("__lo"), line("__hi"))).alias("e")).select(*keys, "e.*"))
-    edges = every.select(*keys, F.explode(F.array("x1", "x2")).alias("a")).distinct()
-    strips = edges.withColumn("b", F.lead("a").over(Window.partitionBy(*keys).orderBy("a"))).where((F.col("b") - F.col("a")) >= least_width)
-    met = strips.join(prefixed(every, "e_"), _same(keys, "e_") + [(F.col("e_x1") < F.col("b")) & (F.col("e_x2") > F.col("a"))])
+    edges = every.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sort_array(F.array_union(F.collect_set("x1"), F.collect_set("x2"))).alias("__xs"))
+    first, last = (F.array_position("__xs", F.col(c)).cast("int") for c in ("x1", "x2"))
+    strips = every.join(edges, _same(keys, "__")).where("x1 < x2").select(*keys, "y1", "y2", "__xs", F.explode(F.sequence(first, last - 1)).alias("__c"))  # those that a box covers
+    met = strips.select(*keys, F.element_at("__xs", F.col("__c")).alias("a"), F.element_at("__xs", F.col("__c") + 1).alias("b"), F.col("y1").alias("e_y1"), F.col("y2").alias("e_y2")).where((F.col("b") - F.col("a")) >= least_width)
     ends = met.groupBy(*keys, "a", "b", "e_y1").agg(F.max("e_y2").alias("e_y2"))
     reach = F.max("e_y2").over(Window.partitionBy(*keys, "a", "b").orderBy("e_y1").rowsBetween(Window.unboundedPreceding, -1))
     gaps = ends.withColumn("top", reach).where("top is not null").join(prefixed(b.select(*keys, "__least", "__lo", "__hi"), "b_"), _same(keys, "b_"))
@@ -60,7 +62,8 @@ def drop_shorter(spaces: DataFrame, keys: list[str]) -> DataFrame:
 
 def column_blanks(elements: DataFrame, bounds: DataFrame, keys: list[str], char: int, least_height: int | Column, share: float) -> DataFrame:
     """The blanks of a segment that may part columns: a character wide, the tallest of neighbours, those without an element between as one."""
-    return dedup_whitespace(drop_shorter(blanks(elements, bounds, keys, char, least_height, share), keys), keys, elements)
+    found = materialised(blanks(elements, bounds, keys, char, least_height, share), "blanks")
+    return dedup_whitespace(materialised(drop_shorter(found, keys), "column-blanks"), keys, elements)
 
 
 def areas(elements: DataFrame, bounds: DataFrame, keys: list[str], char: int, line_sep: int) -> DataFrame:
@@ -82,7 +85,7 @@ def area_blanks(parted: DataFrame, keys: list[str], char: int, line_sep: int, sh
     by = [*keys, "area_id"]
     box_ = parted.groupBy(*by).agg(*[F.first(f"a{c}").alias(c) for c in _BOX], F.min("x1").alias("l"), F.max("x2").alias("r"))
     found = column_blanks(parted, box_.select(*by, *_BOX, F.least(F.lit(line_sep), F.col("y2") - F.col("y1")).alias("tall")), by, char, F.col("tall"), share)
-    met = found.join(prefixed(box_, "a_"), _same(by, "a_"))
+    met = materialised(found, "area-columns").join(prefixed(box_, "a_"), _same(by, "a_"))
     inner = (F.col("x1") != F.col("a_x1")) & (F.col("x2") != F.col("a_x2"))
     tallest = F.max(F.when(inner, F.col("y2") - F.col("y1"))).over(Window.partitionBy(*by))
     width = F.col("x2") - F.col("x1")
@@ -133,7 +136,7 @@ def row_delimiters(elements: DataFrame, bounds: DataFrame, keys: list[str], shar
     """Level delimiters of a column group: the middles of its level blanks (``share`` of the elements' width, half as tall as the lower middle full one if there are
     three, not beside a wider one), and the elements' top and bottom. None for a key with fewer than ``least``. A delimiter that isn't full is drawn on, left and right, to the next element in its way (or the end)."""
     b = bounds.select(*keys, *_BOX)
-    found = blanks(elements, b, keys, 0, 1, share, level=True)
+    found = materialised(blanks(elements, b, keys, 0, 1, share, level=True), "level-blanks")
     tall, wide = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
     whole = Window.partitionBy(*keys)
     full = found.withColumn("__w", F.max(wide).over(whole)).where(wide == F.col("__w")).groupBy(*[F.col(k).alias(f"f_{k}") for k in keys]).agg(F.sort_array(F.collect_list(tall)).alias("ts"))
@@ -145,13 +148,16 @@ def row_delimiters(elements: DataFrame, bounds: DataFrame, keys: list[str], shar
     ends = hull(elements, keys).select(*keys, F.explode(F.array(F.struct("x1", F.col("y1").alias("y"), "x2"), F.struct("x1", F.col("y2").alias("y"), "x2"))).alias("e")).select(*keys, "e.*")
     every = kept.select(*keys, "x1", y.alias("y"), "x2").unionByName(ends).distinct()
     every = every.withColumns({"__lo": F.min("x1").over(whole), "__hi": F.max("x2").over(whole), "__n": F.count(F.lit(1)).over(whole)}).where(F.col("__n") >= least)
+    every = materialised(every, "delimiters")
+    short = (F.col("x1") > F.col("__lo")) | (F.col("x2") < F.col("__hi"))
     e = prefixed(elements.select(*keys, *_BOX), "e_")
     sixth = idiv(F.col("e_y2") - F.col("e_y1"), 6)
-    met = every.join(e, _same(keys, "e_") + [(F.col("e_y1") + sixth < F.col("y")) & (F.col("y") < F.col("e_y2") - sixth)], "left")
+    met = every.where(short).join(e, _same(keys, "e_") + [(F.col("e_y1") + sixth < F.col("y")) & (F.col("y") < F.col("e_y2") - sixth)], "left")
     left = F.max(F.when(F.least("e_x2", "x1") > F.greatest("e_x1", "__lo"), F.col("e_x2")))
     right = F.min(F.when(F.least("e_x2", "__hi") > F.greatest("e_x1", "x2"), F.col("e_x1")))
     drawn = met.groupBy(*keys, "x1", "y", "x2", "__lo", "__hi").agg(left.alias("l"), right.alias("r"))
-    return drawn.select(*keys, F.greatest(F.coalesce("l", "__lo"), "__lo").alias("x1"), F.col("y").alias("y1"), F.least(F.coalesce("r", "__hi"), "__hi").alias("x2"), F.col("y").alias("y2"))
+    drawn = drawn.select(*keys, F.greatest(F.coalesce("l", "__lo"), "__lo").alias("x1"), F.col("y").alias("y1"), F.least(F.coalesce("r", "__hi"), "__hi").alias("x2"), F.col("y").alias("y2"))
+    return every.where(~short).select(*keys, "x1", F.col("y").alias("y1"), "x2", F.col("y").alias("y2")).unionByName(drawn)
 
 
 def text_column_blanks(elements: DataFrame, bounds: DataFrame, lines: DataFrame, keys: list[str], char: int) -> DataFrame:
