@@ -95,6 +95,13 @@ def _hash(x: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Some documents at a time: what a step makes of them is held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 BLOCKS = "core long, span long, id long, c long, s int, n int"
 
 
@@ -107,13 +114,13 @@ def blocks_of(docs: DataFrame, window: int = WINDOW, factor: int = FACTOR, gram:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2)], names=["core", "span", "id", "c", "s", "n"])
 
         rows = []
-        for batch in batches:
+        for batch in _small(batches):
             for id_, c, raw in zip(*(x.to_pylist() for x in batch.columns)):
                 for s in block_starts(raw, factor, gram, block).tolist():
                     e = s + block - 1
                     span = raw[s : e + window] if s >= 0 else raw[: e + window] + b"%d" % s
                     rows.append((_hash(raw[e : s + factor]), _hash(span), id_, c, s, len(raw)))
-                if len(rows) > 100_000:
+                if len(rows) > 20_000:
                     yield out(rows)
                     rows = []
         yield out(rows)
@@ -136,7 +143,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, window: int, block: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        for batch in batches:
+        for batch in _small(batches):
             out = []
             for id_, c, raw, wanted in zip(*(x.to_pylist() for x in batch.columns)):
                 out += [(w["core"], id_, c, w["s"], raw[max(0, w["s"]) : w["s"] + block - 1 + window]) for w in wanted]
@@ -306,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        for batch in batches:
+        for batch in _small(batches):
             ns, lost, kept, told = [], [], [], []
             for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 runs, at, parts = merged([(x["first"], x["last"]) for x in spans or () if x["whole"]]), 0, []
