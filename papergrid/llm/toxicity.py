@@ -241,7 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [np.intersect1d(np.array(s, np.int64), model.value).astype(np.int32).tobytes() for s in batch.column(2).to_pylist()]
+            values, offsets = _flat(batch.column(2))
+            kept = np.isin(values, model.value)
+            left = [np.unique(values[a:b][kept[a:b]]).tobytes() for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.binary()), batch.column(3)], names=["id", "toxic", "slots", "fold"])
 
     short = T.StructType([schema["id"], schema["toxic"], T.StructField("slots", T.BinaryType()), T.StructField("fold", T.BooleanType())])
@@ -250,6 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([np.frombuffer(s, np.int32).astype(np.int64) for _, _, s, _ in got], labels_of, fold, slots, own)
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows' lists, and where each begins and ends."""
+    return lists.values.to_numpy(zero_copy_only=False).astype(np.int32), lists.offsets.to_numpy()
+
+
 def sampled_slots(sample: DataFrame) -> np.ndarray:
     """``choose_slots`` of the sample's rows, counted by Spark; the driver gets the chosen ones."""
 
@@ -271,7 +278,9 @@ def sampled_slots(sample: DataFrame) -> np.ndarray:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([bool(np.isin(np.array(s, np.int64), model.value).any()) for s in batch.column(1).to_pylist()], pa.bool_()))
+            values, offsets = _flat(batch.column(1))
+            hits = np.concatenate(([0], np.cumsum(np.isin(values, model.value))))
+            yield batch.filter(pa.array(hits[offsets[1:]] > hits[offsets[:-1]], pa.bool_()))
 
     return np.union1d(first, chosen(map_arrow(sample.select("toxic", "slots"), signed, "toxic int, slots array<int>"))[0])
 
