@@ -1,12 +1,16 @@
 """Near dedup by word shingles: texts link where the Jaccard similarity of their five-word shingles is 0.8 or more.
 
-A text has a MinHash signature of ``BANDS * ROWS`` hashes. Texts meet where all ``ROWS``
-hashes of a band agree; a pair of similarity 0.8 meets in none of the 24 bands with
-probability 0.00007. Within a band's run, signatures (a byte per hash) that agree in
-``LEAST`` of their hashes are hung together; for a pair of similarity 0.8 fewer agree
-about once in 10**8. Neither step decides a link: they only say which texts are
-brought together. What links is then told from the shingles of the whole texts, so
-every link is real. Texts of one candidate component are compared in one place,
+The index is that of ``simhash``, over longer fingerprints: postings filed under bytes by
+position, hits of a pair summed over them, pairs kept from a least count on, verified.
+A text's fingerprint has a byte for each of ``BANDS * ROWS`` MinHashes, for SimHash bits
+at similarity 0.8 differ so often (15 %) that three equal bytes are rare (2 %). A posting
+stands for the ``ROWS`` bytes of a band; a pair of similarity 0.8 is in fewer than
+``HITS`` of the 30 bands together with probability 0.00003. In postings of over ``MOST_MET``
+texts pairs aren't written: fingerprints that agree in ``LEAST`` of their bytes are hung
+together there; for a pair of similarity 0.8 fewer agree about once in 10**8. Neither
+step decides a link: they only say which texts are brought together. What links is then
+told from the fingerprints and the shingles of the whole texts, so every link is real.
+Texts of one candidate component are compared in one place,
 each with those that none has reached yet, so a group of near copies of one text
 takes steps in proportion to its size, not to its pairs.
 
@@ -32,8 +36,12 @@ from .graph import components
 WIDTH, SEED = 5, 42
 #: Least similarity, as a fraction.
 OF, PARTS = 4, 5
-BANDS, ROWS = 24, 5
-#: Agreeing hashes of 120 from which on signatures are hung together: similarity 0.6.
+BANDS, ROWS = 30, 4
+#: What postings stand for: the positions of a band.
+PLACES = np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
+#: Postings that a pair shares at least.
+HITS = 3
+#: Agreeing bytes of 120 from which on fingerprints are hung together: similarity 0.6.
 LEAST = 72
 #: Shingles hashed at once.
 PIECE = 2048
@@ -41,8 +49,6 @@ PIECE = 2048
 _RNG = np.random.default_rng(SEED)
 _A = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
-_MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -55,12 +61,12 @@ def shingles(raw: bytes) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A byte per hash, and a key per band."""
+    """A byte per hash, and the key of each of its postings."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), PIECE):
         np.minimum(low, (_A * found[None, at : at + PIECE] + _B).min(axis=1), out=low)
-    keys = (low.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND
-    return (low >> np.uint64(24)).astype(np.uint8), keys
+    sig = (low >> np.uint64(24)).astype(np.uint8)
+    return sig, simhash.posting_keys(sig[None], PLACES)[0]
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,7 +80,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig, key = signature(found)
                 node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sigs.append(sig.tobytes())
-                keys.append(key.view(np.int64))
+                keys.append(key)
             bands = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), bands], names=["doc_id", "h", "node", "sig", "bands"])
 
@@ -111,7 +117,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, node, sig) to links of the candidates."""
+    """Of long postings, sorted (key, node, sig) to links of the candidates."""
     for run in _runs(batches):
         if len(run) > 1:
             nodes = np.array([r[1] for r in run], np.int64)
@@ -157,11 +163,15 @@ def find_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, h, node, root): a hash of the text as it is, one of its shingles, and the smallest of those that it reaches."""
     prints = stored(_prints(docs, id_col, text_col), "near-prints")
     nodes = stored(prints.groupBy("node").agg(F.min("h").alias("h"), F.min("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
-    posts = nodes.select(F.explode("bands").alias("k"), "node", "sig")
+    posts = nodes.select(F.explode("bands").alias("k"), "node")
     often = stored(posts.groupBy("k").count().where("count > 1").select("k"), "near-often")
     shared = bitmap_of(often, F.col("k"), often.count())
-    met = marked_by(posts, F.col("k"), shared, "__ok").where("__ok").select("k", "node", "sig").repartition("k").sortWithinPartitions("k", "node")
-    near = stored(components(stored(map_arrow(met, _meet, "u long, v long").distinct(), "near-links")), "near-candidates")
+    met = simhash.tallied(marked_by(posts, F.col("k"), shared, "__ok").where("__ok").select("k", "node"), HITS, simhash.MOST_MET, "near-met")
+    links, hot = simhash.hung(met.where("v is not null")), met.where("v is null").select("u", "k")
+    if not hot.isEmpty():
+        runs = hot.join(nodes, F.col("u") == F.col("node")).select("k", "node", "sig").repartition("k").sortWithinPartitions("k", "node")
+        links = links.unionByName(map_arrow(runs, _meet, "u long, v long"))
+    near = stored(components(stored(links.distinct(), "near-links")), "near-candidates")
     told = stored(nodes.select(F.col("node").alias("__n"), F.col("h").alias("__h"), "sig").join(near, F.col("__n") == F.col("node")).select("__h", "node", "sig", "root"), "near-told")
     rows = marked_by(docs.select(F.xxhash64(as_binary(text_col)).alias("h"), as_binary(text_col).alias("raw")), F.col("h"), bitmap_of(told, F.col("__h"), told.count()), "__ok").where("__ok")
     texts = rows.join(told, F.col("h") == F.col("__h")).select("root", "node", "sig", "raw")

@@ -1,3 +1,4 @@
+from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline as P
@@ -64,5 +65,39 @@ def test_chain_and_group(n):
     assert any(not similar(plain(texts[a]), plain(texts[b])) for a, b in combinations(range(n), 2))
 
 
+def altered(rng, n, changes):
+    """n texts: a base with some words changed, each another way."""
+    base, texts = words(rng, 120).split(), []
+    for i in range(n):
+        t = base.copy()
+        for at in rng.sample(range(120), changes):
+            t[at] = f"w{i}x{at}"
+        texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize("most", [256, 4])
+def test_pairs_meet_in_the_index_of_simhash(spark, monkeypatch, most):
+    import random
+
+    rng, told, tallied = random.Random(11), [], N.simhash.tallied
+    monkeypatch.setattr(N.simhash, "MOST_MET", most)
+    monkeypatch.setattr(N.simhash, "tallied", lambda posts, least, *more: told.append((posts, least, tallied(posts, least, *more))) or told[-1][2])
+    texts = altered(rng, 12, 1) + altered(rng, 6, 4) + altered(rng, 5, 12) + [words(rng, 90) for _ in range(10)]
+    kept = sorted(r.doc_id for r in P.drop_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect())
+    root = reach(range(len(texts)), lambda a, b: similar(plain(texts[a]), plain(texts[b])))
+    assert kept == sorted(set(root.values())) and 1 < len(kept) < len(texts)
+    ((posts, least, met),) = told
+    assert least == N.HITS > 1
+    where = {}
+    for r in posts.collect():
+        where.setdefault(r.k, []).append(r.node)
+    hits = Counter(pair for nodes in where.values() if len(nodes) <= most for pair in combinations(sorted(nodes), 2))
+    rows = met.collect()
+    assert {(r.u, r.v): r.n for r in rows if r.v is not None} == {pair: n for pair, n in hits.items() if n >= least}
+    assert sorted((r.k, r.u) for r in rows if r.v is None) == sorted((k, x) for k, nodes in where.items() if len(nodes) > most for x in nodes)
+    assert min(hits.values()) < least and any(r.v is None for r in rows) == (most == 4)
+
+
 def test_empty(spark):
     assert N.find_components(empty_df(spark)).count() == 0 == N.drop_near_copies(empty_df(spark)).count()

@@ -1,7 +1,9 @@
 import random
 from itertools import combinations
+from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -45,6 +47,43 @@ def test_triples_cover():
     assert len(S.TRIPLES) == 20 and all(any(set(t) <= set(q) for t in S.TRIPLES) for q in combinations(range(8), 4))
 
 
+def sharing(rng, m):
+    """Two fingerprints that share exactly m bytes."""
+    a = [rng.randrange(256) for _ in range(8)]
+    same = rng.sample(range(8), m)
+    return a, [x if i in same else x ^ rng.randrange(1, 256) for i, x in enumerate(a)]
+
+
+def signed(parts):
+    return int.from_bytes(bytes(parts), "little", signed=True)
+
+
+def test_hits_tell_shared_bytes():
+    rng = random.Random(6)
+    for m in [*range(9)] * 5:
+        keys = S.posting_keys(np.array(sharing(rng, m), np.uint8), S.PLACES)
+        assert (keys[0] == keys[1]).sum() == comb(m, 3) and len(np.unique(keys)) == 2 * 56 - comb(m, 3)
+    assert S.LEAST_HITS == comb(8 - S.MAX_BITS, 3)
+
+
+def test_hits_are_summed_over_postings(spark):
+    rng = random.Random(7)
+    fps = [signed(x) for m in [*range(2, 8)] * 4 for x in sharing(rng, m)]
+    fps += [signed([1, 2, 3, i, i + 50, i + 100, i + 150, i + 200]) for i in range(6)]  # six that share three bytes, in one posting
+    posts = S.map_arrow(spark.createDataFrame([(f,) for f in fps], "fp long"), S._post, "k long, node long")
+
+    def shared(a, b):
+        return sum(x == y for x, y in zip(a.to_bytes(8, "little", signed=True), b.to_bytes(8, "little", signed=True)))
+
+    pairs = {(a, b): comb(shared(a, b), 3) for a, b in combinations(sorted(fps), 2)}
+    for least in (1, S.LEAST_HITS):
+        got = S.tallied(posts, least, 256, "t").collect()
+        assert sorted((r.u, r.v, r.n) for r in got) == sorted((a, b, n) for (a, b), n in pairs.items() if n >= least)
+    got = S.tallied(posts, 1, 5, "t").collect()
+    assert sorted(r.u for r in got if r.v is None) == sorted(fps[-6:]) and len({r.k for r in got if r.v is None}) == 1
+    assert not any(r.u in fps[-6:] and r.v in fps[-6:] for r in got if r.v is not None)
+
+
 def test_components_of_documents(spark):
     rows = corpus()
     fps = [plain(r[1]) for r in rows]
@@ -82,6 +121,28 @@ def test_links_of_close_fingerprints(spark, max_run):
     assert groups((x, roots.get(x, x)) for x in signed) == groups(want.items())
 
 
+@pytest.mark.parametrize("max_run", [2048, 6])
+def test_long_postings_are_split(spark, monkeypatch, max_run):
+    monkeypatch.setattr(S, "MOST_MET", 2)
+    rng = random.Random(9)
+    fps = {rng.getrandbits(20) << 20 for _ in range(3)} | {rng.getrandbits(63) for _ in range(20)}
+    for f in [*fps][:12]:
+        fps |= {f ^ (1 << 8 * a) ^ (1 << 8 * b) ^ (1 << 8 * c) ^ (1 << 8 * d) for a, b, c, d in combinations(range(7), 4) if rng.random() < 0.3}  # four bits in four bytes
+    links = S.links_between(spark.createDataFrame([(f,) for f in fps], "fp long"), max_run)
+    roots = dict(components(links).collect())
+    want = reach(fps, lambda a, b: (a ^ b).bit_count() <= 4)
+    assert groups((x, roots.get(x, x)) for x in fps) == groups(want.items())
+
+
+def test_runs_over_batches():
+    k = np.repeat(np.arange(5), [3, 200_000, 1, 40, 2])
+    f = np.arange(len(k))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + 9000]), pa.array(f[i : i + 9000])], names=["k", "node"]) for i in range(0, len(k), 9000)]
+    got = pa.Table.from_batches(S._hits(iter(batches), 40)).to_pylist()
+    assert sorted((r["u"], r["v"]) for r in got if r["v"] is not None) == [p for key in (0, 3, 4) for p in combinations(f[k == key].tolist(), 2)]
+    assert [r["u"] for r in got if r["v"] is None] == f[k == 1].tolist() and {r["k"] for r in got if r["v"] is None} == {1}
+
+
 def test_long_runs_make_few_links(spark):
     base = 0x0123456789ABCDEF
     fps = [base] + [base ^ (1 << i) ^ (1 << j) for i, j in combinations(range(0, 40), 2)]
