@@ -97,6 +97,16 @@ def filled_runs(histogram: DataFrame, keys: list[str], at: str = "at", tolerance
     return runs.groupBy(*keys, "run_id").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.sum("weight").cast("long").alias("weight"))
 
 
+def box_runs(boxes: DataFrame, keys: list[str], lo: str, hi: str, weight: Column, tolerance: int = 0) -> DataFrame:
+    """``filled_runs`` of the ``coverage_histogram`` of boxes, from the boxes: the rows do not depend on their size in pixels.
+
+    A run of pixels is an island of boxes, and its pixels' weights sum to the boxes' weights times extents.
+    """
+    tall = boxes.where(F.col(lo) < F.col(hi)).withColumn("__w", weight.cast("long") * (F.col(hi) - F.col(lo)))
+    runs = islands(tall, keys, lo, hi, [], -(tolerance + 1), "run_id")
+    return runs.groupBy(*keys, "run_id").agg(F.min(lo).alias("first"), (F.max(hi) - 1).alias("last"), F.sum("__w").cast("long").alias("weight"))
+
+
 def blank_bands(boxes: DataFrame, keys: list[str], lo: str, hi: str, min_gap: int) -> DataFrame:
     """Bands that no box touches, and the regions that they part: region_id, first, last. A band parts only if it is wide enough."""
     grouped = islands(boxes, keys, lo, hi, [], -(min_gap + 1), "region_id")

@@ -57,8 +57,7 @@ def row_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filled_runs(spark: SparkSession, sf: str) -> DataFrame:
-    h = gaps.coverage_histogram(D.layout_objects(spark, sf), PAGE, "y1", "y2", F.col("x2") - F.col("x1"))
-    return gaps.filled_runs(h, PAGE, "at", 5)
+    return gaps.box_runs(D.layout_objects(spark, sf), PAGE, "y1", "y2", F.col("x2") - F.col("x1"), 5)
 
 
 def char_width_mode(spark: SparkSession, sf: str) -> DataFrame:

@@ -52,20 +52,39 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_arrow(docs, run, T.StructType([docs.schema["doc_id"], *ints, T.StructField("word", T.StringType())]))
 
 
+#: Line items in a partition. Their boxes are alike, so partitions of some MB of compressed bytes, as Spark joins them, would hold millions.
+PER_PART = 150_000
+_parts: dict[tuple[str, str], int] = {}
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of what is derived from line items: so many that each stays small."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _parts:
+        _parts[key] = -(-read(spark, sf_dir, "lineitem").count() // PER_PART)
+    return max(_parts[key], int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key, in as many partitions as line items: joins of such tables deal nothing anew."""
+    return rows.repartition(parts(spark, sf_dir), key)
+
+
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ``ord``, their place in the order; partitioned by order."""
     by = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount", F.row_number().over(by).alias("ord"))
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag", "l_discount")
+    return dealt(spark, sf_dir, items, "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount", F.row_number().over(by).alias("ord"))
 
 
 def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ruled lines of a table per order; every third table has a head cell over two columns."""
-    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    h = n.select("table_id", F.lit("h").alias("orient"), F.lit(0).alias("x1"), F.explode(F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: k * 40)).alias("y1"), F.lit(400).alias("x2"))
-    h = h.select("table_id", "orient", "x1", "y1", "x2", F.col("y1").alias("y2"))
-    v = n.select("table_id", F.lit("v").alias("orient"), F.explode(F.array(*map(F.lit, (0, 100, 250, 400)))).alias("x1"), "n")
-    top = F.when((F.col("x1") == 250) & (F.col("table_id") % 3 == 0), 40).otherwise(0)
-    return h.unionByName(v.select("table_id", "orient", "x1", top.alias("y1"), F.col("x1").alias("x2"), (F.col("n") * 40).alias("y2")))
+    n = dealt(spark, sf_dir, read(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    line = lambda o, x1, y1, x2, y2: F.struct(F.lit(o).alias("orient"), F.lit(x1).alias("x1"), y1.alias("y1"), F.lit(x2).alias("x2"), y2.alias("y2"))
+    level = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: line("h", 0, k * 40, 400, k * 40))
+    head = F.when(F.col("table_id") % 3 == 0, 40).otherwise(0)
+    upright = F.array(*[line("v", x, head if x == 250 else F.lit(0), x, F.col("n") * 40) for x in (0, 100, 250, 400)])
+    return n.select("table_id", F.explode(F.concat(level, upright)).alias("l")).select("table_id", "l.*")
 
 
 def stray_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
