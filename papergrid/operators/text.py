@@ -56,11 +56,12 @@ def structure_text(nodes: DataFrame, keys: list[str]) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     cell = F.upper("type").isin("TH", "TD")
     owner = nodes.withColumn("__c", F.last(F.when(cell, F.struct("seq", "last")), ignorenulls=True).over(so_far))
-    own = owner.where(~cell & (F.col("seq") <= F.col("__c.last")))
-    close = F.when(F.upper("type").isin("P", "LI"), F.array(F.struct((F.col("last") * 2 + 1).alias("at"), F.lit("\n").alias("t")))).otherwise(F.array().cast("array<struct<at:int,t:string>>"))
-    events = own.select(*keys, F.col("__c.seq").alias("seq"), F.explode(F.concat(F.array(F.struct((F.col("seq") * 2).alias("at"), F.coalesce("text", F.lit("")).alias("t"))), close)).alias("e"))
-    texts = events.groupBy(*keys, "seq").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), ""), "^\n+", "").alias("text"))
-    return nodes.where(cell).select(*keys, "seq").join(texts, [*keys, "seq"], "left").select(*keys, "seq", F.coalesce("text", F.lit("")).alias("text"))
+    none = F.array().cast("array<struct<at:int,t:string>>")
+    close = F.when(F.upper("type").isin("P", "LI"), F.array(F.struct((F.col("last") * 2 + 1).cast("int").alias("at"), F.lit("\n").alias("t")))).otherwise(none)
+    own = F.when(F.col("seq") <= F.col("__c.last"), F.concat(F.array(F.struct((F.col("seq") * 2).cast("int").alias("at"), F.coalesce("text", F.lit("")).alias("t"))), close)).otherwise(none)
+    mark = F.array(F.struct((F.col("seq") * 2).cast("int").alias("at"), F.lit("").alias("t")))  # a cell's own, so one without nodes is there too
+    events = owner.select(*keys, F.when(cell, F.col("seq")).otherwise(F.col("__c.seq")).alias("seq"), F.explode(F.when(cell, mark).otherwise(own)).alias("e"))
+    return events.groupBy(*keys, "seq").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), ""), "^\n+", "").alias("text"))
 
 
 def key_value_tables(boxes: DataFrame, keys: list[str], order: list[str], min_gap: int) -> DataFrame:
