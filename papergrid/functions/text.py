@@ -73,7 +73,8 @@ def media_type(path: Column) -> Column:
 
 
 def data_uri(content: Column, path: Column) -> Column:
-    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.base64(content))
+    """Spark's base64 breaks lines after 76 characters; a data URI has none."""
+    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def from_data_uri(uri: Column) -> Column:
