@@ -40,5 +40,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
             done += [(*key, *r) for r in work(held)]
         yield flush()
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    spark = df.sparkSession  # a fixed number: by their bytes Spark would join the partitions of small rows with long work into one
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = df.repartition(most, *keys).sortWithinPartitions(*keys, *order)
     return map_arrow(dealt.select(*keys, *[c for c in df.columns if c not in keys]), run, full)
