@@ -6,8 +6,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from papergrid.functions import geometry as G
 from papergrid.functions import text as X
-from papergrid.operators import batched, gaps, grid, overlap, text
+from papergrid.operators import batched, gaps, glyphs, grid, overlap, raster, text, whitespace
 from papergrid.shared import materialised
 from papergrid.sources import derive as D
 
@@ -84,3 +85,46 @@ def test_groups_over_many_batches(spark):
 
     got = {(r.a, r.b): (r.n, r.top) for r in batched.map_batches(df, ["a", "b"], ends, "n int, top int").collect()}
     assert got == {k: (n, n) for k, n in sizes.items()}
+
+
+def test_straight_lines_are_those_of_row_by_row(spark):
+    rng = np.random.default_rng(5)
+    for w, h, least in ((90, 40, 20), (33, 70, 9), (1, 1, 3), (60, 5, 30)):
+        mask = rng.random((h, w)) < 0.9
+        mask[::7] = True
+        want = []
+        for orient, m in (("h", mask), ("v", mask.T)):
+            kept = np.array([raster.open_runs(raster.close_runs(raster.open_runs(r, max(1, least // 3)), max(3, least // 6)), least) for r in m])
+            for x1, y1, x2, y2, _ in raster.components(kept):
+                y = (y1 + y2 - 1) // 2
+                want.append((orient, x1, y, x2, y) if orient == "h" else (orient, y, x1, y, x2))
+        assert raster.straight_lines(mask, least) == sorted(want)
+
+
+def test_pages_of_few_bytes_are_still_dealt(spark):
+    pages = raster.rasterise(spark.range(64).selectExpr("id as k", "0 as x1", "0 as y1", "9 as x2", "9 as y2"), ["k"])
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan  # by column Spark joins partitions by their bytes
+
+
+def test_dotted_lines_drop_as_the_join_does(spark):
+    rng = random.Random(9)
+    parts = [(k, i, x := rng.randint(0, 200), y := rng.choice([5, 6, 40, rng.randint(0, 90)]), x + rng.choice([2, 6, 14]), y + rng.choice([2, 3, 9])) for k in range(30) for i in range(40)]
+    df = spark.createDataFrame(parts, "k long, glyph_id int, x1 int, y1 int, x2 int, y2 int").cache()
+    dots = glyphs.dotted_lines(df, ["k"]).select("k", "x1", "y1", "x2", "y2")
+    want = overlap.with_any(df, dots, ["k"], lambda a, b: G.intersection(a, b) * 4 >= G.area(a), negate=True)
+    assert dots.count() and rows(glyphs.drop_dotted(df, ["k"])) == rows(want)
+
+
+def test_areas_and_blanks_deal_once(spark):
+    texts = spark.createDataFrame([(1, 0, 0, 30, 16), (1, 80, 0, 120, 16), (1, 0, 40, 30, 56), (1, 80, 40, 120, 56)], "k long, x1 int, y1 int, x2 int, y2 int").repartition(3, "k")
+    parted = whitespace.areas(texts, whitespace.hull(texts, ["k"], 10), ["k"], 8, 60)
+    got = whitespace.area_blanks(parted, ["k"], 8, 40)
+    assert (1, 0, 30, 0, 80, 56, True, True) in rows(got)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == plan.count("REPARTITION_BY_NUM")
+
+
+def test_least_height_may_be_a_fraction(spark):
+    e = spark.createDataFrame([(1, 0, 0, 30, 10), (1, 0, 20, 30, 30)], "k long, x1 int, y1 int, x2 int, y2 int")
+    assert len(rows(whitespace.blanks(e, whitespace.hull(e, ["k"]), ["k"], 1, 9.5, 0.1))) == 1 and not rows(whitespace.blanks(e, whitespace.hull(e, ["k"]), ["k"], 1, 10.5, 0.1))
